@@ -118,4 +118,4 @@ def unpad_hm(c: ColumnLike) -> Column:
         F.coalesce(F.get(part, F.lit(i)).try_cast("int").cast("string"), F.lit("NA"))
         for i in (0, 1)
     ]
-    return F.when(col(c).isNotNull(), F.concat_ws(":", *piece))
+    return F.concat(piece[0], F.lit(":"), piece[1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,8 +29,9 @@ def _number_argument(std_temp) -> list[float]:
 def select_params(columns: Sequence[str], param: str | Sequence[str] | None, temp: str) -> list[str]:
     """Calibration columns a user's patterns ask for, in table order.
 
-    A pattern selects a column if it occurs in its name, in any case; an empty
-    pattern or one that finds nothing is an error.
+    A pattern selects a column if it occurs in its name, literally or as a
+    regular expression, in any case; an empty pattern or one that finds
+    nothing is an error.
     """
     others = [c for c in columns if c != temp]
     if param is None:
@@ -37,7 +39,7 @@ def select_params(columns: Sequence[str], param: str | Sequence[str] | None, tem
     patterns = [param] if isinstance(param, str) else list(param)
     if any(p == "" for p in patterns):
         raise ValueError("empty parameter pattern")
-    found = [c for c in others if any(p.lower() in c.lower() for p in patterns)]
+    found = [c for c in others if any(p.lower() in c.lower() or re.search(p, c, re.I) for p in patterns)]
     if not found:
         raise ValueError(f"no parameter matches {patterns}")
     return found
