@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import chemistry, clock, text
 from ..functions.columns import attach, col, cols, number
 from .climate import column_summary, mean_min_max_grouped
-from .filters import date_range_filter, not_in
+from .filters import date_range_filter, drop_any_null, not_in
 from .joins import right_join_2key
 from .schema import split_label
 
@@ -236,9 +236,9 @@ def profile_bin(
     """Cast rows of one station and period, pressure floored to a depth bin."""
     kept = ctd if station is None else ctd.where(col(station_col) == station)
     kept = date_range_filter(kept, date_col, start, end)
-    return kept.select(
+    return drop_any_null(kept).select(
         *[F.floor(col(c)).cast("double").alias(depth) if c == pressure else col(c) for c in kept.columns]
-    ).dropna(how="any")
+    )
 
 
 def _fill_segments(
@@ -283,7 +283,7 @@ def section_grid(
     day = F.datediff(F.to_date(col(x)), F.lit("1970-01-01").cast("date")).cast("double")
     cells = (
         df.select(*cols(by), day.alias("_x"), number(y).alias("_y"), number(value).alias("z"))
-        .dropna(how="any", subset=["_x", "_y", "z"])
+        .where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & F.col("z").isNotNull())
         .groupBy(*cols(by), "_x", "_y")
         .agg(F.avg("z").alias("z"))
     )

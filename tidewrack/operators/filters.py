@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.columns import any_of, col, number, require
+from ..functions.columns import all_of, any_of, col, number, require
 
 
 def station_alias(
@@ -66,7 +67,14 @@ def date_range_filter(
 
 def drop_any_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows without a NULL (or NaN) in the listed columns, or in any."""
-    return df.dropna(how="any", subset=list(columns) if columns is not None else None)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    wanted = list(columns) if columns is not None else df.columns
+    require(df, wanted)
+    known = [
+        number(c).isNotNull() if isinstance(kinds[c], T.DoubleType | T.FloatType) else col(c).isNotNull()
+        for c in wanted
+    ]
+    return df.where(all_of(known))
 
 
 def recode_values(

@@ -39,8 +39,8 @@ def duplicate_rows(df: DataFrame, name: str = "copy_no") -> DataFrame:
         .repartition(F.col("_slice"), *cols(df.columns))
     )
     first = F.col("_slice") * size + 2
-    copies = F.explode(F.sequence(first, F.least(n, first + (size - 1))))
-    return slices.select(*cols(df.columns), copies.cast("bigint").alias(name))
+    copies = F.sequence(first.cast("bigint"), F.least(n, first + (size - 1)))
+    return slices.select(*cols(df.columns), F.explode(copies).alias(name))
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

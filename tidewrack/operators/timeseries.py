@@ -303,7 +303,7 @@ def align_year_window(
     02-29 drops the years that do not have it.
     """
     text = F.lit(start_mmdd) if isinstance(start_mmdd, str) else start_mmdd
-    span = F.lit(span_seconds) if isinstance(span_seconds, int | float) else span_seconds
+    span = F.lit(float(span_seconds)) if isinstance(span_seconds, int | float) else span_seconds
     year = F.lpad(F.year(col(ts)).cast("string"), 4, "0")
     start = F.try_to_timestamp(
         F.concat(year, F.lit("-"), text), F.lit("yyyy-MM-dd HH:mm:ss")

@@ -215,7 +215,7 @@ def group_extent_label(spark, sf):
     "mean_min_max_grouped",
     f"""
 WITH {views.CAST}
-SELECT c."Station", c."Date", c.pressure_db, c.temp, round(s.a, 6) AS mean_temp, s.b AS min_temp, s.c AS max_temp
+SELECT c."Station", c."Date", c.pressure_db, c.temp, round(s.a, 10) AS mean_temp, s.b AS min_temp, s.c AS max_temp
 FROM casts c JOIN (
   SELECT "Station", "Date", CASE WHEN count(*) = count(temp) THEN avg(temp) END AS a,
          CASE WHEN count(*) = count(temp) THEN min(temp) END AS b,
@@ -225,7 +225,7 @@ ON c."Station" = s."Station" AND c."Date" = s."Date"
 )
 def mean_min_max_grouped(spark, sf):
     out = climate.mean_min_max_grouped(views.cast(spark, sf), ["Station", "Date"], "temp")
-    return out.withColumn("mean_temp", rounded("mean_temp"))
+    return out.withColumn("mean_temp", rounded("mean_temp", 10))
 
 
 @query(

@@ -155,11 +155,11 @@ a AS (
          avg(least(greatest(x, q10), q90)) AS winsorized_mean, quantile_cont(abs(x - med), 0.5) AS mad,
          {_moment(3)} AS skew, {_moment(4)} AS kurtosis
   {FROM_ROWS} GROUP BY 1)
-SELECT grp, n, round(q10, 4) AS q10, round(q25, 4) AS q25, round(median, 4) AS median, round(q75, 4) AS q75,
-       round(q90, 4) AS q90, round(mean, 4) AS mean, round(sd, 4) AS sd, round(midrange, 4) AS midrange,
-       round(mean_iqr, 4) AS mean_iqr, round(winsorized_mean, 4) AS winsorized_mean, round(mad, 4) AS mad,
-       round((q25 + q75) / 2, 4) AS midhinge, round(((q25 + q75) / 2 + median) / 2, 4) AS trimean,
-       round(q75 - q25, 4) AS iqr, round(((q75 - median) - (median - q25)) / (q75 - q25), 6) + 0.0 AS skew_quantile,
+SELECT grp, n, round(q10, 6) AS q10, round(q25, 6) AS q25, round(median, 6) AS median, round(q75, 6) AS q75,
+       round(q90, 6) AS q90, round(mean, 6) AS mean, round(sd, 6) AS sd, round(midrange, 6) AS midrange,
+       round(mean_iqr, 6) AS mean_iqr, round(winsorized_mean, 6) AS winsorized_mean, round(mad, 6) AS mad,
+       round((q25 + q75) / 2, 6) AS midhinge, round(((q25 + q75) / 2 + median) / 2, 6) AS trimean,
+       round(q75 - q25, 6) AS iqr, round(((q75 - median) - (median - q25)) / (q75 - q25), 6) + 0.0 AS skew_quantile,
        round((mean - median) / sd, 6) + 0.0 AS skew_np, round(3 * (mean - median) / sd, 6) + 0.0 AS skew_pearson2,
        round(skew, 6) + 0.0 AS skew, round(kurtosis, 6) AS kurtosis, round(kurtosis - 3, 6) + 0.0 AS kurtosis_excess
 FROM a
@@ -167,13 +167,8 @@ FROM a
 )
 def robust_stats_by_group(spark, sf):
     out = robust.robust_stats_by_group(data(spark, sf), ["grp"], "x")
-    six = ("skew_quantile", "skew_np", "skew_pearson2", "skew", "kurtosis", "kurtosis_excess")
     return out.select(
         "grp",
         "n",
-        *[
-            rounded(c, 6 if c in six else 4).alias(c)
-            for c in out.columns
-            if c not in ("grp", "n")
-        ],
+        *[rounded(c).alias(c) for c in out.columns if c not in ("grp", "n")],
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 from ..sources import readers, writers
 from . import views
-from .registry import query, rounded
+from .registry import query
 from .views import LOGGER, table
 
 
@@ -208,8 +208,7 @@ def write_csv_table(spark, sf):
         "event_id", F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("value")
     )
     writers.write_csv_table(x, path, row_numbers=["event_id"])
-    back = readers.scan_csv_dir(spark, path, "row bigint, event_id bigint, value string")
-    return back.withColumn("value", F.when(F.col("value") != "NA", F.col("value").cast("double")))
+    return readers.scan_csv_dir(spark, path, "row bigint, event_id bigint, value double")
 
 
 @query(

@@ -19,6 +19,13 @@ from ..functions.columns import all_of, any_of, col, cols, require
 
 Paths = str | Sequence[str]
 
+# header line, NA or nothing for missing, stamps with or without decimals
+CSV = {
+    "header": True,
+    "nullValue": "NA",
+    "timestampNTZFormat": "yyyy-MM-dd['T'][ ]HH:mm:ss[.SSSSSS]",
+}
+
 
 def text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -43,7 +50,7 @@ def scan_csv_dir(
     """
     df = (
         spark.read.schema(schema)
-        .options(header=True, enforceSchema=False, sep=sep, pathGlobFilter=glob, mode="FAILFAST")
+        .options(**CSV, enforceSchema=False, sep=sep, pathGlobFilter=glob, mode="FAILFAST")
         .csv(_paths(path))
     )
     return df if file is None else df.withColumn(file, F.col("_metadata.file_name"))
@@ -169,7 +176,7 @@ def import_stations(
     """
     if not codes:
         raise ValueError("no station codes given")
-    df = spark.read.schema(schema).options(header=True, pathGlobFilter=glob).csv(_paths(path))
+    df = spark.read.schema(schema).options(**CSV, pathGlobFilter=glob).csv(_paths(path))
     code = F.regexp_extract(F.col("_metadata.file_path"), "(" + "|".join(codes) + ")", 1)
     wanted = any_of([F.col("_metadata.file_path").contains(c) for c in codes])
     names = [f.name for f in df.schema.fields if f.name != station]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import clock
 from ..functions.columns import col, cols, require
@@ -35,11 +36,16 @@ def write_csv_table(
     partition_by: Sequence[str] = (),
     mode: str = "overwrite",
 ) -> None:
-    """CSV with header; ``row_numbers`` names the order to number rows in."""
+    """CSV with header; ``row_numbers`` names the order to number rows in.
+
+    Stamps are written with as many decimals as they have.
+    """
+    stamps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType | T.TimestampType)}
     out = df
     if row_numbers is not None:
         numbered = row_index(df, [], row_numbers, "row")
         out = numbered.select("row", *cols(df.columns))
+    out = out.select(*[col(c).cast("string").alias(c) if c in stamps else col(c) for c in out.columns])
     writer = out.write.mode(mode).options(header=True, nullValue=null, sep=sep)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
