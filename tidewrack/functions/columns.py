@@ -56,22 +56,3 @@ def require(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}; have {df.columns}")
-
-
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Put one row of statistics per group on every row of the group.
-
-    An aggregate joined back instead of a window over the whole group: a
-    window would buffer each group in one task. The join side holds one row
-    per group, Spark broadcasts it only when its measured size allows, and
-    otherwise AQE splits a hot group over several tasks. Without grouping
-    keys the single row comes in as a scalar subquery.
-    """
-    values = [c for c in stats.columns if c not in by]
-    if not by:
-        one = stats.select(F.struct(*cols(values)).alias("_s")).scalar()
-        return df.withColumn("_s", one).select(
-            *cols(df.columns), *[F.col("_s").getField(v).alias(v) for v in values]
-        )
-    right = keyed(stats, by)
-    return df.join(right, matches(df, right, by), "left").select(*cols(df.columns), *cols(values))

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chemistry, clock, text
-from ..functions.columns import attach, col, cols, number
-from .climate import column_summary, mean_min_max_grouped
+from ..functions.columns import col, cols, number
+from .climate import column_summary
 from .filters import date_range_filter, drop_any_null, not_in
 from .joins import right_join_2key
+from .quality import repeat_rows
 from .schema import split_label
+from .staging import attach
 
 
 def _number_argument(std_temp) -> list[float]:
@@ -215,12 +217,21 @@ def chla_pipeline(fluor: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def chla_extremes(fluor: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Mean, min and max per station, date and grab; lab replicates apart."""
+    """Mean, min and max per station, date and grab; lab replicates apart.
+
+    Every reading keeps a row. As its rows are all alike, a group is
+    aggregated once and written out as often as it has readings.
+    """
     replicate = text.replace_value("Replicate", ["1", "2"], "")
     lab = F.when(col("Notes").eqNullSafe("lab replicate"), " lab-rep").otherwise(replicate)
     labelled = fluorescence(fluor, pairs).withColumn("Sample", text.unite([col("Sample"), lab], ""))
     keys = ["Station", "Date", "Sample"]
-    return mean_min_max_grouped(labelled.select(*keys, "chla"), keys, "chla").drop("chla")
+    whole = F.count("chla") == F.count(F.lit(1))
+    groups = labelled.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.when(whole, f("chla")).alias(f"{f.__name__}_chla") for f in (F.mean, F.min, F.max)],
+    )
+    return repeat_rows(groups, "_n", name="_copy").drop("_copy")
 
 
 def profile_bin(

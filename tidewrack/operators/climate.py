@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clock
-from ..functions.columns import ColumnLike, attach, col, cols, number
+from ..functions.columns import ColumnLike, col, cols, number
 from .joins import left_join_key
 from .quantiles import quantiles
+from .staging import attach
 
 
 def monthly_means(

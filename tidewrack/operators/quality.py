@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clock
-from ..functions.columns import attach, col, cols, keyed, matches, require
+from ..functions.columns import col, cols, keyed, matches, require
 from .blocks import row_index
 from .joins import anti_join_all
+from .staging import attach
 
-COPIES_PER_TASK_ROW = 100_000
+COPIES_PER_SLICE = 100_000
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -29,18 +30,26 @@ def duplicate_rows(df: DataFrame, name: str = "copy_no") -> DataFrame:
     the count, in slices that are spread over tasks: a row repeated billions
     of times is never gathered in one place.
     """
-    size = COPIES_PER_TASK_ROW
-    n = F.col("_n")
+    counted = df.groupBy(*cols(df.columns)).agg(F.count("*").alias("_n"))
+    return repeat_rows(counted, "_n", first=2, name=name)
+
+
+def repeat_rows(df: DataFrame, times: str, first: int = 1, name: str = "copy_no") -> DataFrame:
+    """Each row once per number from ``first`` to its count in ``times``.
+
+    Long runs are cut into slices that are shuffled before they are written
+    out, so that one count does not become one task.
+    """
+    size, n = COPIES_PER_SLICE, col(times)
+    rest = [c for c in df.columns if c != times]
     slices = (
-        df.groupBy(*cols(df.columns))
-        .agg(F.count("*").alias("_n"))
-        .where(n > 1)
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.floor((n - 2) / size))))
-        .repartition(F.col("_slice"), *cols(df.columns))
+        df.where(n >= first)
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.floor((n - first) / size))))
+        .repartition(F.col("_slice"), *cols(rest))
     )
-    first = F.col("_slice") * size + 2
-    copies = F.sequence(first.cast("bigint"), F.least(n, first + (size - 1)))
-    return slices.select(*cols(df.columns), F.explode(copies).alias(name))
+    start = F.col("_slice") * size + first
+    numbers = F.sequence(start.cast("bigint"), F.least(n, start + (size - 1)))
+    return slices.select(*cols(rest), F.explode(numbers).alias(name))
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ColumnLike, attach, col, cols, number
+from ..functions.columns import ColumnLike, col, cols, number
+from .staging import attach
 
 ACCURACY = 10_000
 MARGIN = 5.0  # bracket half-width, in units of the sketch's rank error
@@ -46,45 +47,70 @@ def order_stats(
     )
     rows = attach(x, sketch, by)
     edge = [F.col("_edge").getItem(i) for i in range(len(edges))]
-    # k = -1: a small group, kept whole once and used for every rank
-    small = F.array(F.struct(F.lit(-1).alias("k"), F.col("_x").alias("v")))
-    big = F.filter(
+    # Every row goes to the first bracket it does not exceed: with its value if
+    # it lies inside, as a mere count (NULL) if it lies in the gap below. Rows
+    # above the last bracket are not needed. Small groups are kept whole.
+    slot, inside = F.lit(None).cast("int"), F.lit(None).cast("double")
+    for k in reversed(range(len(places))):
+        fits = F.col("_x") <= edge[2 * k + 1]
+        slot = F.when(fits, F.lit(k)).otherwise(slot)
+        inside = F.when(fits, F.when(F.col("_x") >= edge[2 * k], F.col("_x"))).otherwise(inside)
+    whole = F.col("n") <= accuracy
+    counted = (
+        rows.select(
+            *cols(by),
+            "n",
+            F.when(whole, F.lit(0)).otherwise(slot).alias("k"),
+            F.when(whole, F.col("_x")).otherwise(inside).alias("v"),
+        )
+        .where(F.col("k").isNotNull())
+        .groupBy(*cols(by), "n", "k", "v")
+        .agg(F.count("*").alias("c"))
+    )
+    # Each slot also learns how many rows lie before it. This works on counts,
+    # of which there are few, and adds no second look at the rows.
+    spread = F.when(
+        whole, F.array(F.struct("k", "v", "c"))
+    ).otherwise(
         F.array(
+            F.struct("k", "v", "c"),
             *[
-                F.when(
-                    F.col("_x") <= edge[2 * k + 1],
-                    F.struct(
-                        F.lit(k).alias("k"),
-                        F.when(F.col("_x") >= edge[2 * k], F.col("_x")).alias("v"),
-                    ),
-                )
-                for k in range(len(places))
-            ]
-        ),
-        lambda s: s.isNotNull(),
+                F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v"), "c")
+                for k in range(1, len(places))
+            ],
+        )
+    )
+    slots = (
+        counted.select(*cols(by), "n", F.col("k").alias("own"), F.posexplode(spread).alias("at", "s"))
+        .where((F.col("at") == 0) | (F.col("s.k") > F.col("own")))
+        .groupBy(*cols(by), "n", F.col("s.k").alias("k"), F.col("s.v").alias("v"))
+        .agg(F.sum("s.c").alias("c"))
     )
-    kept = rows.select(
-        *cols(by), "n", F.inline(F.when(F.col("n") <= accuracy, small).otherwise(big))
+    within = (
+        Window.partitionBy(*cols(by), "k")
+        .orderBy(F.asc_nulls_first("v"))
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    counted = kept.groupBy(*cols(by), "n", "k", "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*cols(by), "k").orderBy(F.asc_nulls_first("v"))
-    running = counted.withColumn(
-        "upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    running = slots.select(
+        *cols(by),
+        "n",
+        "v",
+        F.sum("c").over(within).alias("upto"),
+        F.first(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).over(within).alias("below"),
     )
     found = []
-    for name, (p, rank) in ranks.items():
-        mine = (F.col("k") == -1) | (F.col("k") == places.index(p))
-        at = F.min(F.when(mine & F.col("v").isNotNull() & (F.col("upto") > rank), F.col("v")))
-        below = F.max(F.when(mine & F.col("v").isNull(), F.col("upto")))
-        missed = at.isNull() | (F.coalesce(below, F.lit(0)) > F.max(rank))
+    for name, (_, rank) in ranks.items():
+        hit = F.col("v").isNotNull() & (F.col("upto") > rank)
+        at = F.min(F.when(hit, F.struct("v", "below")))
         found.append(
-            F.when(missed, F.raise_error(F.lit(f"rank {name} lies outside its bracket")).cast("double"))
-            .otherwise(at)
+            F.when(
+                at.isNull() | (at.getField("below") > F.max(rank)),
+                F.raise_error(F.lit(f"rank {name} lies outside its bracket")).cast("double"),
+            )
+            .otherwise(at.getField("v"))
             .alias(name)
         )
-    if by:
-        return running.groupBy(*cols(by), "n").agg(*found)
-    return running.groupBy("n").agg(*found)
+    return running.groupBy(*cols(by), "n").agg(*found)
 
 
 def quantiles(

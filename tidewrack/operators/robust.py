@@ -13,8 +13,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import attach, col, cols, number
+from ..functions.columns import col, cols, number
 from .quantiles import ACCURACY, order_stats, quantiles
+from .staging import attach
 
 FUNS = ("mean", "var", "sd", "skew")
 
@@ -40,9 +41,15 @@ def _fun(name: str, x: Column) -> Column:
         return F.when(F.count(x) > 1, F.var_samp(x))
     if name == "sd":
         return _sd(x)
-    if name == "skew":
-        return _skew(x)
-    raise ValueError(f"fun must be one of {FUNS}")
+    return _skew(x)
+
+
+def _named(fun: str | Sequence[str], name: str) -> dict[str, str]:
+    """Output column -> statistic."""
+    funs = [fun] if isinstance(fun, str) else list(fun)
+    if not funs or any(f not in FUNS for f in funs):
+        raise ValueError(f"fun must be one of {FUNS}")
+    return {name: fun} if isinstance(fun, str) else {f"{name}_{f}": f for f in funs}
 
 
 def _fences(df: DataFrame, by: Sequence[str], value: str, k: float, accuracy: int, extra=None):
@@ -56,18 +63,19 @@ def trimmed(
     by: Sequence[str],
     value: str,
     trim: float,
-    fun: str = "mean",
+    fun: str | Sequence[str] = "mean",
     name: str = "trimmed",
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Statistic of the sorted values at places floor(n*trim)+1 .. n-floor(n*trim).
 
+    Several statistics are named ``<name>_<fun>`` and share one pass.
+
     Only the two border values are looked up; rows strictly between them are
     aggregated as they are, and the copies of a border value that fall inside
     are added to the moments by their count.
     """
-    if fun not in FUNS:
-        raise ValueError(f"fun must be one of {FUNS}")
+    named = _named(fun, name)
     cut = F.floor(F.col("n") * F.lit(float(trim)))
     border = order_stats(
         df,
@@ -112,8 +120,8 @@ def trimmed(
         "var": var,
         "sd": F.sqrt(var),
         "skew": F.try_divide(sum3 / size, F.pow(F.sqrt(var), F.lit(3.0))),
-    }[fun]
-    return agg.select(*cols(by), out.alias(name))
+    }
+    return agg.select(*cols(by), *[out[f].alias(n) for n, f in named.items()])
 
 
 def trim_outliers(
@@ -130,18 +138,22 @@ def winsorized(
     by: Sequence[str],
     value: str,
     at: float,
-    fun: str = "mean",
+    fun: str | Sequence[str] = "mean",
     name: str = "winsorized",
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Statistic after pulling the tails in to the ``at`` and ``1 - at`` quantiles."""
+    """Statistic after pulling the tails in to the ``at`` and ``1 - at`` quantiles.
+
+    Several statistics are named ``<name>_<fun>`` and share one pass.
+    """
+    named = _named(fun, name)
     q = quantiles(df, by, value, {"_lo": at, "_hi": 1.0 - at}, accuracy).drop("n")
     x = number(value)
     low = F.when(x < F.col("_lo"), F.col("_lo")).otherwise(x)
     clamped = F.when(low > F.col("_hi"), F.col("_hi")).otherwise(low)
     rows = attach(df.select(*cols(by), col(value)), q, by)
     return rows.select(*cols(by), clamped.alias("_x")).groupBy(*cols(by)).agg(
-        _fun(fun, F.col("_x")).alias(name)
+        *[_fun(f, F.col("_x")).alias(n) for n, f in named.items()]
     )
 
 

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..functions.columns import all_of, any_of, attach, branch, col, cols, number, require
+from ..functions.columns import all_of, any_of, branch, col, cols, number, require
 from .blocks import BLOCK_ROWS, fill_forward, neighbours, row_index
 from .filters import range_in_list
 from .joins import daylight
 from .quantiles import quantiles
+from .staging import attach
 
 TOD = ("MaxTempT", "MinTempT", "MaxWSpdT")
 

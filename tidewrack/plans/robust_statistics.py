@@ -35,13 +35,9 @@ FROM kept JOIN ks USING (grp) GROUP BY 1
 
 @query("trimmed", TRIM)
 def trimmed(spark, sf):
-    d = data(spark, sf)
-    out = None
-    for fun, digits in (("mean", 4), ("var", 0), ("sd", 4), ("skew", 6)):
-        part = robust.trimmed(d, ["grp"], "x", 0.1, fun, f"trim_{fun}")
-        part = part.withColumn(f"trim_{fun}", rounded(f"trim_{fun}", digits))
-        out = part if out is None else out.join(part, "grp")
-    return out
+    out = robust.trimmed(data(spark, sf), ["grp"], "x", 0.1, ["mean", "var", "sd", "skew"], "trim")
+    digits = {"trim_mean": 4, "trim_var": 0, "trim_sd": 4, "trim_skew": 6}
+    return out.withColumns({c: rounded(c, d) for c, d in digits.items()})
 
 
 @query(
@@ -65,13 +61,9 @@ FROM c JOIN cs USING (grp) GROUP BY 1
 """,
 )
 def winsorized(spark, sf):
-    d = data(spark, sf)
-    out = None
-    for fun, digits in (("mean", 4), ("sd", 4), ("skew", 6)):
-        part = robust.winsorized(d, ["grp"], "x", 0.1, fun, f"wins_{fun}")
-        part = part.withColumn(f"wins_{fun}", rounded(f"wins_{fun}", digits))
-        out = part if out is None else out.join(part, "grp")
-    return out
+    out = robust.winsorized(data(spark, sf), ["grp"], "x", 0.1, ["mean", "sd", "skew"], "wins")
+    digits = {"wins_mean": 4, "wins_sd": 4, "wins_skew": 6}
+    return out.withColumns({c: rounded(c, d) for c, d in digits.items()})
 
 
 @query(

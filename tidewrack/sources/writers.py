@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clock
 from ..functions.columns import col, cols, require
 from ..operators.blocks import row_index
+from ..operators.staging import shared_folder
 from ..operators.timeseries import TOD
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder all executors see, below the cluster's checkpoint folder.
-
-    Only a session without one (as in tests) gets a local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewrack-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidewrack/{spark.sparkContext.applicationId}/{name}"
-
-
 def write_csv_table(
     df: DataFrame,
     path: str,
