@@ -128,7 +128,7 @@ def numeric_summary(
         F.max(x).alias("p100"),
     )
     inner = quantiles(long, keys, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, accuracy)
-    return left_join_key(basic, inner.drop("n"), keys).select(
+    return left_join_key(basic, inner.drop("_n"), keys).select(
         *cols(keys), "n_missing", "complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100"
     )
 
@@ -182,7 +182,7 @@ def group_extent_label(
     if fun != "median":
         raise ValueError("fun must be max, min or median")
     sizes = df.groupBy(*cols(by)).agg(F.count("*").alias("label"))
-    mid = quantiles(df, by, value, {"y": 0.5}, accuracy).drop("n")
+    mid = quantiles(df, by, value, {"y": 0.5}, accuracy).drop("_n")
     return attach(sizes, mid, by).select(*cols(by), "y", "label")
 
 

@@ -30,10 +30,10 @@ def order_stats(
     ranks: Mapping[str, tuple[float, Column]],
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """One row per group: ``n`` and the value at each zero-based rank.
+    """One row per group: its size ``_n`` and the value at each zero-based rank.
 
     ``ranks`` maps an output name to ``(p, rank)``; ``rank`` is an expression
-    over the column ``n`` that stays within two rows of ``p * n``. NULL and
+    over the column ``_n`` that stays within two rows of ``p * _n``. NULL and
     NaN values are left out.
     """
     by = list(by)
@@ -42,7 +42,7 @@ def order_stats(
     half = MARGIN / accuracy
     edges = [e for p in places for e in (max(0.0, p - half), min(1.0, p + half))]
     sketch = x.groupBy(*cols(by)).agg(
-        F.count("*").alias("n"),
+        F.count("*").alias("_n"),
         F.percentile_approx("_x", [float(e) for e in edges], accuracy).alias("_edge"),
     )
     rows = attach(x, sketch, by)
@@ -55,62 +55,62 @@ def order_stats(
         fits = F.col("_x") <= edge[2 * k + 1]
         slot = F.when(fits, F.lit(k)).otherwise(slot)
         inside = F.when(fits, F.when(F.col("_x") >= edge[2 * k], F.col("_x"))).otherwise(inside)
-    whole = F.col("n") <= accuracy
+    whole = F.col("_n") <= accuracy
     counted = (
         rows.select(
             *cols(by),
-            "n",
-            F.when(whole, F.lit(0)).otherwise(slot).alias("k"),
-            F.when(whole, F.col("_x")).otherwise(inside).alias("v"),
+            "_n",
+            F.when(whole, F.lit(0)).otherwise(slot).alias("_k"),
+            F.when(whole, F.col("_x")).otherwise(inside).alias("_v"),
         )
-        .where(F.col("k").isNotNull())
-        .groupBy(*cols(by), "n", "k", "v")
-        .agg(F.count("*").alias("c"))
+        .where(F.col("_k").isNotNull())
+        .groupBy(*cols(by), "_n", "_k", "_v")
+        .agg(F.count("*").alias("_c"))
     )
     # Each slot also learns how many rows lie before it. This works on counts,
     # of which there are few, and adds no second look at the rows.
     spread = F.when(
-        whole, F.array(F.struct("k", "v", "c"))
+        whole, F.array(F.struct("_k", "_v", "_c"))
     ).otherwise(
         F.array(
-            F.struct("k", "v", "c"),
+            F.struct("_k", "_v", "_c"),
             *[
-                F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v"), "c")
+                F.struct(F.lit(k).alias("_k"), F.lit(None).cast("double").alias("_v"), "_c")
                 for k in range(1, len(places))
             ],
         )
     )
     slots = (
-        counted.select(*cols(by), "n", F.col("k").alias("own"), F.posexplode(spread).alias("at", "s"))
-        .where((F.col("at") == 0) | (F.col("s.k") > F.col("own")))
-        .groupBy(*cols(by), "n", F.col("s.k").alias("k"), F.col("s.v").alias("v"))
-        .agg(F.sum("s.c").alias("c"))
+        counted.select(*cols(by), "_n", F.col("_k").alias("_own"), F.posexplode(spread).alias("_at", "_s"))
+        .where((F.col("_at") == 0) | (F.col("_s._k") > F.col("_own")))
+        .groupBy(*cols(by), "_n", F.col("_s._k").alias("_k"), F.col("_s._v").alias("_v"))
+        .agg(F.sum("_s._c").alias("_c"))
     )
     within = (
-        Window.partitionBy(*cols(by), "k")
-        .orderBy(F.asc_nulls_first("v"))
+        Window.partitionBy(*cols(by), "_k")
+        .orderBy(F.asc_nulls_first("_v"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     running = slots.select(
         *cols(by),
-        "n",
-        "v",
-        F.sum("c").over(within).alias("upto"),
-        F.first(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).over(within).alias("below"),
+        "_n",
+        "_v",
+        F.sum("_c").over(within).alias("_upto"),
+        F.first(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0)).over(within).alias("_below"),
     )
     found = []
     for name, (_, rank) in ranks.items():
-        hit = F.col("v").isNotNull() & (F.col("upto") > rank)
-        at = F.min(F.when(hit, F.struct("v", "below")))
+        hit = F.col("_v").isNotNull() & (F.col("_upto") > rank)
+        at = F.min(F.when(hit, F.struct("_v", "_below")))
         found.append(
             F.when(
-                at.isNull() | (at.getField("below") > F.max(rank)),
+                at.isNull() | (at.getField("_below") > F.max(rank)),
                 F.raise_error(F.lit(f"rank {name} lies outside its bracket")).cast("double"),
             )
-            .otherwise(at.getField("v"))
+            .otherwise(at.getField("_v"))
             .alias(name)
         )
-    return running.groupBy(*cols(by), "n").agg(*found)
+    return running.groupBy(*cols(by), "_n").agg(*found)
 
 
 def quantiles(
@@ -123,13 +123,13 @@ def quantiles(
     """Linear-interpolated quantiles at ``(n - 1) * p``, one row per group."""
     ranks = {}
     for name, p in probs.items():
-        at = (F.col("n") - 1) * F.lit(float(p))
+        at = (F.col("_n") - 1) * F.lit(float(p))
         ranks[f"_{name}_lo"] = (float(p), F.floor(at))
         ranks[f"_{name}_hi"] = (float(p), F.ceil(at))
     stats = order_stats(df, by, value, ranks, accuracy)
     out = []
     for name, p in probs.items():
-        at = (F.col("n") - 1) * F.lit(float(p))
+        at = (F.col("_n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return stats.select(*cols(by), "n", *out)
+    return stats.select(*cols(by), "_n", *out)

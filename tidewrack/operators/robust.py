@@ -53,7 +53,7 @@ def _named(fun: str | Sequence[str], name: str) -> dict[str, str]:
 
 
 def _fences(df: DataFrame, by: Sequence[str], value: str, k: float, accuracy: int, extra=None):
-    q = quantiles(df, by, value, {"_q1": 0.25, "_q3": 0.75, **(extra or {})}, accuracy).drop("n")
+    q = quantiles(df, by, value, {"_q1": 0.25, "_q3": 0.75, **(extra or {})}, accuracy).drop("_n")
     iqr = F.col("_q3") - F.col("_q1")
     return q.withColumns({"_lo": F.col("_q1") - k * iqr, "_hi": F.col("_q3") + k * iqr})
 
@@ -76,40 +76,40 @@ def trimmed(
     are added to the moments by their count.
     """
     named = _named(fun, name)
-    cut = F.floor(F.col("n") * F.lit(float(trim)))
+    cut = F.floor(F.col("_n") * F.lit(float(trim)))
     border = order_stats(
         df,
         by,
         value,
-        {"_lo": (float(trim), cut), "_hi": (1.0 - float(trim), F.col("n") - 1 - cut)},
+        {"_lo": (float(trim), cut), "_hi": (1.0 - float(trim), F.col("_n") - 1 - cut)},
         accuracy,
     )
     x = number(value)
     rows = attach(df.select(*cols(by), x.alias("_x")), border, by).where(F.col("_x").isNotNull())
     x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
     mid = F.when((x > lo) & (x < hi), x)
-    agg = rows.groupBy(*cols(by), "n", "_lo", "_hi").agg(
-        F.count(mid).alias("m"),
-        F.coalesce(F.avg(mid), F.lit(0.0)).alias("mu"),
-        F.coalesce(F.var_pop(mid), F.lit(0.0)).alias("v"),
-        F.coalesce(F.nanvl(F.skewness(mid), F.lit(0.0)), F.lit(0.0)).alias("g"),
-        F.count_if(x <= lo).alias("upto_lo"),
-        F.count_if(x < hi).alias("below_hi"),
+    agg = rows.groupBy(*cols(by), "_n", "_lo", "_hi").agg(
+        F.count(mid).alias("_m"),
+        F.coalesce(F.avg(mid), F.lit(0.0)).alias("_mu"),
+        F.coalesce(F.var_pop(mid), F.lit(0.0)).alias("_v"),
+        F.coalesce(F.nanvl(F.skewness(mid), F.lit(0.0)), F.lit(0.0)).alias("_g"),
+        F.count_if(x <= lo).alias("_upto_lo"),
+        F.count_if(x < hi).alias("_below_hi"),
     )
     same = lo == hi
-    a = F.when(same, F.col("n") - 2 * cut).otherwise(F.col("upto_lo") - cut)
-    b = F.when(same, F.lit(0)).otherwise(F.col("n") - cut - F.col("below_hi"))
+    a = F.when(same, F.col("_n") - 2 * cut).otherwise(F.col("_upto_lo") - cut)
+    b = F.when(same, F.lit(0)).otherwise(F.col("_n") - cut - F.col("_below_hi"))
     agg = agg.withColumns({"_a": a, "_b": b})
-    a, b, m = F.col("_a"), F.col("_b"), F.col("m")
+    a, b, m = F.col("_a"), F.col("_b"), F.col("_m")
     size = m + a + b
-    mean = (m * F.col("mu") + a * lo + b * hi) / size
+    mean = (m * F.col("_mu") + a * lo + b * hi) / size
     agg = agg.withColumns({"_size": size, "_mean": mean})
     size, mean = F.col("_size"), F.col("_mean")
-    d = F.col("mu") - mean
-    sum2 = m * F.col("v") + m * d * d + a * (lo - mean) ** 2 + b * (hi - mean) ** 2
+    d = F.col("_mu") - mean
+    sum2 = m * F.col("_v") + m * d * d + a * (lo - mean) ** 2 + b * (hi - mean) ** 2
     sum3 = (
-        F.col("g") * m * F.pow("v", F.lit(1.5))
-        + 3 * d * m * F.col("v")
+        F.col("_g") * m * F.pow("_v", F.lit(1.5))
+        + 3 * d * m * F.col("_v")
         + m * d * d * d
         + a * (lo - mean) ** 3
         + b * (hi - mean) ** 3
@@ -147,7 +147,7 @@ def winsorized(
     Several statistics are named ``<name>_<fun>`` and share one pass.
     """
     named = _named(fun, name)
-    q = quantiles(df, by, value, {"_lo": at, "_hi": 1.0 - at}, accuracy).drop("n")
+    q = quantiles(df, by, value, {"_lo": at, "_hi": 1.0 - at}, accuracy).drop("_n")
     x = number(value)
     low = F.when(x < F.col("_lo"), F.col("_lo")).otherwise(x)
     clamped = F.when(low > F.col("_hi"), F.col("_hi")).otherwise(low)
@@ -176,7 +176,7 @@ def mean_iqr(
     df: DataFrame, by: Sequence[str], value: str, name: str = "mean_iqr", accuracy: int = ACCURACY
 ) -> DataFrame:
     """Mean of the values strictly between the quartiles."""
-    q = quantiles(df, by, value, {"_q1": 0.25, "_q3": 0.75}, accuracy).drop("n")
+    q = quantiles(df, by, value, {"_q1": 0.25, "_q3": 0.75}, accuracy).drop("_n")
     x = number(value)
     rows = attach(df.select(*cols(by), col(value)), q, by)
     inside = F.when((x > F.col("_q1")) & (x < F.col("_q3")), x)
@@ -204,10 +204,10 @@ def trimean(df, by, value, name="trimean", accuracy=ACCURACY) -> DataFrame:
 
 def mad(df, by, value, name="mad", accuracy=ACCURACY) -> DataFrame:
     """Median absolute deviation from the median, unscaled."""
-    med = quantiles(df, by, value, {"_med": 0.5}, accuracy).drop("n")
+    med = quantiles(df, by, value, {"_med": 0.5}, accuracy).drop("_n")
     rows = attach(df.select(*cols(by), number(value).alias("_x")), med, by)
     spread = rows.select(*cols(by), F.abs(F.col("_x") - F.col("_med")).alias("_d"))
-    return quantiles(spread, by, "_d", {name: 0.5}, accuracy).drop("n")
+    return quantiles(spread, by, "_d", {name: 0.5}, accuracy).drop("_n")
 
 
 def quantile_range(df, by, value, lower, upper, name="quantile_range", accuracy=ACCURACY) -> DataFrame:
@@ -236,7 +236,7 @@ def skew_np(df, by, value, name="skew_np", accuracy=ACCURACY, times: float = 1.0
     """(mean - median) / sample sd."""
     x = number(value)
     moments = df.groupBy(*cols(by)).agg(F.avg(x).alias("_mean"), _sd(x).alias("_sd"))
-    med = quantiles(df, by, value, {"_med": 0.5}, accuracy).drop("n")
+    med = quantiles(df, by, value, {"_med": 0.5}, accuracy).drop("_n")
     ratio = F.try_divide(F.col("_mean") - F.col("_med"), F.col("_sd"))
     return attach(moments, med, by).select(*cols(by), (ratio * times).alias(name))
 
@@ -271,7 +271,7 @@ def robust_stats_by_group(
     x = number(value)
     rows = attach(df.select(*cols(by), x.alias("_x")), q, by)
     x = F.col("_x")
-    keys = [*by, "n", "q10", "q25", "median", "q75", "q90"]
+    keys = [*by, "_n", "q10", "q25", "median", "q75", "q90"]
     inside = F.when((x > F.col("q25")) & (x < F.col("q75")), x)
     low = F.when(x < F.col("q10"), F.col("q10")).otherwise(x)
     wins = F.when(low > F.col("q90"), F.col("q90")).otherwise(low)
@@ -288,9 +288,9 @@ def robust_stats_by_group(
     lop = (F.col("q75") - F.col("median")) - (F.col("median") - F.col("q25"))
     skew_np_ = F.try_divide(F.col("mean") - F.col("median"), F.col("sd"))
     spread = rows.select(*cols(by), F.abs(x - F.col("median")).alias("_d"))
-    deviation = quantiles(spread, by, "_d", {"mad": 0.5}, accuracy).drop("n")
+    deviation = quantiles(spread, by, "_d", {"mad": 0.5}, accuracy).drop("_n")
     return attach(agg, deviation, by).select(
-        *cols(keys), "mean", "sd", "midrange", "mean_iqr", "winsorized_mean", "mad",
+        *cols(by), F.col("_n").alias("n"), *cols(keys[len(by) + 1 :]), "mean", "sd", "midrange", "mean_iqr", "winsorized_mean", "mad",
         hinge.alias("midhinge"),
         ((hinge + F.col("median")) / 2).alias("trimean"),
         (F.col("q75") - F.col("q25")).alias("iqr"),

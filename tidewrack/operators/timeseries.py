@@ -324,7 +324,7 @@ def quantile_band(
 ) -> DataFrame:
     """Low and high quantile per group, and the mean strictly between, on each row."""
     q_lo, q_mean, q_hi = names
-    band = quantiles(df, by, value, {q_lo: lo, q_hi: hi}, accuracy).drop("n")
+    band = quantiles(df, by, value, {q_lo: lo, q_hi: hi}, accuracy).drop("_n")
     x = number(value)
     inside = F.when((x > F.col(q_lo)) & (x < F.col(q_hi)), x)
     middle = attach(df, band, by).groupBy(*cols(by)).agg(
