@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewrack.operators.blocks import fill_forward, neighbours, row_index
+from tidewrack.operators.blocks import fill_forward, neighbours, row_index, with_blocks
 
 
 def series(spark, seed=1, n=240):
@@ -76,3 +76,39 @@ def test_timestamp_order_with_ties_broken(spark):
 def test_unorderable_key_is_refused(spark):
     with pytest.raises(ValueError):
         row_index(series(spark), [], ["site"])
+
+
+def test_crowded_blocks_are_split(spark):
+    # 2000 dense keys, a burst inside them, and one far outlier stretching the range
+    df = spark.sql(
+        "select id k from range(2000) union all select 1000000 + id * 40 from range(2000) "
+        "union all select 4000000000 union all select null"
+    ).selectExpr("k", "coalesce(k, -1) x")
+    blocked = with_blocks(df, ["k"], block_rows=20)
+    sizes = blocked.groupBy("_blk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 80 and sizes.count() > 50  # needs three cuts
+    border = blocked.groupBy("_blk").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("_blk").collect()
+    assert all(a.hi < b.lo for a, b in zip(border, border[1:]))
+    w = Window.orderBy("k")
+    want = df.select("k", F.lag("x", 2).over(w).alias("p"), F.row_number().over(w).cast("bigint").alias("i"))
+    got = neighbours(df, [], ["k"], ["x"], lags=[2], block_rows=20).select("k", F.col("_lag2.x").alias("p"), "x")
+    numbered = row_index(got, [], ["k"], "i", block_rows=20).select("k", "p", "i")
+    assert rows_of(numbered) == rows_of(want)
+
+
+def test_a_hot_stamp_is_cut_by_the_next_column(spark):
+    # half the rows carry the same wrong stamp; ids tell them apart
+    df = spark.sql(
+        "select timestamp_ntz'2024-01-01' + interval '1' minute * (case when id % 2 = 0 then 7 else id end) ts, "
+        "id * 3 id, case when id % 5 = 0 then id end x from range(1000)"
+    )
+    blocked = with_blocks(df, ["ts", "id"], block_rows=20)
+    assert blocked.groupBy("_blk").count().agg(F.max("count")).first()[0] <= 80
+    w = Window.orderBy("ts", "id")
+    want = df.select(
+        "ts", "id", F.last("x", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x"),
+        F.lead("id", 3).over(w).alias("n"),
+    )
+    filled = fill_forward(df, [], ["ts", "id"], ["x"], block_rows=20)
+    got = neighbours(filled, [], ["ts", "id"], ["id"], leads=[3], block_rows=20)
+    assert rows_of(got.select("ts", "id", "x", F.col("_lead3.id").alias("n"))) == rows_of(want)

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import micros
-from ..functions.columns import col, cols, require
+from ..functions.columns import all_of, col, cols, require
+from .staging import settled
 
 BLOCK_ROWS = 1 << 16
+MAX_CUTS = 8  # each cut makes crowded slices at least four times finer
 
 
 def order_number(df: DataFrame, name: str) -> Column:
@@ -51,7 +53,7 @@ class Blocked:
     ):
         require(df, [*by, *order])
         self.by, self.order, self.columns = list(by), list(order), df.columns
-        self.df = df.withColumn("_blk", _block(df, order, block_rows)).withColumn(
+        self.df = with_blocks(df, order, block_rows).withColumn(
             "_grp", F.struct(*cols(by), F.lit(0).alias("_"))
         )
         self.window = self.inside(Window.partitionBy("_grp", "_blk"))
@@ -90,32 +92,96 @@ class Blocked:
         )
 
 
-def _block(df: DataFrame, order: Sequence[str], block_rows: int) -> Column:
-    """Block number: equal slices of the key range, about ``block_rows`` each.
+def with_blocks(
+    df: DataFrame, order: Sequence[str], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``_blk``: where a row's first ordering value lies in its range.
 
-    Range and row count come from one column-pruned aggregate, evaluated as a
-    scalar subquery of the same query.
+    The range is cut into equal slices of about ``block_rows`` rows. Where
+    rows crowd (a burst, or a range stretched by a few wrong stamps) a slice
+    holds more; slices of more than four times the size are cut again by
+    their own row count, as often as it takes. If a crowded slice is down to
+    a single ordering value, the next ordering column cuts it. Counting reads
+    the ordering columns only, is combined on the map side, and is skipped
+    for small tables. Rows alike in all whole-numbered ordering columns stay
+    together.
     """
     number = order_number(df, order[0])
-    span = (
-        df.select(number.alias("k"))
-        .agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n"))
-        .select(
-            F.struct(
-                F.coalesce("lo", F.lit(0).cast("bigint")).alias("lo"),
-                F.greatest(
-                    F.lit(1).cast("bigint"),
-                    F.ceil(
-                        (F.coalesce("hi", F.lit(0)) - F.coalesce("lo", F.lit(0)) + 1)
-                        / F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows))
-                    ),
-                ).alias("width"),
-            ).alias("s")
+    lo, hi, n = (
+        df.select(number.alias("_pos")).agg(F.min("_pos"), F.max("_pos"), F.count("*")).first()
+    )
+    lo, hi = lo or 0, hi or 0
+    width = max(1, -(-(hi - lo + 1) // max(1, -(-n // block_rows))))
+    first = F.lit(width).cast("bigint")
+    rows = _cut(df, df.columns, [], number - F.lit(lo).cast("bigint"), first, first)
+    levels, limit = ["_b0"], 4 * block_rows
+    parts = F.ceil(F.col("_n") / block_rows)
+    for following in [*order[1:], None]:
+        while n > limit and len(levels) < MAX_CUTS:
+            crowded = settled(
+                rows.groupBy(*levels, "_width")
+                .agg(F.count("*").alias("_n"))
+                .where((F.col("_n") > limit) & (F.col("_width") > 1))
+                .select(*levels, F.ceil(F.col("_width") / parts).alias("_finer"))
+            )
+            if crowded.isEmpty():
+                break
+            rows = _cut(
+                _beside(rows, crowded, levels), df.columns, levels,
+                F.col("_off"), F.coalesce(F.col("_finer"), F.col("_width")), F.col("_width"),
+            )
+            levels.append(f"_b{len(levels)}")
+        if n <= limit or following is None or not _countable(df, following):
+            break
+        at = order_number(df, following)
+        tied = settled(
+            rows.withColumn("_at", at)
+            .groupBy(*levels, "_width")
+            .agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+            .where((F.col("_n") > limit) & (F.col("_width") == 1) & (F.col("_lo") < F.col("_hi")))
+            .select(*levels, "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts).alias("_finer"))
         )
-        .scalar()
+        if tied.isEmpty():
+            break
+        plain = F.lit(1).cast("bigint")
+        rows = _cut(
+            _beside(rows, tied, levels), df.columns, levels,
+            F.when(F.col("_finer").isNull(), F.lit(0).cast("bigint")).otherwise(at - F.col("_lo")),
+            F.coalesce(F.col("_finer"), plain), plain,
+        )
+        levels.append(f"_b{len(levels)}")
+    return rows.select(*cols(df.columns), F.struct(*levels).alias("_blk"))
+
+
+def _countable(df: DataFrame, name: str) -> bool:
+    kinds = T.TimestampNTZType | T.TimestampType | T.DateType | T.NumericType
+    return isinstance(df.schema[name].dataType, kinds)
+
+
+def _beside(rows: DataFrame, found: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """Rows with the settled table of slices to cut; its size decides the join."""
+    right = found.select(
+        *[F.col(c).alias(f"_c{c}") for c in levels], *[c for c in found.columns if c not in levels]
+    )
+    return rows.join(right, all_of([F.col(c) == F.col(f"_c{c}") for c in levels]), "left")
+
+
+def _cut(
+    rows: DataFrame, keep: Sequence[str], levels: Sequence[str], off: Column, width: Column, old: Column
+) -> DataFrame:
+    """One more level: which piece of ``width`` an offset falls in, and where.
+
+    A slice whose width stays as it was keeps all its rows in piece 0.
+    """
+    whole = (width == old) if levels else F.lit(False)
+    piece = F.when(whole, F.lit(0).cast("bigint")).otherwise(F.call_function("div", off, width))
+    return rows.select(
+        *cols(keep),
+        *levels,
+        F.coalesce(piece, F.lit(-1).cast("bigint")).alias(f"_b{len(levels)}"),
+        F.coalesce(F.pmod(off, width), F.lit(0).cast("bigint")).alias("_off"),
+        width.alias("_width"),
     )
-    step = F.floor((number - span.getField("lo")) / span.getField("width"))
-    return F.coalesce(step, F.lit(-1)).cast("bigint")
 
 
 def neighbours(
