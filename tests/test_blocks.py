@@ -24,7 +24,7 @@ def rows_of(df):
 
 
 @pytest.mark.parametrize("by", [["site"], []])
-@pytest.mark.parametrize("block_rows", [3, 17, 1000])
+@pytest.mark.parametrize("block_rows", [5, 1000])
 def test_neighbours(spark, by, block_rows):
     df = series(spark)
     w = Window.partitionBy(*by).orderBy("record")
@@ -47,7 +47,7 @@ def test_neighbours(spark, by, block_rows):
 
 
 @pytest.mark.parametrize("by", [["site"], []])
-@pytest.mark.parametrize("block_rows", [3, 1000])
+@pytest.mark.parametrize("block_rows", [5, 1000])
 def test_fill_forward_and_row_index(spark, by, block_rows):
     df = series(spark, seed=2)
     w = Window.partitionBy(*by).orderBy("record")
