@@ -147,5 +147,15 @@ def test_csv_row_numbers_and_null(spark, tmp_path):
     assert lines == ["1,10,a", "2,20,b", "3,30,NA"]
 
 
-def test_shared_folder_follows_the_session(spark):
-    assert sources.shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+class Session:
+    """Stands in for a session with or without a checkpoint folder."""
+
+    def __init__(self, folder):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"applicationId": "app-1"})
+
+
+def test_shared_folder_follows_the_session():
+    assert sources.shared_folder(Session("hdfs://x/ck/"), "t") == "hdfs://x/ck/tidewrack/app-1/t"
+    local = sources.shared_folder(Session(None), "t")
+    assert local.endswith("/tidewrack/app-1/t") and local == sources.shared_folder(Session(None), "t")

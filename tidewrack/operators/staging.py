@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cols, keyed, matches
 
+_local: dict[str, str] = {}  # application -> folder, for sessions without a shared one
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder all executors see, below the cluster's checkpoint folder.
 
     Only a session without one (as in tests) gets a local folder.
     """
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidewrack-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidewrack/{spark.sparkContext.applicationId}/{name}"
+        base = _local.setdefault(app, "") or tempfile.mkdtemp(prefix="tidewrack-")
+        _local[app] = base
+    return f"{base.rstrip('/')}/tidewrack/{app}/{name}"
 
 
 def settled(df: DataFrame) -> DataFrame:
