@@ -1,7 +1,6 @@
 """Joins, duplicates and set comparison."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidewrack.operators import joins, quality
 

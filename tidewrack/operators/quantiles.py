@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ColumnLike, col, cols, number
+from ..functions.columns import ColumnLike, cols, number
 from .staging import attach
 
 ACCURACY = 10_000

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..operators.staging import shared_folder
 from ..sources import readers, writers
 from . import views
 from .registry import query
@@ -14,7 +15,7 @@ from .views import LOGGER, table
 
 def folder(spark, sf, name: str) -> str:
     size = sf.rstrip("/").rsplit("/", 1)[-1]
-    return writers.shared_folder(spark, f"{size}/{name}")
+    return shared_folder(spark, f"{size}/{name}")
 
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, value double"

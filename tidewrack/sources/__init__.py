@@ -1,4 +1,5 @@
 """Readers and writers for station, logger, sonde and table files."""
+from ..operators.staging import shared_folder  # noqa: F401
 from .readers import (  # noqa: F401
     bind_files_by_key,
     import_stations,
@@ -11,4 +12,4 @@ from .readers import (  # noqa: F401
     select_files,
     text_schema,
 )
-from .writers import shared_folder, write_csv_table, write_logger  # noqa: F401
+from .writers import write_csv_table, write_logger  # noqa: F401

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from ..functions import clock
 from ..functions.columns import col, cols, require
 from ..operators.blocks import row_index
-from ..operators.staging import shared_folder
 from ..operators.timeseries import TOD
 
 
