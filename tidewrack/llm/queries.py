@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, simhash, url_filter
-from .common import remainder, table
+from . import dac, decontaminate, language_id, packing, simhash, url_filter
+from .common import remainder, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,6 +37,54 @@ def language_model(docs: DataFrame) -> language_id.Model:
     return language_id.train(language_id.training_rows(docs.filter(remainder(F.col("doc_id"), 3) != 1)))
 
 
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark that every document repeats."""
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        F.col("contamination.n_words").alias("n_words"),
+        decontaminate.n_hit().alias("n_hit"),
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("contamination.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("contamination.ranges") > 0).alias("contaminated"),
+    )
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents packed into sequences of 2048, under the names the query returns."""
+    found = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1)
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files and read back."""
+    path = shared_folder(spark)
+    dac.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return dac.read_tokens(spark, path).select(
+        F.col("key").alias("doc_id"),
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 @query
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
