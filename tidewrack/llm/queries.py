@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontaminate, language_id, license_scan, packing, simhash, topk, url_filter
+from . import chat, dac, decontaminate, language_id, license_scan, lm, packing, simhash, topk, url_filter
 from .common import remainder, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of the documents whose crc32 modulo 5 is not 1."""
+    found = lm.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) != 1)
+    return found.select(
+        F.col("key").alias("doc_id"),
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file."""
     import public_tokenizers

@@ -14,7 +14,8 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
+PART_CHARS = 1_000_000
 # The pre-tokenizer patterns of the two kinds of files, over the characters of plain texts.
 _L, _N, _S = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "0-9", r"\t-\r "
 _SIGNS = "¡¿«»§°·×–—‘’“”…€"
@@ -61,11 +62,21 @@ class Encoder:
                 begin = end
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text (null: none), without any end id."""
+        """Ids of each text (null: none), without any end id; some texts at a time, so that few are held in pieces."""
+        out, part, chars = [], [], 0
+        for x in texts:
+            part.append(x or "")
+            chars += len(part[-1])
+            if chars > PART_CHARS:
+                out += self._encode_part(part)
+                part, chars = [], 0
+        return out + self._encode_part(part)
+
+    def _encode_part(self, texts: list[str]) -> list[np.ndarray]:
         pieces: list[list[str] | None] = []
         for x in texts:
-            plain = x is None or ("<|" not in x and (x.isascii() or _plain.fullmatch(x)))
-            pieces.append(self.cut.findall((x or "").lower() if self.bare else x or "") if plain else None)
+            plain = "<|" not in x and (x.isascii() or _plain.fullmatch(x))
+            pieces.append(self.cut.findall(x.lower() if self.bare else x) if plain else None)
         if len(self.cache) > self.cache_words:
             self.cache = {}
         self._learn(list({p for own in pieces if own for p in own}.difference(self.cache)))
