@@ -89,15 +89,16 @@ def _bound(ids, order, lo, hi, d, word, right):
     return lo
 
 
-def search(ids: np.ndarray, order: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every suffix of ``tests.starts``: longest match, its first place, and the slots of its window.
+def search(ids: np.ndarray, order: np.ndarray, tests: Suffixes) -> tuple[np.ndarray, ...]:
+    """For every suffix of ``tests.starts``: its longest match and the places of its window.
 
-    Returns (length, place, lo, hi): the window (if the suffix begins one)
-    stands at ``order[lo:hi]``. Matches shorter than the shortest window are
-    not in the array, so their length may be reported as less.
+    Returns (length, lo, hi, from, to): the longest match has that length and
+    stands at ``order[lo:hi]``, the window (if the suffix begins one) at
+    ``order[from:to]``. Matches shorter than the shortest window are not in
+    the array, so their length may be reported as less.
     """
     n = len(tests.starts)
-    length, place = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    length = np.zeros(n, np.int64)
     lo, hi = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
     from_, to = np.zeros(n, np.int64), np.zeros(n, np.int64)
     left, width = tests.left[tests.starts], tests.width[tests.starts]
@@ -110,10 +111,10 @@ def search(ids: np.ndarray, order: np.ndarray, tests: Suffixes) -> tuple[np.ndar
         todo, a, b = todo[a < b], a[a < b], b[a < b]
         if not len(todo):
             break
-        lo[todo], hi[todo], length[todo], place[todo] = a, b, d + 1, order[a]
+        lo[todo], hi[todo], length[todo] = a, b, d + 1
         whole = width[todo] == d + 1
         from_[todo[whole]], to[todo[whole]] = a[whole], b[whole]
-    return length, place, from_, to
+    return length, lo, hi, from_, to
 
 
 class Shard:
@@ -129,7 +130,7 @@ class Shard:
         known = np.flatnonzero(self.ids)
         run = zeros[np.searchsorted(zeros, known)] - known
         self.order = suffix_array(self.ids, known[run >= tests.shortest], tests.longest)
-        self.length, self.place, self.lo, self.hi = search(self.ids, self.order, tests)
+        self.length, self.longest_lo, self.longest_hi, self.lo, self.hi = search(self.ids, self.order, tests)
 
     def document(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, places, side="right") - 1
@@ -270,7 +271,9 @@ def longest_matches(
                 part = part.sort_values("doc", kind="stable")
                 shard = Shard(part["text"].tolist(), tests)
                 got = np.flatnonzero(shard.length >= tests.shortest)
-                doc = shard.document(shard.place[got])
+                slots = zip(shard.longest_lo[got].tolist(), shard.longest_hi[got].tolist())
+                place = np.array([shard.order[a:b].min() for a, b in slots], dtype=np.int64)
+                doc = shard.document(place)
                 at = tests.starts[got]
                 yield pd.DataFrame(
                     {
@@ -278,7 +281,7 @@ def longest_matches(
                         "start": at - begin[np.searchsorted(begin, at, side="right") - 1],
                         "length": shard.length[got],
                         "doc": part["doc"].to_numpy()[doc],
-                        "place": shard.place[got] - shard.first[doc],
+                        "place": place - shard.first[doc],
                     }
                 )
 
