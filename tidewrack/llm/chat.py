@@ -115,6 +115,10 @@ def _spoken(role: Column, roles: dict[str, str]) -> Column:
     return role
 
 
+def _turn_of(x: Layout):
+    return lambda t: F.struct(_spoken(t[x.role], x.roles).alias("role"), t[x.text].alias("text"))
+
+
 def turns_of_records(records: DataFrame, key: str, record: str) -> DataFrame:
     """(conv, place, role, text) of JSON records, each mapped by its own fingerprint.
 
@@ -128,7 +132,7 @@ def turns_of_records(records: DataFrame, key: str, record: str) -> DataFrame:
         if x.turns:
             shape = f"array<struct<`{x.role}`:string,`{x.text}`:string>>"
             listed = F.from_json(F.get_json_object("r", f"$.{x.turns}"), shape)
-            found = F.transform(listed, lambda t, x=x: F.struct(_spoken(t[x.role], x.roles).alias("role"), t[x.text].alias("text")))
+            found = F.transform(listed, _turn_of(x))
         elif x.whole:
             found = F.array(
                 *[
