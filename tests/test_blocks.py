@@ -112,3 +112,53 @@ def test_a_hot_stamp_is_cut_by_the_next_column(spark):
     filled = fill_forward(df, [], ["ts", "id"], ["x"], block_rows=20)
     got = neighbours(filled, [], ["ts", "id"], ["id"], leads=[3], block_rows=20)
     assert rows_of(got.select("ts", "id", "x", F.col("_lead3.id").alias("n"))) == rows_of(want)
+
+
+def ordered(df, order, block_rows, by=()):
+    """Rows must come in order of (series, block, order), and blocks must not interleave."""
+    blocked = with_blocks(df, order, block_rows, by)
+    w = Window.partitionBy("_grp").orderBy(*order)
+    placed = blocked.withColumn("i", F.row_number().over(w))
+    spans = placed.groupBy("_grp", "_blk").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count("*").alias("n"))
+    assert spans.where("hi - lo + 1 <> n").count() == 0
+    follow = Window.partitionBy("_grp").orderBy("_blk")
+    assert spans.withColumn("after", F.lead("lo").over(follow)).where("after < hi").count() == 0
+    return spans
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(9,4)"])
+def test_fractional_order_keys(spark, kind):
+    df = spark.sql(
+        f"select cast(case when id % 50 = 0 then null else rand(3) * pow(10, id % 5) - 1 end as {kind}) x, id k from range(2000)"
+    )
+    if kind != "decimal(9,4)":
+        odd = [float("nan"), float("inf"), float("-inf"), 1e308, -1e308]
+        df = df.union(spark.createDataFrame([(x, 9000 + i) for i, x in enumerate(odd * 30)], "x double, k bigint").selectExpr(f"cast(x as {kind})", "k"))
+    spans = ordered(df, ["x", "k"], 20)
+    assert spans.agg(F.max("n")).first()[0] <= 80
+    got = row_index(df, [], ["x", "k"], "i", block_rows=20)
+    want = df.withColumn("i", F.row_number().over(Window.orderBy("x", "k")).cast("bigint"))
+    assert rows_of(got) == rows_of(want)
+
+
+def test_wide_bigints(spark):
+    df = spark.sql("select cast((id - 500) * 18000000000000000 as bigint) x from range(1000)")
+    assert ordered(df, ["x"], 10).agg(F.max("n")).first()[0] <= 40
+
+
+def test_long_decimals_are_refused(spark):
+    with pytest.raises(ValueError):
+        row_index(spark.sql("select cast(1 as decimal(30,2)) x"), [], ["x"])
+
+
+@pytest.mark.parametrize("tie", ["repeat('same long start ', 3) || lpad(cast(id as string), 5, '0')", "cast(id as string)"])
+def test_null_and_equal_keys_are_cut_by_text(spark, tie):
+    df = spark.sql(f"select cast(case when id % 2 = 0 then null else 7 end as bigint) x, {tie} t from range(1000)")
+    assert ordered(df, ["x", "t"], 20).agg(F.max("n")).first()[0] <= 80
+
+
+def test_many_series_have_few_blocks(spark):
+    df = spark.sql("select id % 300 s, id k from range(15000)").union(spark.sql("select -1L, id from range(8000)"))
+    spans = ordered(df, ["k"], 100, ["s"])
+    assert spans.count() <= 2 * (301 + 23000 // 100)
+    assert spans.agg(F.max("n")).first()[0] <= 400

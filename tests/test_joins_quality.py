@@ -10,12 +10,12 @@ from .helpers import frame, rows, ts
 def test_overlapping_intervals_take_the_first_listed(spark):
     dep = frame(
         spark, "seq int,start_ts ts,end_ts ts,label string",
-        [(7, "2023-07-10 10:40:00", "2023-08-02 10:01:00", "Romeo"), (8, "2023-08-02 09:05:00", "2023-09-04 08:54:00", "Taxi")],
+        [(7, "2023-03-01 06:00:00", "2023-03-20 18:00:00", "first"), (8, "2023-03-20 12:00:00", "2023-04-10 06:30:00", "second")],
     )
-    at = ["2023-07-10 10:39:59", "2023-07-10 10:40:00", "2023-08-02 09:30:00", "2023-08-02 10:01:00",
-          "2023-08-02 10:01:01", "2023-09-04 08:54:00", "2023-09-04 08:54:01"]
+    at = ["2023-03-01 05:59:59", "2023-03-01 06:00:00", "2023-03-20 15:00:00", "2023-03-20 18:00:00",
+          "2023-03-20 18:00:01", "2023-04-10 06:30:00", "2023-04-10 06:30:01"]
     out = joins.interval_join_first(frame(spark, "t ts", [(a,) for a in at]), "t", dep, name="sonde")
-    assert [r[1] for r in rows(out, "t")] == [None, "Romeo", "Romeo", "Romeo", "Taxi", "Taxi", None]
+    assert [r[1] for r in rows(out, "t")] == [None, "first", "first", "first", "second", "second", None]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 

@@ -104,10 +104,10 @@ def test_gaps_voltage_and_hour_shift(spark):
 
 
 DEPLOY = [
-    (0, "2023-01-01 00:00:00", "2023-01-01 01:00:00", "Taxi"),
-    (1, "2023-01-01 01:05:00", "2023-01-01 02:00:00", "Valence"),
-    (2, "2023-01-01 02:20:00", "2023-01-01 03:30:00", "Taxi"),
-    (3, "2023-01-01 03:31:00", "2023-01-01 05:00:00", "Valence"),
+    (0, "2023-01-01 00:00:00", "2023-01-01 01:00:00", "one"),
+    (1, "2023-01-01 01:05:00", "2023-01-01 02:00:00", "two"),
+    (2, "2023-01-01 02:20:00", "2023-01-01 03:30:00", "one"),
+    (3, "2023-01-01 03:31:00", "2023-01-01 05:00:00", "two"),
 ]
 
 
@@ -120,13 +120,13 @@ def test_offset_correction(spark, block_rows):
     x = tsr.deployment_start_number(joins.interval_join_first(df, "ts", dep, name="sonde"), dep, "ts")
     starts = {r.ts.strftime("%H:%M"): r.deploy for r in x.collect() if r.deploy is not None}
     assert starts == {"00:00": 0, "01:15": 1, "02:30": 2, "03:45": 3}
-    out = tsr.deployment_offset_correction(x, "Valence", {"sal": 1}, block_rows=block_rows).orderBy("ts").collect()
+    out = tsr.deployment_offset_correction(x, "two", {"sal": 1}, block_rows=block_rows).orderBy("ts").collect()
     diff = [r.sal_diff for r in out]
     # deployment 1 starts at row 5 with a jump of 3, held to its end at row 8; row 9 is between deployments;
     # deployment 3 starts at row 15 with an unknown jump, so the earlier offset (0) is carried
     assert diff == [0.0] * 5 + [3.0] * 4 + [0.0] * 12
     assert [r.sal for r in out][5:9] == [30.0, 30.0, 31.0, 30.0]
-    mirrored = tsr.deployment_offset_correction(x, "Valence", {"sal": -1}, block_rows=block_rows).orderBy("ts").collect()
+    mirrored = tsr.deployment_offset_correction(x, "two", {"sal": -1}, block_rows=block_rows).orderBy("ts").collect()
     assert [r.sal for r in mirrored] == [r.sal for r in out]
     assert mirrored[5].sal_diff == -3.0
 

@@ -9,13 +9,13 @@ has one row per block, is built with map-side aggregation, and joins on the
 keys the rows are already partitioned by, so the rows are shuffled once.
 
 ``order`` names the ordering columns; the first must be a number, date or
-timestamp and decides the block. Together they should order a series
-completely, as Spark rows have no other order.
+timestamp. Together they should order a series completely, as Spark rows have
+no other order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -26,21 +26,49 @@ from ..functions.columns import all_of, col, cols, require
 from .staging import settled
 
 BLOCK_ROWS = 1 << 16
-MAX_CUTS = 8  # each cut makes crowded slices at least four times finer
+MARKS = ["_grp", "_blk"]
+TEXT_BYTES = 7  # of a text, as one whole number
+
+_STAMPS = T.TimestampNTZType | T.TimestampType
+_FRACTIONS = T.DoubleType | T.FloatType
 
 
 def order_number(df: DataFrame, name: str) -> Column:
-    """The first ordering column as a whole number."""
+    """An ordering column as a number of the same order and the same ties.
+
+    Whole numbers, stamps, days and decimals of up to 18 digits become
+    bigints; doubles and floats stay doubles.
+    """
     kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampNTZType | T.TimestampType):
+    if isinstance(kind, _STAMPS):
         return micros(name)
     if isinstance(kind, T.DateType):
         return F.datediff(col(name), F.lit("1970-01-01").cast("date")).cast("bigint")
+    if isinstance(kind, _FRACTIONS):
+        return col(name).cast("double")
+    if isinstance(kind, T.DecimalType):
+        if kind.precision > 18:
+            raise ValueError(f"{name} is {kind.simpleString()}: order by a decimal of at most 18 digits or a double")
+        return (col(name) * F.lit(10**kind.scale).cast("decimal(19,0)")).cast("bigint")
     if isinstance(kind, T.NumericType):
-        return F.floor(col(name)).cast("bigint")
+        return col(name).cast("bigint")
     raise ValueError(f"{name} is {kind.simpleString()}: order by a number, date or timestamp")
 
 
+def _numbers(df: DataFrame, name: str) -> Iterator[Column]:
+    """The numbers that order by a column, one after the other; several for long texts, none for other kinds."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        longest = df.agg(F.max(F.octet_length(col(name)))).first()[0] or 0
+        for at in range(1, longest + 1, TEXT_BYTES):
+            digits = F.rpad(F.hex(F.substring(col(name).cast("binary"), at, TEXT_BYTES)), 2 * TEXT_BYTES, "0")
+            yield F.conv(digits, 16, 10).cast("bigint")
+    elif isinstance(kind, T.BooleanType):
+        yield col(name).cast("bigint")
+    elif isinstance(kind, T.NumericType | T.DateType | _STAMPS):
+        yield order_number(df, name)
+
+
 class Blocked:
     """A DataFrame cut into blocks, and the window that walks inside one."""
 
@@ -50,12 +78,13 @@ class Blocked:
         by: Sequence[str],
         order: Sequence[str],
         block_rows: int = BLOCK_ROWS,
+        marked: bool = False,
     ):
+        """``marked``: the rows come from an earlier operator of the same series and order that kept its marks."""
         require(df, [*by, *order])
-        self.by, self.order, self.columns = list(by), list(order), df.columns
-        self.df = with_blocks(df, order, block_rows).withColumn(
-            "_grp", F.struct(*cols(by), F.lit(0).alias("_"))
-        )
+        self.by, self.order = list(by), list(order)
+        self.columns = [c for c in df.columns if c not in MARKS] if marked else df.columns
+        self.df = df if marked else with_blocks(df, order, block_rows, by)
         self.window = self.inside(Window.partitionBy("_grp", "_blk"))
 
     def inside(self, part: WindowSpec) -> WindowSpec:
@@ -93,95 +122,89 @@ class Blocked:
 
 
 def with_blocks(
-    df: DataFrame, order: Sequence[str], block_rows: int = BLOCK_ROWS
+    df: DataFrame, order: Sequence[str], block_rows: int = BLOCK_ROWS, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``_blk``: where a row's first ordering value lies in its range.
-
-    The range is cut into equal slices of about ``block_rows`` rows. Where
-    rows crowd (a burst, or a range stretched by a few wrong stamps) a slice
-    holds more; slices of more than four times the size are cut again by
-    their own row count, as often as it takes. If a crowded slice is down to
-    a single ordering value, the next ordering column cuts it. Counting reads
-    the ordering columns only, is combined on the map side, and is skipped
-    for small tables. Rows alike in all whole-numbered ordering columns stay
-    together.
+    """Add ``_grp`` (the series) and ``_blk``: which block of its series a row lies in.
+
+    A series of up to four times ``block_rows`` rows is one block. A longer
+    one is cut into equal ranges of the first ordering column, and a range
+    that still holds too many rows is cut again by its own range and row
+    count. Rows that agree in the column are told apart by the next one, as
+    many times as it takes; NULLs, infinities and NaN have ranges of their
+    own. Only rows alike in all ordering columns stay together. Each cut
+    counts the ordering columns with map-side aggregation; all of it is
+    skipped for small tables.
     """
-    number = order_number(df, order[0])
-    lo, hi, n = (
-        df.select(number.alias("_pos")).agg(F.min("_pos"), F.max("_pos"), F.count("*")).first()
-    )
-    lo, hi = lo or 0, hi or 0
-    width = max(1, -(-(hi - lo + 1) // max(1, -(-n // block_rows))))
-    first = F.lit(width).cast("bigint")
-    rows = _cut(df, df.columns, [], number - F.lit(lo).cast("bigint"), first, first)
-    levels, limit = ["_b0"], 4 * block_rows
-    parts = F.ceil(F.col("_n") / block_rows)
-    for following in [*order[1:], None]:
-        while n > limit and len(levels) < MAX_CUTS:
-            crowded = settled(
-                rows.groupBy(*levels, "_width")
-                .agg(F.count("*").alias("_n"))
-                .where((F.col("_n") > limit) & (F.col("_width") > 1))
-                .select(*levels, F.ceil(F.col("_width") / parts).alias("_finer"))
-            )
-            if crowded.isEmpty():
-                break
-            rows = _cut(
-                _beside(rows, crowded, levels), df.columns, levels,
-                F.col("_off"), F.coalesce(F.col("_finer"), F.col("_width")), F.col("_width"),
-            )
-            levels.append(f"_b{len(levels)}")
-        if n <= limit or following is None or not _countable(df, following):
-            break
-        at = order_number(df, following)
-        tied = settled(
-            rows.withColumn("_at", at)
-            .groupBy(*levels, "_width")
-            .agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-            .where((F.col("_n") > limit) & (F.col("_width") == 1) & (F.col("_lo") < F.col("_hi")))
-            .select(*levels, "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts).alias("_finer"))
+    order_number(df, order[0])  # refuses what cannot decide a block
+    rows = df.withColumn("_grp", F.struct(*cols(by), F.lit(0).alias("_")))
+    limit, levels = 4 * block_rows, []
+    if df.select(*cols(order[:1])).count() > limit:
+        for name in order:
+            for at in _numbers(df, name):
+                while (finer := _crowded(rows, levels, at, limit)) is not None:
+                    rows = _cut(rows, df.columns, levels, at, finer, block_rows)
+                    levels.append(f"_b{len(levels)}")
+    return rows.select(*cols(df.columns), "_grp", F.struct(*levels, F.lit(0).alias("_")).alias("_blk"))
+
+
+def _finite(x: Column) -> Column:
+    """The number, NULL where it is NULL, NaN or infinite."""
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def _crowded(rows: DataFrame, levels: Sequence[str], at: Column, limit: int) -> DataFrame | None:
+    """Blocks of more than ``limit`` rows that this number can cut, with its range; None without any."""
+    marked = rows.select("_grp", *levels, at.alias("_at"), _finite(at).alias("_fin"))
+    odd = F.when(F.col("_fin").isNull(), F.coalesce(F.col("_at").cast("string"), F.lit("none")))
+    found = settled(
+        marked.groupBy("_grp", *levels)
+        .agg(
+            F.count("*").alias("_n"),
+            F.min("_fin").alias("_lo"),
+            F.max("_fin").alias("_hi"),
+            F.min(odd).alias("_odd0"),
+            F.max(odd).alias("_odd1"),
         )
-        if tied.isEmpty():
-            break
-        plain = F.lit(1).cast("bigint")
-        rows = _cut(
-            _beside(rows, tied, levels), df.columns, levels,
-            F.when(F.col("_finer").isNull(), F.lit(0).cast("bigint")).otherwise(at - F.col("_lo")),
-            F.coalesce(F.col("_finer"), plain), plain,
+        .where(F.col("_n") > limit)
+        .where(
+            (F.col("_lo") < F.col("_hi"))
+            | (F.col("_odd0") < F.col("_odd1"))
+            | (F.col("_lo").isNotNull() & F.col("_odd0").isNotNull())
         )
-        levels.append(f"_b{len(levels)}")
-    return rows.select(*cols(df.columns), F.struct(*levels).alias("_blk"))
-
-
-def _countable(df: DataFrame, name: str) -> bool:
-    kinds = T.TimestampNTZType | T.TimestampType | T.DateType | T.NumericType
-    return isinstance(df.schema[name].dataType, kinds)
-
-
-def _beside(rows: DataFrame, found: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """Rows with the settled table of slices to cut; its size decides the join."""
-    right = found.select(
-        *[F.col(c).alias(f"_c{c}") for c in levels], *[c for c in found.columns if c not in levels]
+        .select("_grp", *levels, "_n", "_lo", "_hi")
     )
-    return rows.join(right, all_of([F.col(c) == F.col(f"_c{c}") for c in levels]), "left")
+    return None if found.isEmpty() else found
 
 
 def _cut(
-    rows: DataFrame, keep: Sequence[str], levels: Sequence[str], off: Column, width: Column, old: Column
+    rows: DataFrame, keep: Sequence[str], levels: Sequence[str], at: Column, finer: DataFrame, block_rows: int
 ) -> DataFrame:
-    """One more level: which piece of ``width`` an offset falls in, and where.
-
-    A slice whose width stays as it was keeps all its rows in piece 0.
-    """
-    whole = (width == old) if levels else F.lit(False)
-    piece = F.when(whole, F.lit(0).cast("bigint")).otherwise(F.call_function("div", off, width))
-    return rows.select(
-        *cols(keep),
-        *levels,
-        F.coalesce(piece, F.lit(-1).cast("bigint")).alias(f"_b{len(levels)}"),
-        F.coalesce(F.pmod(off, width), F.lit(0).cast("bigint")).alias("_off"),
-        width.alias("_width"),
+    """One more level: the piece of its block's range that a row lies in; 0 in blocks that stay whole."""
+    keys = ["_grp", *levels]
+    right = finer.select(*[F.col(c).alias(f"_c{c}") for c in keys], "_n", "_lo", "_hi")
+    joined = rows.withColumn("_at", at).join(right, all_of([F.col(c) == F.col(f"_c{c}") for c in keys]), "left")
+    parts, x = F.ceil(F.col("_n") / block_rows), F.col("_at")
+    if dict(joined.dtypes)["_at"] == "bigint":
+        # in decimals, as the range of bigints does not fit one
+        off, width = (F.expr(f"cast({e} as decimal(20,0))") for e in ("_at", "_hi"))
+        low = F.expr("cast(_lo as decimal(20,0))")
+        piece = F.floor((off - low) * parts.cast("decimal(10,0)") / (width - low + 1)).cast("bigint")
+    else:
+        # halves, as the range of doubles does not fit one; both steps keep the order
+        span = F.col("_hi") / 2 - F.col("_lo") / 2
+        piece = F.when(span > 0, F.floor((x / 2 - F.col("_lo") / 2) / span * parts).cast("bigint")).otherwise(
+            F.when(x > F.col("_lo"), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+        )
+    top = F.lit(1 << 62)
+    placed = (
+        F.when(F.col("_n").isNull(), F.lit(0))
+        .when(x.isNull(), F.lit(-2))
+        .when(x.cast("double") == float("-inf"), F.lit(-1))
+        .when(F.isnan(x.cast("double")), top + 1)
+        .when(x.cast("double") == float("inf"), top)
+        .otherwise(piece)
     )
+    return joined.select(*cols(keep), *keys, placed.cast("bigint").alias(f"_b{len(levels)}"))
 
 
 def neighbours(
@@ -193,11 +216,13 @@ def neighbours(
     leads: Sequence[int] = (),
     first: bool = False,
     block_rows: int = BLOCK_ROWS,
+    keep_marks: bool = False,
 ) -> DataFrame:
     """Add ``_lag<k>``, ``_lead<k>`` and ``_first`` structs of ``columns``.
 
     A struct is NULL only where no such row exists; its fields may be NULL
-    because the neighbouring row's are.
+    because the neighbouring row's are. ``keep_marks`` leaves the marks of
+    the blocks on the rows, for a following operator to use again.
     """
     b = Blocked(df, by, order, block_rows)
     named = F.struct(*[col(c) for c in columns])
@@ -256,7 +281,7 @@ def neighbours(
     if first:
         head = F.col("_head")
         out.append(F.struct(*[head.getField(c).alias(c) for c in columns]).alias("_first"))
-    return joined.select(*cols(b.columns), *out)
+    return joined.select(*cols(b.columns), *out, *(MARKS if keep_marks else []))
 
 
 def fill_forward(
@@ -265,9 +290,10 @@ def fill_forward(
     order: Sequence[str],
     columns: Sequence[str],
     block_rows: int = BLOCK_ROWS,
+    marked: bool = False,
 ) -> DataFrame:
     """Replace NULLs in ``columns`` by the last value before them."""
-    b = Blocked(df, by, order, block_rows)
+    b = Blocked(df, by, order, block_rows, marked)
     before = b.across().rowsBetween(Window.unboundedPreceding, -1)
     last_seen = b.df.groupBy("_grp", "_blk").agg(
         *[F.max_by(col(c), b.at(col(c))).alias(f"_last{i}") for i, c in enumerate(columns)]

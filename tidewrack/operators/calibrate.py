@@ -197,8 +197,11 @@ def fluorescence(fluor: DataFrame, pairs: DataFrame) -> DataFrame:
         text.recode("Sample", {"surface": "S", "deep": "D"}).alias("Sample"),
         *[col(c) for c in ("Replicate", "F_0", "F_a", "Vol_ext", "Vol_fil", "Notes")],
     )
+    extra = [c for c in pairs.columns if c not in ("Station", "Date")]
+    if not extra:  # keys alone add nothing to a join that keeps every reading
+        return with_chla(clean)
     known = pairs.select(
-        col("Station"), clock.parse_date("Date", clock.YMD).alias("Date")
+        col("Station"), clock.parse_date("Date", clock.YMD).alias("Date"), *cols(extra)
     ).distinct()
     return with_chla(right_join_2key(known, clean, ["Station", "Date"]))
 

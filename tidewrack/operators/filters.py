@@ -19,6 +19,19 @@ def station_alias(
     return df.withColumn(name, text.first_match(code, rules))
 
 
+def station_alias_table(
+    df: DataFrame, code: str, aliases: DataFrame, alias_code: str = "station_code", alias_name: str = "sitename", name: str = "sitename"
+) -> DataFrame:
+    """Site name of a station code from a table of whole codes; NULL for codes it lacks.
+
+    A code listed several times takes its smallest name, so rows never multiply.
+    """
+    right = aliases.groupBy(col(alias_code).alias("_code")).agg(F.min(col(alias_name)).alias("_name"))
+    kept = [c for c in df.columns if c != name]
+    joined = df.join(right, df[code] == right["_code"], "left")
+    return joined.select(*[col(c) for c in kept], F.col("_name").alias(name))
+
+
 def station_set(df: DataFrame, code: str, codes: Sequence[str]) -> DataFrame:
     """Rows of a literal set of codes that stand for one site over time."""
     return df.where(col(code).isin(*codes))

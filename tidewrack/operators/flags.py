@@ -111,14 +111,17 @@ def flag_label(flag: Column) -> Column:
     return text.recode(flag, FLAG_LABELS)
 
 
-def decode_flag(df: DataFrame, flag: str, program: str) -> DataFrame:
+def decode_flag(df: DataFrame, flag: str, program: str, bare: bool = False) -> DataFrame:
     """One row per code in the flag text, with its meaning in ``program``.
 
     Adds ``flag``, ``label``, ``code`` and ``meaning``; a text without codes
-    keeps one row with NULL code. The code table has a few dozen fixed rows,
-    hence the broadcast.
+    keeps one row with NULL code. ``bare`` reads columns that hold codes
+    alone, without brackets (``_C`` and ``EC_`` columns): every word of
+    capital letters, with a digit or without, is a code. The code table has a
+    few dozen fixed rows, hence the broadcast.
     """
-    found = F.regexp_extract_all(col(flag), F.lit(r"[\[(]([A-Z]{1,3}[0-9]?)[\])]"), 1)
+    pattern = r"(?<![A-Za-z0-9])([A-Z]{1,3}[0-9]?)(?![A-Za-z0-9])" if bare else r"[\[(]([A-Z]{1,3}[0-9]?)[\])]"
+    found = F.regexp_extract_all(col(flag), F.lit(pattern), 1)
     number = text.parse_flag(flag)
     long = df.select(
         *cols(df.columns),

@@ -43,7 +43,20 @@ def left_join_date(days: DataFrame, obs: DataFrame, date: str, ts: str) -> DataF
     """Every day with its observations; days without any keep one row."""
     keep = [c for c in obs.columns if c not in days.columns]
     o = obs.select(F.to_date(col(ts)).alias("_on"), *[col(c).alias(c) for c in keep])
-    return days.join(o, days[date] == o["_on"], "left").select(*cols(days.columns), *cols(keep))
+    return days_with_rows(days, o, date, "_on").select(*cols(days.columns), *cols(keep))
+
+
+def days_with_rows(days: DataFrame, rows: DataFrame, date: str, on: str) -> DataFrame:
+    """Left join of a small day table with rows of many sources by day.
+
+    Written as an inner join, which can move the small side to the rows or
+    split a crowded day among tasks (a left outer join can do neither), and
+    the days without rows, whose columns are NULL.
+    """
+    met = days.join(rows, days[date] == rows[on])
+    seen = rows.select(col(on).alias("_seen")).distinct()
+    alone = days.join(seen, days[date] == seen["_seen"], "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
 
 
 def anti_join_all(a: DataFrame, b: DataFrame) -> DataFrame:

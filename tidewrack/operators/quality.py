@@ -12,7 +12,7 @@ from ..functions import clock
 from ..functions.columns import col, cols, keyed, matches, require
 from .blocks import row_index
 from .joins import anti_join_all
-from .staging import attach
+from .staging import attach, settled
 
 COPIES_PER_SLICE = 100_000
 
@@ -151,13 +151,23 @@ def head_rows(
 def drop_first(
     df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """All but the first ``n`` rows; ``order`` has to tell rows apart."""
+    """All but the first ``n`` rows.
+
+    Exactly ``n`` rows go (of each group, or all it has); which of several
+    rows alike in ``order`` go is not defined. Rows beyond the last dropped
+    one stay where they are; only those that share its place are compared
+    with the dropped rows, as sets with multiplicities.
+    """
     if n <= 0:
         return df
-    head = head_rows(df.select(*cols([*by, *[o for o in order if o not in by]])), n, order, by)
+    head = settled(head_rows(df, n, order, by))
     last = head.groupBy(*cols(by)).agg(F.max(F.struct(*cols(order))).alias("_last"))
-    kept = attach(df, last, by).where(F.struct(*cols(order)) > F.col("_last"))
-    return kept.select(*cols(df.columns))
+    placed = attach(df, last, by)
+    here = F.struct(*cols(order))
+    beyond = placed.where(here > F.col("_last")).select(*cols(df.columns))
+    tied = placed.where(here == F.col("_last")).select(*cols(df.columns))
+    gone = attach(head, last, by).where(here == F.col("_last")).select(*cols(df.columns))
+    return beyond.unionByName(tied.exceptAll(gone))
 
 
 def time_cutoff(

@@ -11,20 +11,38 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cols, keyed, matches
 
-_local: dict[str, str] = {}  # application -> folder, for sessions without a shared one
+_folders: dict[tuple[str, str], str] = {}  # (application, base) -> this run's folder
+
+
+def _base(spark: SparkSession) -> str:
+    """The folder all executors share, of the setting or of setCheckpointDir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    stated = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if stated.isDefined():
+        return stated.get()
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return ""
+    raise ValueError("set spark.checkpoint.dir: step tables need a folder that all executors share")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder all executors see, below the cluster's checkpoint folder.
+    """A new folder that all executors see, below the cluster's checkpoint folder.
 
-    Only a session without one (as in tests) gets a local folder.
+    Only a local session may go without one; it gets a temporary folder.
+    Everything below this run's folder is removed when the JVM ends.
     """
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _local.setdefault(app, "") or tempfile.mkdtemp(prefix="tidewrack-")
-        _local[app] = base
-    return f"{base.rstrip('/')}/tidewrack/{app}/{name}"
+    app, base = spark.sparkContext.applicationId, _base(spark)
+    if (app, base) not in _folders:
+        folder = f"{base.rstrip('/') or tempfile.mkdtemp(prefix='tidewrack-')}/tidewrack/{app}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders[app, base] = folder
+    return f"{_folders[app, base]}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -34,7 +52,7 @@ def settled(df: DataFrame) -> DataFrame:
     the table's true size: a join with it is broadcast only if it is small
     enough, and the other side is not shuffled first to find that out.
     """
-    path = shared_folder(df.sparkSession, f"steps/{uuid.uuid4().hex}")
+    path = shared_folder(df.sparkSession, "step")
     names = df.columns
     df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
     plain = df.toDF(*[f"c{i}" for i in range(len(names))]).schema

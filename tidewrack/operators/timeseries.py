@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.columns import all_of, any_of, branch, col, cols, number, require
-from .blocks import BLOCK_ROWS, fill_forward, neighbours, row_index
+from .blocks import BLOCK_ROWS, MARKS, fill_forward, neighbours, row_index
 from .filters import range_in_list
-from .joins import daylight
+from .joins import daylight, days_with_rows
 from .quantiles import quantiles
 from .staging import attach
 
@@ -268,7 +268,7 @@ def deployment_offset_correction(
     ``<column>_diff``.
     """
     names = list(columns)
-    near = neighbours(df, by, order, names, lags=[1], block_rows=block_rows)
+    near = neighbours(df, by, order, names, lags=[1], block_rows=block_rows, keep_marks=True)
     starts = col(deploy).isNotNull() & (col(label) == sonde)
     diffs = {}
     for c, sign in columns.items():
@@ -278,8 +278,8 @@ def deployment_offset_correction(
             .when(col(label) == sonde, F.lit(None).cast("double"))
             .otherwise(F.lit(0.0))
         )
-    stepped = near.select(*cols(df.columns), *[d.alias(n) for n, d in diffs.items()])
-    filled = fill_forward(stepped, by, order, list(diffs), block_rows=block_rows)
+    stepped = near.select(*cols(df.columns), *[d.alias(n) for n, d in diffs.items()], *MARKS)
+    filled = fill_forward(stepped, by, order, list(diffs), block_rows, marked=True)
     fixed = {c: (col(c) - sign * F.col(f"{c}_diff")).alias(c) for c, sign in columns.items()}
     return filled.select(*[fixed.get(c, col(c)) for c in df.columns], *cols(diffs))
 
@@ -355,7 +355,7 @@ def night_radiation_flag(
     )
     night = ~col(ts).between(F.col("light_from"), F.col("light_to")) & (col(radiation) != 0)
     mark = F.when(night, "<1> (CSM)").when(~night, "0").alias(flag)
-    return days.join(o, days[date] == o["_on"], "left").select(
+    return days_with_rows(days, o, date, "_on").select(
         col(date), *[mark if c == flag else col(c) for c in keep], *([] if flag in keep else [mark])
     )
 

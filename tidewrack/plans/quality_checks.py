@@ -117,12 +117,12 @@ def records_after(spark, sf):
     f"""
 WITH {LOGGER}
 SELECT "RECORD", "TIMESTAMP", "AvgVolt" FROM (
-  SELECT *, row_number() OVER (ORDER BY "RECORD") AS i FROM logger WHERE "TIMESTAMP" < TIMESTAMP '2024-01-20 13:45:00') WHERE i > 2
+  SELECT *, row_number() OVER (ORDER BY "RECORD") AS i FROM logger WHERE "TIMESTAMP" < TIMESTAMP '2024-01-16 00:00:00') WHERE i > 2
 """,
 )
 def time_cutoff(spark, sf):
     x = views.logger(spark, sf).select("RECORD", "TIMESTAMP", "AvgVolt")
-    return quality.time_cutoff(x, "TIMESTAMP", "2024-01-20 13:45:00", 2, ["RECORD"])
+    return quality.time_cutoff(x, "TIMESTAMP", "2024-01-16 00:00:00", 2, ["RECORD"])
 
 
 @query(

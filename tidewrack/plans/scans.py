@@ -14,8 +14,8 @@ from .views import LOGGER, table
 
 
 def folder(spark, sf, name: str) -> str:
-    size = sf.rstrip("/").rsplit("/", 1)[-1]
-    return shared_folder(spark, f"{size}/{name}")
+    """A folder of its own for each call, so that no lazy table loses its files to a later one."""
+    return shared_folder(spark, f"{sf.rstrip('/').rsplit('/', 1)[-1]}-{name}")
 
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, value double"

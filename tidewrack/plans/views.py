@@ -6,6 +6,8 @@ expression for the oracle queries.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,6 @@ FLAG_TEXTS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -141,17 +142,24 @@ corrections AS (
   SELECT "RECORD", "TIMESTAMP" - INTERVAL 15 MINUTE AS "TIMESTAMP" FROM logger WHERE "RECORD" % 7 = 0)"""
 )
 
-# Deployments inside the events' month; 3 and 4 overlap and
-# 2024-01-21 10:00 starts on a quarter hour.
-DEPLOYMENT_ROWS = [
-    (0, "2024-01-01 00:00:00", "2024-01-05 10:48:00", "Tern"),
-    (1, "2024-01-05 10:52:00", "2024-01-09 12:11:00", "Vole"),
-    (2, "2024-01-09 12:16:00", "2024-01-13 11:22:00", "Tern"),
-    (3, "2024-01-13 11:25:00", "2024-01-17 10:01:00", "Vole"),
-    (4, "2024-01-17 09:05:00", "2024-01-21 09:42:00", "Reed"),
-    (5, "2024-01-21 10:00:00", "2024-01-26 09:50:00", "Vole"),
-    (6, "2024-01-26 12:53:00", "2024-01-30 23:45:00", "Tern"),
-]
+
+
+def _deployment_rows(n: int = 7) -> list[tuple[int, str, str, str]]:
+    """Deployments of 100 hours, one after another over the events' month, the sondes in turn.
+
+    Each starts seven minutes after the last one's planned end; the one with
+    number 3 stays three hours too long, and number 5 starts on a quarter hour.
+    """
+    first = dt.datetime(2024, 1, 1)
+    rows = []
+    for k in range(n):
+        start = first + k * dt.timedelta(hours=100) + dt.timedelta(minutes=0 if k == 5 else 7)
+        end = first + (k + 1) * dt.timedelta(hours=100) + dt.timedelta(hours=3 if k == 3 else 0)
+        rows.append((k, str(start), str(end), ("north", "south", "east")[k % 3]))
+    return rows
+
+
+DEPLOYMENT_ROWS = _deployment_rows()
 
 
 def deployments(spark: SparkSession) -> DataFrame:
@@ -196,8 +204,8 @@ QUARTER_HOUR = """quarter_hour AS (
 
 
 def sun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rise and set per day, from each day's purchases."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    """Rise and set per day, from each day's first and last event."""
+    e = table(spark, sf_dir, "events")
     hour = lambda c: clock.floor_to_step(c, 60)
     return e.groupBy(F.to_date("ts").alias("date")).agg(
         hour(clock.plus(F.min("ts"), 6, "HOUR")).alias("rise"),
@@ -209,7 +217,7 @@ SUN = """sun AS (
   SELECT CAST(ts AS DATE) AS date,
          date_trunc('minute', min(ts) + INTERVAL 6 HOUR) AS rise,
          date_trunc('minute', max(ts) - INTERVAL 6 HOUR) AS "set"
-  FROM events WHERE event_type = 'purchase' GROUP BY 1)"""
+  FROM events GROUP BY 1)"""
 
 
 def day_series(spark: SparkSession, sf_dir: str) -> DataFrame:

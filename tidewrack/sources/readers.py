@@ -8,6 +8,7 @@ filter on them prunes files before they are opened.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clock, text
-from ..functions.columns import all_of, any_of, col, cols, require
+from ..functions.columns import all_of, col, cols, require
 
 Paths = str | Sequence[str]
 
@@ -27,6 +28,9 @@ CSV = {
 }
 
 
+STAMPS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.S", "yyyy-MM-dd HH:mm")
+
+
 def text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -93,16 +97,22 @@ def scan_logger(
     record: str = "RECORD",
     glob: str = "*",
     file: str | None = "file",
+    ts: str = "TIMESTAMP",
+    missing: Sequence[str] = ("NA", "NAN", "NaN"),
 ) -> DataFrame:
     """Raw logger files as text columns, times of day padded.
 
-    The four leading lines (file info, names, units, kind) have no record
-    number and fall out.
+    The four leading lines (file info, names, units, kind) fall out: they have
+    neither a readable stamp nor a record that is a number or a word for a
+    missing one. Every other line stays, its record as the text it is.
     """
     if record not in names:
         raise ValueError(f"no {record} column")
     df = spark.read.schema(text_schema(names)).options(pathGlobFilter=glob).csv(_paths(path))
-    kept = df.where(col(record).try_cast("int").isNotNull())
+    is_data = col(record).try_cast("double").isNotNull() | col(record).isin(*missing)
+    if ts in names:
+        is_data = is_data | clock.parse_datetime(ts, STAMPS).isNotNull()
+    kept = df.where(F.coalesce(is_data, F.lit(False)))
     out = [clock.pad_hm(c).alias(c) if c in tods else col(c) for c in names]
     if file is not None:
         out.append(F.col("_metadata.file_name").alias(file))
@@ -172,15 +182,19 @@ def import_stations(
 ) -> DataFrame:
     """Several stations from one archive, the station code as first column.
 
-    The code is found in the file's path; files of other stations are pruned.
+    The code is found in the file's name, or in the names of ``key=value``
+    folders right above it, as a word of its own: neither a letter nor a digit
+    before it and no letter after it (a year may follow). The longest code
+    wins; files of other stations are pruned.
     """
     if not codes:
         raise ValueError("no station codes given")
     df = spark.read.schema(schema).options(**CSV, pathGlobFilter=glob).csv(_paths(path))
-    code = F.regexp_extract(F.col("_metadata.file_path"), "(" + "|".join(codes) + ")", 1)
-    wanted = any_of([F.col("_metadata.file_path").contains(c) for c in codes])
+    listed = "|".join(re.escape(c) for c in sorted(codes, key=len, reverse=True))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"((?:[^/=]+=[^/]*/)*[^/]*)$", 1)
+    code = F.regexp_extract(name, f"(?<![A-Za-z0-9])({listed})(?![A-Za-z])", 1)
     names = [f.name for f in df.schema.fields if f.name != station]
-    return df.where(wanted).select(code.alias(station), *cols(names))
+    return df.where(code != "").select(code.alias(station), *cols(names))
 
 
 def bind_files_by_key(
@@ -188,21 +202,22 @@ def bind_files_by_key(
 ) -> DataFrame:
     """Tables side by side on a key, columns suffixed by their source's name.
 
-    The key has to be unique within a source. All sources meet in a single
-    grouped aggregate, which keeps keys only some of them have, instead of a
-    chain of outer joins.
+    A full outer join, one source after the other: keys only some sources
+    have stay, NULL keys match each other, and a key that repeats in a source
+    gives a row for each combination.
     """
     if not sources:
         raise ValueError("no tables given")
-    stacked, wanted = None, []
+    out = None
     for name, df in sources.items():
         require(df, [key])
         values = [c for c in df.columns if c != key and c not in drop]
-        wanted += [f"{c}_{name}" for c in values]
-        part = df.select(col(key), *[col(c).alias(f"{c}_{name}") for c in values])
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    return (
-        stacked.where(col(key).isNotNull())
-        .groupBy(col(key))
-        .agg(*[F.max(col(c)).alias(c) for c in wanted])
-    )
+        part = df.select(col(key).alias("_key"), *[col(c).alias(f"{c}_{name}") for c in values])
+        if out is None:
+            out = part.withColumnRenamed("_key", key)
+            continue
+        have = [c for c in out.columns if c != key]
+        joined = out.withColumn("_here", F.lit(1)).join(part, out[key].eqNullSafe(part["_key"]), "full")
+        both = F.when(F.col("_here").isNotNull(), col(key)).otherwise(F.col("_key"))
+        out = joined.select(both.alias(key), *cols(have), *[col(f"{c}_{name}") for c in values])
+    return out

@@ -21,7 +21,7 @@ def write_csv_table(
     null: str = "NA",
     sep: str = ",",
     partition_by: Sequence[str] = (),
-    mode: str = "overwrite",
+    mode: str = "errorifexists",
 ) -> None:
     """CSV with header; ``row_numbers`` names the order to number rows in.
 
@@ -44,7 +44,7 @@ def write_logger(
     path: str,
     ts: str = "TIMESTAMP",
     tods: Sequence[str] = TOD,
-    mode: str = "overwrite",
+    mode: str = "errorifexists",
 ) -> None:
     """Data part of a logger export: all quoted, NULL empty, times un-padded."""
     require(df, [ts, *tods])
