@@ -201,11 +201,13 @@ def repair_embedded_headers(
     date: str = "Date (MM/DD/YYYY)",
     time: str = "Time (HH:mm:ss)",
     sort: bool = True,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Drop stray header rows (their date does not parse) and sort by stamp.
 
     With ``need_time`` rows without a readable time go as well; otherwise
-    they stay and sort last within their day.
+    they stay and sort last within their day. ``tie`` orders rows of the same
+    stamp; with it a crowded stamp can be spread over tasks.
     """
     d = clock.parse_date(date, clock.MDY)
     t = F.try_to_timestamp(col(time), F.lit("H:mm:ss")).cast("timestamp_ntz")
@@ -213,10 +215,33 @@ def repair_embedded_headers(
     if need_time:
         out = out.where(F.col("_t").isNotNull())
     if sort:
-        out = out.orderBy(F.asc_nulls_last("_d"), F.asc_nulls_last("_t"))
+        out = out.orderBy(F.asc_nulls_last("_d"), F.asc_nulls_last("_t"), *cols(tie))
     return out.drop("_d", "_t")
 
 
+def place_of_rows(df: DataFrame, name: str = "place") -> DataFrame:
+    """Each row's place in the order the table comes in, from 0.
+
+    One number per partition is counted first; rows stay where they are.
+    """
+    kept = settled_in_order(df)
+    counts = sorted(map(tuple, kept.groupBy("_part").agg(F.count("*")).collect()))
+    starts, base = [], 0
+    for part, n in counts:
+        starts.append((part, base))
+        base += n
+    right = df.sparkSession.createDataFrame(starts, "_p int, _base bigint")
+    joined = kept.join(right, kept["_part"] == right["_p"])
+    return joined.select(*cols(df.columns), (F.col("_base") + F.col("_row")).alias(name))
+
+
+def settled_in_order(df: DataFrame) -> DataFrame:
+    """The table written out with each row's partition and place in it."""
+    row = F.monotonically_increasing_id()
+    marked = df.withColumns({"_part": F.shiftright(row, 33).cast("int"), "_row": row.bitwiseAND(F.lit((1 << 33) - 1))})
+    return settled(marked)
+
+
 def sort_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ascending, NULLs last; a range-partitioned sort over the whole table."""
     return df.orderBy(*[F.asc_nulls_last(k) for k in keys])

@@ -257,3 +257,25 @@ FROM events LEFT JOIN sun ON CAST(ts AS DATE) = date
 def interval_join_daylight(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts")
     return joins.interval_join_daylight(e, views.sun(spark, sf), "ts")
+
+
+ALIASES = [("clickwq", "North Pier"), ("clickmet", "North Pier"), ("viewnut", "South Pier"), ("viewnut", "Zone 9")]
+
+
+@query(
+    "station_alias_table",
+    f"""
+WITH {OBS}, aliases(station_code, sitename) AS (VALUES
+  ('clickwq', 'North Pier'), ('clickmet', 'North Pier'), ('viewnut', 'South Pier'), ('viewnut', 'Zone 9'))
+SELECT event_id, station_code, (SELECT min(sitename) FROM aliases a WHERE a.station_code = obs.station_code) AS sitename FROM obs
+""",
+)
+def station_alias_table(spark, sf):
+    aliases = spark.createDataFrame(ALIASES, "station_code string, sitename string")
+    return filters.station_alias_table(views.obs(spark, sf).select("event_id", "station_code"), "station_code", aliases)
+
+
+@query("station_set", f"WITH {OBS} SELECT event_id, station_code FROM obs WHERE station_code IN ('clickwq', 'clickmet', 'none')")
+def station_set(spark, sf):
+    o = views.obs(spark, sf).select("event_id", "station_code")
+    return filters.station_set(o, "station_code", ["clickwq", "clickmet", "none"])

@@ -117,7 +117,7 @@ def _values(rows) -> str:
 
 
 def _literal(v) -> str:
-    return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
 
 @query(
@@ -175,3 +175,48 @@ def sentinel_to_null(spark, sf):
 @query("flag_summary", f"WITH {OBS} SELECT f_value, count(*) AS n FROM obs GROUP BY 1")
 def flag_summary(spark, sf):
     return flags.flag_summary(views.obs(spark, sf), "f_value")
+
+
+# Flag texts of each program with the meaning of every code in them, written out by hand.
+_PROGRAMS = {
+    "weather": (False, {"<-3> [GPR] (CML)": [("GPR", "program reload"), ("CML", "snow melt from previous snowfall event")],
+                        "<1> [SIW]": [("SIW", "incorrect wiring")], "<0>": [(None, None)], "<1> [ZZZ]": [("ZZZ", None)]}),
+    "nutrient": (False, {"<-4> [SBL]": [("SBL", "value below minimum limit of method detection")],
+                         "<1> [GQS] (CDR)": [("GQS", "data suspect due to QA/QC checks"), ("CDR", "sample diluted and rerun")]}),
+    "record": (False, {"{CSM} (WH2)": [("WH2", "0.3 to 0.6 meters")], "(NNE) (WS5) (CFY)": [
+        ("NNE", "from the north northeast"), ("WS5", "> 40 knots"), ("CFY", "foggy")]}),
+    "legacy nutrient": (True, {"A": [("A", "Value above upper limit of method detection")],
+                               "A H": [("A", "Value above upper limit of method detection"), ("H", "Sample held beyond specified holding time")],
+                               "U,N": [("U", "Lab analysis from unpreserved sample"), ("N", "Calculated value is negative")], "": [(None, None)]}),
+    "water": (True, {"GIC": [("GIC", "no instrument deployed due to ice")], "SWM CTS": [
+        ("SWM", "wiper malfunction / loss"), ("CTS", "turbidity spike")], "ok": [(None, None)]}),
+}
+
+
+def _program_query(program: str, key: str) -> None:
+    bare, texts = _PROGRAMS[program]
+    quoted = ", ".join(f"'{t}'" for t in texts)
+    wanted = _values([(t, *m) for t, found in texts.items() for m in found])
+
+    @query(
+        key,
+        f"""
+WITH t AS (SELECT event_id, [{quoted}][CAST(event_id % {len(texts)} AS INTEGER) + 1] AS f FROM events),
+w(f, code, meaning) AS (VALUES {wanted})
+SELECT event_id, t.f, code, meaning FROM t JOIN w ON t.f = w.f
+""",
+    )
+    def decoded(spark, sf):
+        pick = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % len(texts)).cast("int"))
+        x = table(spark, sf, "events").select("event_id", pick.alias("f"))
+        return flags.decode_flag(x, "f", program, bare=bare).select("event_id", "f", "code", "meaning")
+
+
+for _program, _key in (
+    ("weather", "decode_flag_weather"),
+    ("nutrient", "decode_flag_nutrient"),
+    ("record", "decode_flag_record"),
+    ("legacy nutrient", "decode_code_column"),
+    ("water", "decode_error_column"),
+):
+    _program_query(_program, _key)

@@ -202,3 +202,41 @@ SELECT station, "RECORD", "AvgVolt" FROM (
 def drop_first(spark, sf):
     x = views.logger(spark, sf).select("station", "RECORD", "AvgVolt")
     return quality.drop_first(x, 2, ["RECORD"], ["station"])
+
+
+@query(
+    "drop_first_ties",
+    """
+WITH t AS (SELECT event_type AS station, CAST(floor(event_id / 8) AS BIGINT) AS slot FROM events)
+SELECT station, slot FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY slot) AS i FROM t) WHERE i > 3
+""",
+)
+def drop_first_ties(spark, sf):
+    """Exactly three rows of each station go, although several share a place."""
+    x = table(spark, sf, "events").select(
+        F.col("event_type").alias("station"), F.floor(F.col("event_id") / 8).cast("bigint").alias("slot")
+    )
+    return quality.drop_first(x, 3, ["slot"], ["station"])
+
+
+@query(
+    "repair_embedded_headers_sorted",
+    """
+WITH t AS (
+  SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'Date (MM/DD/YYYY)' ELSE strftime(ts, '%m/%d/%Y') END AS d,
+         CASE WHEN event_id % 77 = 0 THEN NULL ELSE strftime(ts, '%H:%M:%S') END AS t FROM events)
+SELECT event_id, d AS "Date (MM/DD/YYYY)", t AS "Time (HH:mm:ss)",
+       row_number() OVER (ORDER BY strptime(d, '%m/%d/%Y'), t NULLS LAST, event_id) - 1 AS place
+FROM t WHERE event_id % 50 <> 0
+""",
+)
+def repair_embedded_headers_sorted(spark, sf):
+    """The sorted rows with the place each came out at, counted over the partitions in order."""
+    e, n = table(spark, sf, "events"), F.col("event_id")
+    x = e.select(
+        n,
+        F.when(n % 50 == 0, "Date (MM/DD/YYYY)").otherwise(F.date_format("ts", "MM/dd/yyyy")).alias("Date (MM/DD/YYYY)"),
+        F.when(n % 77 != 0, F.date_format("ts", "HH:mm:ss")).alias("Time (HH:mm:ss)"),
+    ).orderBy("event_id")
+    out = quality.repair_embedded_headers(x, need_time=False, tie=["event_id"])
+    return quality.place_of_rows(out, "place")

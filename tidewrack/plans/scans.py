@@ -177,21 +177,19 @@ def import_stations(spark, sf):
 @query(
     "skip_select_bindcols",
     """
-WITH a AS (SELECT CAST(ts AS DATE) AS date, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1),
-b AS (SELECT CAST(ts AS DATE) AS date, min(value) AS v FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' GROUP BY 1)
+WITH a AS (SELECT CAST(ts AS DATE) AS date, max(value) AS v FROM events GROUP BY 1),
+b AS (SELECT CAST(ts + INTERVAL 9 DAY AS DATE) AS date, min(value) AS v FROM events GROUP BY 1)
 SELECT coalesce(a.date, b.date) AS date, a.v AS v_depth, b.v AS v_swe FROM a FULL JOIN b ON a.date = b.date
 """,
 )
 def skip_select_bindcols(spark, sf):
     e = table(spark, sf, "events")
     parts = {}
-    for name, kind, agg in (("depth", "view", F.max("value")), ("swe", "click", F.min("value"))):
+    for name, days, agg in (("depth", 0, F.max("value")), ("swe", 9, F.min("value"))):
         path = folder(spark, sf, f"bind_{name}")
-        x = e.where(F.col("event_type") == kind).groupBy(F.to_date("ts").alias("date")).agg(
+        x = e.groupBy(F.to_date(clock.plus("ts", days, "DAY")).alias("date")).agg(
             F.max("user_id").alias("Site Id"), agg.alias("v"), F.max("user_id").alias("last")
         )
-        if name == "swe":
-            x = x.where(F.col("date") >= F.lit("2024-01-10").cast("date"))
         writers.write_csv_table(x, path)
         parts[name] = readers.scan_csv_dir(
             spark, path, "date date, `Site Id` bigint, v double, last bigint"
@@ -231,3 +229,65 @@ def write_logger(spark, sf):
     writers.write_logger(x.withColumn("note", note).select(*names), path)
     back = spark.read.schema(readers.text_schema(names)).csv(path)
     return back.select(*names[:-1], F.nullif("note", F.lit("")).alias("note"))
+
+
+@query(
+    "bind_files_repeats",
+    """
+WITH a AS (SELECT CASE WHEN user_id % 10 <> 0 THEN user_id END AS k, event_id AS v FROM events WHERE event_id % 40 = 0),
+b AS (SELECT CASE WHEN user_id % 10 <> 1 THEN user_id END AS k, event_id AS v FROM events WHERE event_id % 35 = 0)
+SELECT coalesce(a.k, b.k) AS k, a.v AS v_first, b.v AS v_second FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k
+""",
+)
+def bind_files_repeats(spark, sf):
+    e = table(spark, sf, "events")
+    part = lambda n, r: e.where(F.col("event_id") % n == 0).select(
+        F.when(F.col("user_id") % 10 != r, F.col("user_id")).alias("k"), F.col("event_id").alias("v")
+    )
+    return readers.bind_files_by_key({"first": part(40, 0), "second": part(35, 1)}, "k")
+
+
+@query(
+    "scan_logger_odd_records",
+    """
+SELECT CASE WHEN event_id % 5 <> 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE 'no stamp' END AS "TIMESTAMP",
+       CASE event_id % 5 WHEN 0 THEN event_id || '.0' WHEN 1 THEN 'NAN' WHEN 2 THEN 'lost' ELSE CAST(event_id AS VARCHAR) END AS "RECORD",
+       strftime(ts, '%H:%M') AS "MaxTempT"
+FROM events
+""",
+)
+def scan_logger_odd_records(spark, sf):
+    path = folder(spark, sf, "logger_odd")
+    n = F.col("event_id")
+    record = F.when(n % 5 == 0, F.concat(n.cast("string"), F.lit(".0"))).when(n % 5 == 1, "NAN").when(n % 5 == 2, "lost")
+    raw = table(spark, sf, "events").select(
+        F.concat_ws(
+            ",",
+            F.when(n % 5 == 3, "no stamp").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+            record.otherwise(n.cast("string")),
+            F.date_format("ts", "H:m"),
+        ).alias("value")
+    )
+    head = spark.createDataFrame(
+        [("TOA5,CR1000,17",), ("TIMESTAMP,RECORD,MaxTempT",), ("TS,RN,Deg C",), (",,TMx",)], "value string"
+    )
+    head.unionByName(raw).write.text(path)
+    return readers.scan_logger(spark, path, ["TIMESTAMP", "RECORD", "MaxTempT"], file=None)
+
+
+@query(
+    "import_stations_exact",
+    """
+SELECT CASE event_type WHEN 'click' THEN 'dlwq' WHEN 'view' THEN 'dlwq2' END AS station_code, event_id, value
+FROM events WHERE event_type IN ('click', 'view')
+""",
+)
+def import_stations_exact(spark, sf):
+    """Codes that contain each other, and files of stations whose code merely contains one asked for."""
+    path = folder(spark, sf, "dlwq_archive")
+    kind = F.col("event_type")
+    code = F.when(kind == "click", "dlwq").when(kind == "view", "dlwq2").when(kind == "error", "xdlwq").otherwise("dlwqs")
+    e = table(spark, sf, "events").select(code.alias("archive"), "event_id", "value")
+    writers.write_csv_table(e, path, partition_by=["archive"])
+    out = readers.import_stations(spark, path, ["dlwq", "dlwq2"], "event_id bigint, value double")
+    return out.drop("archive")

@@ -15,7 +15,7 @@ from .views import LOGGER, OBS, table
     "normalise_wq",
     f"""
 WITH {OBS}
-SELECT station_code, datetimestamp, 0.0::DOUBLE AS historical, 1.0::DOUBLE AS provisionalplus,
+SELECT station_code, date_trunc('second', datetimestamp) AS datetimestamp, 0.0::DOUBLE AS historical, 1.0::DOUBLE AS provisionalplus,
        CAST(value AS DOUBLE) AS temp, f_value AS f_temp, TRY_CAST(NULLIF(f_k, '') AS DOUBLE) AS level FROM obs
 """,
 )
@@ -23,13 +23,12 @@ def normalise_wq(spark, sf):
     x = views.obs(spark, sf).select(
         F.col("event_id").alias("RowID"),
         F.col("station_code").alias("Station_Code"),
-        F.date_format("datetimestamp", "yyyy-MM-dd HH:mm:ss").alias("_text"),
-        F.col("datetimestamp").alias("DateTimeStamp"),
+        F.date_format("datetimestamp", "yyyy-MM-dd HH:mm:ss").alias("DateTimeStamp"),
         F.col("value").cast("string").alias("Temp"),
         F.col("f_value").alias("F_Temp"),
         F.col("f_k").alias("Level"),
     )
-    return schema.normalise_wq(x.drop("_text"))
+    return schema.normalise_wq(x)
 
 
 @query(
