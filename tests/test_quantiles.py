@@ -31,7 +31,20 @@ def test_quantiles_are_exact(spark, accuracy, by):
     assert fix(got.withColumnRenamed("_n", "n").select(*want.columns)) == fix(want)
 
 
-def test_a_rank_outside_its_bracket_stops_the_query(spark):
-    df = spark.range(5000).select(F.col("id").cast("double").alias("x"))
-    with pytest.raises(Exception, match="outside its bracket"):
-        order_stats(df, [], "x", {"r": (0.2, F.col("_n") - 1)}, accuracy=100).collect()
+def test_a_rank_outside_its_bracket_is_found(spark):
+    df = spark.range(5000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3).alias("g"))
+    got = order_stats(df, [], "x", {"r": (0.2, F.col("_n") - 1), "s": (0.9, F.lit(7))}, accuracy=100).first()
+    assert (got["r"], got["s"]) == (4999.0, 7.0)
+    by = order_stats(df, ["g"], "x", {"r": (0.5, F.lit(0))}, accuracy=100).collect()
+    assert {r["g"]: r["r"] for r in by} == {0: 0.0, 1: 1.0, 2: 2.0}
+
+
+def test_no_task_sorts_a_large_bracket(spark):
+    df = spark.range(20000).select(F.pow(F.pmod(F.hash("id"), F.lit(100000)).cast("double"), F.lit(3)).alias("x"), (F.col("id") % 2).alias("g"))
+    for most in (5, 400):
+        ranks = {"a": (0.1, F.floor(F.col("_n") * 0.1)), "b": (0.1, F.ceil(F.col("_n") * 0.1)), "c": (0.7, F.floor(F.col("_n") * 0.7))}
+        got = {r["g"]: r for r in order_stats(df, ["g"], "x", ranks, accuracy=50, most=most).collect()}
+        for g in (0, 1):
+            x = sorted(r["x"] for r in df.where(F.col("g") == g).collect())
+            n = len(x)
+            assert (got[g]["a"], got[g]["b"], got[g]["c"]) == (x[int(n * 0.1)], x[-int(-n * 0.1 // 1)], x[int(n * 0.7)])
