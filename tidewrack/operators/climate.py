@@ -113,20 +113,32 @@ def range_of(df: DataFrame, value: str, by: Sequence[str] = (), na_rm: bool = Tr
 def numeric_summary(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), accuracy: int = 10_000
 ) -> DataFrame:
-    """Missing values, moments and quartiles of each numeric column."""
-    long = df.select(*cols(by), *[number(c).alias(c) for c in columns]).unpivot(
-        cols(by), cols(columns), "variable", "value"
-    )
+    """Missing values, moments and quartiles of each numeric column.
+
+    The moments of all columns are one wide aggregate whose result is turned
+    into rows; only the quartiles look at one value per row.
+    """
+    wide = df.select(*cols(by), *[number(c).alias(f"_x{i}") for i, c in enumerate(columns)])
+
+    def described(i: int, name: str) -> Column:
+        x = F.col(f"_x{i}")
+        return F.struct(
+            F.lit(name).alias("variable"),
+            (F.count("*") - F.count(x)).alias("n_missing"),
+            (F.count(x) / F.count("*")).alias("complete_rate"),
+            F.avg(x).alias("mean"),
+            F.when(F.count(x) > 1, F.stddev_samp(x)).alias("sd"),
+            F.min(x).alias("p0"),
+            F.max(x).alias("p100"),
+        )
+
+    parts = wide.groupBy(*cols(by)).agg(F.array(*[described(i, c) for i, c in enumerate(columns)]).alias("_parts"))
+    basic = parts.select(*cols(by), F.inline("_parts"))
+    long = wide.select(
+        *cols(by),
+        F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"_x{i}").alias("value")) for i, c in enumerate(columns)])).alias("_p"),
+    ).select(*cols(by), "_p.variable", "_p.value")
     keys = [*by, "variable"]
-    x = F.col("value")
-    basic = long.groupBy(*keys).agg(
-        (F.count("*") - F.count(x)).alias("n_missing"),
-        (F.count(x) / F.count("*")).alias("complete_rate"),
-        F.avg(x).alias("mean"),
-        F.when(F.count(x) > 1, F.stddev_samp(x)).alias("sd"),
-        F.min(x).alias("p0"),
-        F.max(x).alias("p100"),
-    )
     inner = quantiles(long, keys, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, accuracy)
     return left_join_key(basic, inner.drop("_n"), keys).select(
         *cols(keys), "n_missing", "complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100"
@@ -152,12 +164,19 @@ def text_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 
 def column_summary(
     df: DataFrame,
-    numeric: Sequence[str] = (),
-    texts: Sequence[str] = (),
+    numeric: Sequence[str] | None = None,
+    texts: Sequence[str] | None = None,
     by: Sequence[str] = (),
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """One row per column (and group) describing what it holds."""
+    """One row per column (and group) describing what it holds.
+
+    Without any columns named, all numeric and all text columns.
+    """
+    if numeric is None and texts is None:
+        rest = [f for f in df.schema.fields if f.name not in by]
+        numeric = [f.name for f in rest if isinstance(f.dataType, T.NumericType)]
+        texts = [f.name for f in rest if isinstance(f.dataType, T.StringType)]
     parts = []
     if numeric:
         parts.append(numeric_summary(df, numeric, by, accuracy))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import plus
+from ..functions.clock import micros, plus
 from ..functions.columns import all_of, col, cols, keyed, matches, require
 
 
@@ -87,30 +87,44 @@ def interval_join_first(
 ) -> DataFrame:
     """Label of the first interval, in ``seq`` order, that contains ``ts``.
 
-    Intervals are closed. Each is listed under the days it touches, so the
-    join is an equality on (keys, day) rather than a nested loop, and every
-    row meets one short list; overlaps are settled inside that list and the
-    row count never changes.
+    Intervals are closed. They are sorted into classes by length, and those of
+    a class are listed under the one or two ranges of about their own length
+    that they touch. Each class is an equality join on (keys, range), never a
+    nested loop, and a list holds only intervals that lie close together: as
+    many as overlap, however many short ones a day has. Overlaps are settled
+    inside the lists and the row count never changes. The classes (64 at most)
+    are looked up when the operator is called.
     """
     name = name or label
     require(intervals, [*by, start, end, label, seq])
-    listed = (
-        intervals.where(col(start) <= col(end))
-        .select(
-            *[col(k).alias(f"_k_{k}") for k in by],
-            F.explode(F.sequence(F.to_date(col(start)), F.to_date(col(end)))).alias("_on"),
-            F.struct(
-                col(seq).alias("seq"), col(start).alias("s"), col(end).alias("e"), col(label).alias("l")
-            ).alias("i"),
-        )
-        .groupBy(*[f"_k_{k}" for k in by], "_on")
-        .agg(F.sort_array(F.collect_list("i")).alias("_list"))
+    length = micros(end) - micros(start)
+    listed = intervals.where(col(start) <= col(end)).select(
+        *[col(k).alias(f"_k_{k}") for k in by],
+        # the smallest power of two above the length
+        F.length(F.bin(length)).alias("_class"),
+        micros(start).alias("_s"),
+        micros(end).alias("_e"),
+        F.struct(
+            col(seq).alias("seq"), col(start).alias("s"), col(end).alias("e"), col(label).alias("l")
+        ).alias("i"),
     )
-    rows = df.withColumn("_day", F.to_date(col(ts)))
-    on = [rows["_day"] == listed["_on"]] + [rows[k].eqNullSafe(listed[f"_k_{k}"]) for k in by]
-    t = col(ts)
-    hit = F.get(F.filter("_list", lambda i: (i["s"] <= t) & (t <= i["e"])), F.lit(0))
-    return rows.join(listed, all_of(on), "left").select(*cols(df.columns), hit.getField("l").alias(name))
+    classes = sorted(r[0] for r in listed.select("_class").distinct().collect())
+    rows, t, hits = df, col(ts), []
+    for k in classes:
+        ends = F.array_distinct(F.array(F.shiftright("_s", k), F.shiftright("_e", k)))
+        lists = (
+            listed.where(F.col("_class") == k)
+            .select(*[f"_k_{key}" for key in by], F.explode(ends).alias("_on"), "i")
+            .groupBy(*[F.col(f"_k_{key}").alias(f"_k{k}_{key}") for key in by], F.col("_on").alias(f"_on{k}"))
+            .agg(F.sort_array(F.collect_list("i")).alias(f"_list{k}"))
+        )
+        rows = rows.withColumn(f"_at{k}", F.shiftright(micros(ts), k))
+        on = [rows[f"_at{k}"] == lists[f"_on{k}"]] + [rows[key].eqNullSafe(lists[f"_k{k}_{key}"]) for key in by]
+        rows = rows.join(lists, all_of(on), "left")
+        hits.append(F.get(F.filter(f"_list{k}", lambda i: (i["s"] <= t) & (t <= i["e"])), F.lit(0)))
+    kind = intervals.schema[label].dataType
+    found = F.array_min(F.array(*hits)).getField("l") if hits else F.lit(None).cast(kind)
+    return rows.select(*cols(df.columns), found.alias(name))
 
 
 def daylight(sun: DataFrame, rise: str, set_: str, pad_hours: int = 1) -> DataFrame:

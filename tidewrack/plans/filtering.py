@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import clock
 from ..operators import filters, joins
 from . import views
 from .registry import query, rounded
@@ -279,3 +280,25 @@ def station_alias_table(spark, sf):
 def station_set(spark, sf):
     o = views.obs(spark, sf).select("event_id", "station_code")
     return filters.station_set(o, "station_code", ["clickwq", "clickmet", "none"])
+
+
+@query(
+    "interval_join_overlapping",
+    """
+WITH i AS (
+  SELECT event_id AS seq, event_type AS label, ts AS s, ts + to_minutes(CAST((event_id * 37) % 3000 AS INTEGER)) AS e FROM events WHERE event_id % 9 = 0)
+SELECT event_id, (SELECT arg_min(label, seq) FROM i WHERE ts + INTERVAL 7 MINUTE BETWEEN s AND e) AS label FROM events
+""",
+)
+def interval_join_overlapping(spark, sf):
+    """Intervals of minutes to two days, dozens of them open at any time."""
+    e = table(spark, sf, "events")
+    n = F.col("event_id")
+    spans = e.where(n % 9 == 0).select(
+        n.alias("seq"),
+        F.col("event_type").alias("label"),
+        F.col("ts").alias("start_ts"),
+        clock.plus("ts", (n * 37 % 3000).cast("int"), "MINUTE").alias("end_ts"),
+    )
+    rows = e.select("event_id", clock.plus("ts", 7, "MINUTE").alias("at"))
+    return joins.interval_join_first(rows, "at", spans).drop("at")
