@@ -85,7 +85,7 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"{DATA}/{sf}"
     con = duck(sf_dir)
-    wanted = sys.argv[2:] or list(queries())
+    wanted = sys.argv[2:] or list(oracle_sql())
     bad = 0
     for key in wanted:
         t = time.time()

@@ -4,12 +4,13 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__
+from __spark_entry__ import entry
+from tidewrack.plans import ORACLES, QUERIES
 
 from .oracle import DATA, compare, duck
 
 SF = os.environ.get("TEST_SF", "sf0.001")
-QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,12 @@ def test_query(spark, con, key):
     assert compare(spark, con, QUERIES[key], ORACLES[key], f"{DATA}/{SF}") is None
 
 
+def test_every_query_is_registered():
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= __spark_entry__.queries().keys()
+    assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["site", "year", "month", "date", "var", "ref", "anom", "sign"]

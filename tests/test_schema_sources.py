@@ -152,10 +152,32 @@ class Session:
 
     def __init__(self, folder):
         self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = type("Context", (), {"applicationId": "app-1"})
+        none = type("Option", (), {"isDefined": staticmethod(lambda: False)})
+        java = type("Java", (), {"sc": staticmethod(lambda: type("Sc", (), {"getCheckpointDir": staticmethod(lambda: none)}))})
+        self.sparkContext = type("Context", (), {"applicationId": "app-1", "master": "local[2]", "_jsc": java})
 
 
 def test_shared_folder_follows_the_session():
     assert sources.shared_folder(Session("hdfs://x/ck/"), "t") == "hdfs://x/ck/tidewrack/app-1/t"
     local = sources.shared_folder(Session(None), "t")
     assert local.endswith("/tidewrack/app-1/t") and local == sources.shared_folder(Session(None), "t")
+
+
+def test_step_tables_need_a_shared_folder():
+    """A session that is not local and states no folder is refused; a stated one is used."""
+    from types import SimpleNamespace
+
+    from tidewrack.operators import staging
+
+    def session(master, setting=None, stated=None):
+        folder = SimpleNamespace(isDefined=lambda: stated is not None, get=lambda: stated)
+        context = SimpleNamespace(
+            master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: folder))
+        )
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: setting), sparkContext=context)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging._base(session("spark://host:7077"))
+    assert staging._base(session("spark://host:7077", stated="hdfs://x/c")) == "hdfs://x/c"
+    assert staging._base(session("yarn", setting="s3://b/c")) == "s3://b/c"
+    assert staging._base(session("local[4]")) == ""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cols, keyed, matches
 
-_folders: dict[tuple[str, str], str] = {}  # (application, base) -> this run's folder
+_local: dict[str, str] = {}  # application -> folder, for local sessions without a shared one
 
 
 def _base(spark: SparkSession) -> str:
@@ -29,20 +29,26 @@ def _base(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see, below the cluster's checkpoint folder.
+    """A folder of this application that all executors see, below the cluster's checkpoint folder.
 
     Only a local session may go without one; it gets a temporary folder.
-    Everything below this run's folder is removed when the JVM ends.
     """
     app, base = spark.sparkContext.applicationId, _base(spark)
-    if (app, base) not in _folders:
-        folder = f"{base.rstrip('/') or tempfile.mkdtemp(prefix='tidewrack-')}/tidewrack/{app}-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        _folders[app, base] = folder
-    return f"{_folders[app, base]}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="tidewrack-")
+        base = _local[app]
+    return f"{base.rstrip('/')}/tidewrack/{app}/{name}"
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A shared folder for one table of its own, removed when the JVM ends."""
+    folder = shared_folder(spark, uuid.uuid4().hex)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/{name}"
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -52,7 +58,7 @@ def settled(df: DataFrame) -> DataFrame:
     the table's true size: a join with it is broadcast only if it is small
     enough, and the other side is not shuffled first to find that out.
     """
-    path = shared_folder(df.sparkSession, "step")
+    path = fresh_folder(df.sparkSession, "step")
     names = df.columns
     df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
     plain = df.toDF(*[f"c{i}" for i in range(len(names))]).schema

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators.staging import shared_folder
+from ..operators.staging import fresh_folder
 from ..sources import readers, writers
 from . import views
 from .registry import query
@@ -15,7 +15,7 @@ from .views import LOGGER, table
 
 def folder(spark, sf, name: str) -> str:
     """A folder of its own for each call, so that no lazy table loses its files to a later one."""
-    return shared_folder(spark, f"{sf.rstrip('/').rsplit('/', 1)[-1]}-{name}")
+    return fresh_folder(spark, f"{sf.rstrip('/').rsplit('/', 1)[-1]}-{name}")
 
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, value double"
