@@ -60,6 +60,19 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows: those whose hash of the key columns is smallest.
+
+    The table is counted first, and only the share of hashes that holds about
+    so many rows is sorted, so that tasks do not each send ``rows`` rows. Rows
+    that agree in the keys come or stay away together, up to the bound.
+    """
+    n = df.count()
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 32))
+    found = df if n <= rows else df.filter(place < int((1 << 32) * min(1.0, 1.2 * rows / n)))
+    return found.orderBy(place, *keys).limit(rows)
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null keys count as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
 HASH_BITS = 22
@@ -103,14 +105,12 @@ def fit(texts: Sequence[str], languages: Sequence[str], landmarks: int = 240, ri
     return model
 
 
-def training_rows(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = 3000) -> DataFrame:
-    """At most ``rows`` distinct labelled texts, chosen by the hash of the text (a bounded, documented sample)."""
-    return (
-        docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-        .filter("text is not null and lang is not null")
-        .orderBy(F.xxhash64("text"), "text", "lang")
-        .limit(rows)
-    )
+def training_rows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 3000
+) -> DataFrame:
+    """At most ``rows`` labelled texts, chosen by the hash of their keys (a bounded, documented sample)."""
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    return bounded_sample(own.filter("text is not null and lang is not null"), rows, "key").select("text", "lang")
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", landmarks: int = 240, ridge: float = 1e-2) -> Model:
