@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import fresh_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -18,29 +18,13 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
-_own: dict[str, str] = {}  # application -> folder, for local sessions without a shared one
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors see: below spark.checkpoint.dir.
-
-    Only a local session may go without that setting; it gets a temporary
-    folder. Elsewhere its absence is an error, since files would stay on the
-    machines that wrote them.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="tidewrack-llm-")
-        base = _own[app]
-    return f"{base.rstrip('/')}/tidewrack-llm/{uuid.uuid4().hex}"
+    """A new folder that driver and executors see, below spark.checkpoint.dir; it goes when the JVM ends."""
+    return fresh_folder(spark, "step")
 
 
 def step_table(df: DataFrame) -> DataFrame:
