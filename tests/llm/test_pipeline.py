@@ -14,9 +14,8 @@ import corpus_pipeline
 from tests.oracle import DATA, compare, duck
 from tidewrack.llm import oracles, queries
 
-from .helpers import awkward_docs, no_docs
+from .helpers import awkward_docs, lower, no_docs
 from .test_decontaminate import plain
-from .test_simhash import plain_fingerprint, plain_groups
 
 SMALL = f"{DATA}/sf0.001"
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,15 +27,27 @@ def rows_of(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
+def shingles(text):
+    words = lower(text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def plain_dedup(rows):
-    prints = defaultdict(set)
-    for key, text in rows:
-        prints[plain_fingerprint(text)].add(key)
-    groups = plain_groups(prints)
-    least = defaultdict(list)
-    for code, keys in prints.items():
-        least[groups[code]] += keys
-    return {min(keys) for keys in least.values()}
+    """Smallest ids of the groups linked by a similarity of 0.8 or more; texts without words are alike."""
+    sets = {key: shingles(text) for key, text in rows}
+    group = {key: key for key in sets}
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                x, y = sorted((top(a), top(b)))
+                group[y] = x
+    return {key for key in sets if top(key) == key}
 
 
 def check_packed(rows, packed):

@@ -113,3 +113,29 @@ def test_awkward_rows(spark):
 def test_extra_columns_stay(spark):
     marked = simhash.fingerprints(awkward_docs(spark).drop("fingerprint"))
     assert marked.filter(F.col("key") != "k").count() == 0
+
+
+def changed(words, every, rng):
+    """The words with about one in ``every`` replaced."""
+    return " ".join(f"new{rng.random()}" if rng.random() < 1 / every else w for w in words)
+
+
+def test_near_copies_of_a_crowded_group(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    rows = [(i, changed(base, 150, rng)) for i in range(700)]  # one crowded group
+    rows += [(1000 + i, " ".join(f"u{i}x{rng.randrange(9000)}" for _ in range(120))) for i in range(40)]  # alone
+    rows += [(2000 + i, changed(rows[700 + i][1].split(), 8, rng)) for i in range(40)]  # too different from those
+    rows += [(3000 + i, rows[700 + i][1] + " end") for i in range(40)]  # near copies of those
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["key"]: r["component"] for r in simhash.near_copies(docs).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[i] == 0 for i in range(700)) >= 690
+    for i in range(40):
+        assert got[1000 + i] == got[3000 + i] == 1000 + i and got[2000 + i] == 2000 + i
+
+
+def test_near_copies_of_awkward_rows(spark):
+    got = {r["key"]: r["component"] for r in simhash.near_copies(awkward_docs(spark)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 6, 7: 7, 8: 8}
+    assert simhash.near_copies(no_docs(spark)).count() == 0

@@ -183,3 +183,109 @@ def near_duplicates(
     named = grouped.groupBy("group").agg(F.min("least").alias("component"))
     settled = grouped.join(named, "group").select("fingerprint", "component")
     return marked.join(settled, "fingerprint").select("key", "fingerprint", "component")
+
+
+# Near copies by similarity: fingerprints narrow down, sketches decide.
+
+SKETCH = 128
+KEYS = 6
+FAR = 18  # differing bits beyond which texts of similarity 0.8 do not occur
+SLICE = 256
+_EMPTY = np.uint32(0xFFFFFFFF)
+
+
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = map(b" ".join, zip(*[words[i:] for i in range(min(shingle, len(words)))]))
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in joined), dtype=np.uint64)
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The smallest hash of each of 128 classes of shingles; all ones where a class is empty."""
+    found = np.full(SKETCH, _EMPTY)
+    np.minimum.at(found, (h & np.uint64(SKETCH - 1)).astype(np.int64), (h >> np.uint64(33)).astype(np.uint32))
+    return found
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of classes on which two sketches agree, of those that either has: the Jaccard similarity of the texts."""
+    some = (a != _EMPTY) | (b != _EMPTY)
+    return float(((a == b) & some).sum() / max(1, some.sum()))
+
+
+def _shares(s: np.ndarray) -> list[int]:
+    """Keys of a sketch: two texts share each with a chance of about their similarity."""
+    own = np.flatnonzero(s != _EMPTY)
+    x = s[own].astype(np.uint64) * np.uint64(SKETCH) + own.astype(np.uint64)
+    keys = []
+    for j in range(KEYS if len(x) else 0):
+        mixed = (x + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        keys.append(int(x[np.argmin(mixed ^ (mixed >> np.uint64(32)))]))
+    return keys
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, component): texts whose word shingles have a Jaccard similarity of ``least`` or more are linked.
+
+    Fingerprint and sketch of each text are taken in one pass. Texts of the
+    same sketch and fingerprint are one; the others meet in shards keyed by
+    six minima of their sketches (two texts of similarity 0.8 share none with
+    a chance of 0.2^6). In a shard a BK-tree of the fingerprints finds each
+    text its nearest earlier one within 18 bits; a crowded shard is dealt out
+    to trees of about 256 by another hash for each key. The similarity of the
+    pairs found is then measured on their sketches (standard error 0.035 at
+    0.8). Texts without words are alike. Null keys are left out; rows that
+    repeat a key are one document.
+    """
+
+    @F.pandas_udf("fp long, sketch binary, shares array<long>")
+    def marks(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            rows = []
+            for x in texts:
+                h = _hashes(x, shingle)
+                s = sketch(h)
+                ones = np.zeros(64, dtype=np.int64)
+                for i in range(0, len(h), CHUNK):
+                    part = h[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+                    ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+                rows.append((int(np.packbits(ones * 2 > len(h)).view(">i8")[0]), s.tobytes(), _shares(s)))
+            yield pd.DataFrame(rows, columns=["fp", "sketch", "shares"])
+
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter("key is not null")
+    marked = step_table(own.select("key", marks("text").alias("m")).select("key", "m.fp", "m.sketch", "m.shares"))
+    alike = F.xxhash64("fp", "sketch").alias("same")
+    values = marked.groupBy(alike).agg(F.min("key").alias("node"), F.first("fp").alias("fp"), F.first("shares").alias("shares"))
+    values = step_table(values)
+    spread = values.select("node", "fp", F.posexplode("shares").alias("j", "share"))
+    sizes = spread.groupBy("j", "share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    sized = step_table(spread.join(sizes, ["j", "share"]))
+    dealt = F.pmod(F.xxhash64("node", "j"), F.ceil(F.col("members") / SLICE)).alias("slice")
+    shards = sized.groupBy("j", "share", dealt).agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m"))
+
+    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            pairs = []
+            for nodes, fps in zip(part["nodes"], part["fps"]):
+                tree = BKTree(np.asarray(fps, dtype=np.int64).view(np.uint64))
+                codes = tree.codes
+                for i, code in enumerate(codes):
+                    near = [((codes[at] ^ code).bit_count(), at) for at in tree.within(code, FAR) if at < i]
+                    if near:
+                        pairs.append((int(nodes[i]), int(nodes[min(near)[1]])))
+            yield pd.DataFrame(pairs, columns=["a", "b"])
+
+    found = shards.filter("size(m) > 1").select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"))
+    pairs = found.mapInPandas(nearest, "a long, b long").distinct()
+
+    @F.pandas_udf("double")
+    def alike_share(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similarity(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) for a, b in zip(x, y)], dtype=float)
+
+    sketches = marked.groupBy("key").agg(F.first("sketch").alias("sketch"))
+    left, right = (sketches.select(F.col("key").alias(n), F.col("sketch").alias(f"s{n}")) for n in ("a", "b"))
+    measured = pairs.join(left, "a").join(right, "b").filter(alike_share("sa", "sb") >= least).select("a", "b")
+    groups = components(measured)
+    firsts = values.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    return marked.select("key", alike).join(firsts, "same").groupBy("key").agg(F.min("component").alias("component"))
