@@ -50,34 +50,47 @@ def search(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best (query id, id, score) of each query: highest product, then smallest id; a query's own id is left out.
 
-    Vectors are integers (products are taken in 64 bits), one row each.
+    Vectors are integers, one row each. Products are taken in doubles where
+    those hold them exactly, else in 64-bit integers.
     """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     levels = [(statistics(queries, s), statistics(vectors, s)) for s in SEGMENTS]
     norms, query_norms = (vectors.astype(float) ** 2).sum(axis=1), (queries.astype(float) ** 2).sum(axis=1)
     slack = 0.5 + 1e-9 * np.sqrt(norms.max(initial=0) * query_norms.max(initial=0))
+    if np.sqrt(norms.max(initial=0) * query_norms.max(initial=0)) < 2**52:
+        queries, vectors = queries.astype(float), vectors.astype(float)
     for a in range(0, len(queries), chunk):
         own = slice(a, a + chunk)
         size = query_norms[own, None] + norms[None, :]
+        other = query_ids[own, None] != ids[None, :]
 
         def bound(q: np.ndarray, v: np.ndarray) -> np.ndarray:
             """Upper bound of products, through the lower bound of squared distances."""
             nearest = size - 2 * (q[own] @ v.T)
             return (size - nearest) / 2
 
-        other = query_ids[own, None] != ids[None, :]
-        best = np.where(other, bound(*levels[0]), -np.inf)
-        least = np.full(len(best), -np.inf)
+        least, last = np.full(len(other), -np.inf), None
         if len(ids) > k:  # products of the most promising give each query a score to beat
-            seeds = np.argpartition(-np.where(other, bound(*levels[-1]), -np.inf), k, axis=1)[:, : k + 1]
+            last = np.where(other, bound(*levels[-1]), -np.inf)
+            seeds = np.argpartition(last, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1 :]
             exact = np.einsum("qd,qsd->qs", queries[own], vectors[seeds]).astype(float)
             exact[~np.take_along_axis(other, seeds, axis=1)] = -np.inf
             least = -np.sort(-exact, axis=1)[:, k - 1]
-        rows, cols = np.nonzero(other & (best >= least[:, None] - slack))
-        for q, v in levels[1:]:
-            at = np.einsum("pd,pd->p", q[own][rows], v[cols]) >= least[rows] - slack
-            rows, cols = rows[at], cols[at]
-        score = np.einsum("pd,pd->p", queries[own][rows], vectors[cols])
+        alive = other
+        for level in levels[:-1]:
+            alive = alive & (bound(*level) >= least[:, None] - slack)
+        if last is not None:
+            alive = alive & (last >= least[:, None] - slack)
+        # what is among the k best meets or beats the seeds' k-th product
+        if 8 * np.count_nonzero(alive) > alive.size:  # few are out: whole products cost less than picking pairs
+            product = queries[own] @ vectors.T
+            rows, cols = np.nonzero(alive & (product >= least[:, None]))
+            score = product[rows, cols].astype(np.int64)
+        else:
+            rows, cols = np.nonzero(alive)
+            score = np.einsum("pd,pd->p", queries[own][rows], vectors[cols]).astype(np.int64)
+            good = score >= least[rows]
+            rows, cols, score = rows[good], cols[good], score[good]
         order = np.lexsort((ids[cols], -score, rows))
         rows, cols, score = rows[order], cols[order], score[order]
         first = np.searchsorted(rows, rows)
