@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 900_000
+CACHE_WORDS = 600_000
 PART_CHARS = 1_000_000
 # The pre-tokenizer patterns of the two kinds of files, over the characters of plain texts.
 _L, _N, _S = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "0-9", r"\t-\r "
