@@ -139,3 +139,47 @@ def test_near_copies_of_awkward_rows(spark):
     got = {r["key"]: r["component"] for r in simhash.near_copies(awkward_docs(spark)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 6, 7: 7, 8: 8}
     assert simhash.near_copies(no_docs(spark)).count() == 0
+
+
+def plain_copies(rows):
+    """Smallest key of each key's group, from all pairs."""
+    sets = {}
+    for key, text in rows:
+        words = lower(text).split()
+        sets[key] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    group = {key: key for key in sets}
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                group[y] = x
+    return {key: top(key) for key in sets}
+
+
+def edited(words, places):
+    return " ".join(f"e{random.random()}" if i in places else w for i, w in enumerate(words))
+
+
+def star(first, n, rng, size=300, edits=6):
+    """A source under the key ``first`` and copies of it that are closer to it than to each other."""
+    base = [f"s{first}x{i}" for i in range(size)]
+    return [(first, " ".join(base))] + [(first + 1 + i, edited(base, set(rng.sample(range(size), edits)))) for i in range(n)]
+
+
+def copies_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return {r["key"]: r["component"] for r in simhash.near_copies(docs).collect()}
+
+
+def test_near_copies_of_stars(spark):
+    rng = random.Random(5)
+    rows = star(0, 20, rng, edits=6) + star(1000, 200, rng, edits=6)
+    got = copies_of(spark, rows)
+    assert got == plain_copies(rows)
+    assert sum(v == 1000 for v in got.values()) > 150

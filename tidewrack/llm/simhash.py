@@ -16,7 +16,9 @@ neighbour keys of `neighbour_links`, whose groups cannot exceed 65.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import combinations, islice
 
 import numpy as np
@@ -185,107 +187,177 @@ def near_duplicates(
     return marked.join(settled, "fingerprint").select("key", "fingerprint", "component")
 
 
-# Near copies by similarity: fingerprints narrow down, sketches decide.
+# Near copies by similarity: an exact join on the rarest shingles of each text.
 
-SKETCH = 128
-KEYS = 6
-FAR = 18  # differing bits beyond which texts of similarity 0.8 do not occur
-SLICE = 256
-_EMPTY = np.uint32(0xFFFFFFFF)
+SAMPLE = 8000  # texts from which the order of shingles is taken; any order gives the same result
+COMMON = 200_000
+CROWD = 32
+ROUNDS = 4
 
 
-def _hashes(text: str | None, shingle: int) -> np.ndarray:
+def _shingles(text: str | None, shingle: int) -> Iterator[bytes]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = map(b" ".join, zip(*[words[i:] for i in range(min(shingle, len(words)))]))
-    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in joined), dtype=np.uint64)
+    return map(b" ".join, zip(*[words[i:] for i in range(min(shingle, len(words)))]))
+
+
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles, in order."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in _shingles(text, shingle)), dtype=np.uint64).view(np.int64))
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """The smallest hash of each of 128 classes of shingles; all ones where a class is empty."""
-    found = np.full(SKETCH, _EMPTY)
-    np.minimum.at(found, (h & np.uint64(SKETCH - 1)).astype(np.int64), (h >> np.uint64(33)).astype(np.uint32))
-    return found
+def _common(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, in order, and in how many of them they stand."""
+    n = own.count()
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << 32))
+    sample = own if n <= SAMPLE else own.filter(place < (1 << 32) * SAMPLE // n)
 
+    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [np.zeros(0, np.int64), *(_hashes(x, shingle) for x in part["text"])]
+            yield pd.DataFrame({"h": np.concatenate(found)})
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of classes on which two sketches agree, of those that either has: the Jaccard similarity of the texts."""
-    some = (a != _EMPTY) | (b != _EMPTY)
-    return float(((a == b) & some).sum() / max(1, some.sum()))
+    texts = sample.groupBy("node").agg(F.first("text").alias("text")).select("text")
+    counts = texts.mapInPandas(listed, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def _shares(s: np.ndarray) -> list[int]:
-    """Keys of a sketch: two texts share each with a chance of about their similarity."""
-    own = np.flatnonzero(s != _EMPTY)
-    x = s[own].astype(np.uint64) * np.uint64(SKETCH) + own.astype(np.uint64)
-    keys = []
-    for j in range(KEYS if len(x) else 0):
-        mixed = (x + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        keys.append(int(x[np.argmin(mixed ^ (mixed >> np.uint64(32)))]))
-    return keys
+def _prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles of a text: two texts of similarity ``least`` share one of them at least."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
+    return h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1] if len(h) else h
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, component): texts whose word shingles have a Jaccard similarity of ``least`` or more are linked.
-
-    Fingerprint and sketch of each text are taken in one pass. Texts of the
-    same sketch and fingerprint are one; the others meet in shards keyed by
-    six minima of their sketches (two texts of similarity 0.8 share none with
-    a chance of 0.2^6). In a shard a BK-tree of the fingerprints finds each
-    text its nearest earlier one within 18 bits; a crowded shard is dealt out
-    to trees of about 256 by another hash for each key. The similarity of the
-    pairs found is then measured on their sketches (standard error 0.035 at
-    0.8). Texts without words are alike. Null keys are left out; rows that
-    repeat a key are one document.
+def copy_groups(
+    docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, crowd: int = CROWD, rounds: int = ROUNDS
+) -> DataFrame:
+    """(node, component) for every distinct text; ``node`` is the text's xxhash64.
+
+    Texts whose sets of word shingles have a Jaccard similarity of ``least``
+    or more are linked, exactly. Shingles are put in one order, those that a
+    sample shows to be common last; texts of that similarity share one of the
+    first n - ceil(least n) + 1 of their n shingles, so each text is listed
+    under those. A list of at most ``crowd`` texts gives all its pairs. In a
+    longer one all texts are compared with a hub, the text that stands in most
+    long lists, and those not linked to it with the next hub, ``rounds``
+    times. Where this leaves a list in several groups, the pairs across them
+    are compared, except those whose distances to the first hub differ by
+    more than 1 - least (the distance obeys the triangle inequality). Each
+    pair is decided on the shingles of its two texts. Texts without words are
+    alike.
     """
+    own = docs.select(F.xxhash64(f"`{text}`").alias("node"), F.col(f"`{text}`").alias("text"))
+    distinct = own.groupBy("node").agg(F.first("text").alias("text"))
+    order = own.sparkSession.sparkContext.broadcast(_common(own, shingle))
 
-    @F.pandas_udf("fp long, sketch binary, shares array<long>")
+    @F.pandas_udf("n int, prefix array<long>")
     def marks(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            rows = []
-            for x in texts:
-                h = _hashes(x, shingle)
-                s = sketch(h)
-                ones = np.zeros(64, dtype=np.int64)
-                for i in range(0, len(h), CHUNK):
-                    part = h[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
-                    ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-                rows.append((int(np.packbits(ones * 2 > len(h)).view(">i8")[0]), s.tobytes(), _shares(s)))
-            yield pd.DataFrame(rows, columns=["fp", "sketch", "shares"])
+            found = [_hashes(x, shingle) for x in texts]
+            yield pd.DataFrame({"n": [len(h) for h in found], "prefix": [_prefix(h, *order.value, least) for h in found]})
 
-    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter("key is not null")
-    marked = step_table(own.select("key", marks("text").alias("m")).select("key", "m.fp", "m.sketch", "m.shares"))
-    alike = F.xxhash64("fp", "sketch").alias("same")
-    values = marked.groupBy(alike).agg(F.min("key").alias("node"), F.first("fp").alias("fp"), F.first("shares").alias("shares"))
-    values = step_table(values)
-    spread = values.select("node", "fp", F.posexplode("shares").alias("j", "share"))
-    sizes = spread.groupBy("j", "share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    sized = step_table(spread.join(sizes, ["j", "share"]))
-    dealt = F.pmod(F.xxhash64("node", "j"), F.ceil(F.col("members") / SLICE)).alias("slice")
-    shards = sized.groupBy("j", "share", dealt).agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m"))
-
-    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def jaccard(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        of = lru_cache(4)(lambda x: frozenset(_shingles(x, shingle)))
+
+        def share(x: frozenset, y: frozenset) -> float:
+            both = len(x & y)
+            return both / max(1, len(x) + len(y) - both)
+
+        # one pair after another: the sets are many times as large as the texts
+        return pd.Series([share(of(x), of(y)) for x, y in zip(xs, ys)], dtype=float)
+
+    values = step_table(distinct.select("node", marks("text").alias("m")).select("node", "m.n", "m.prefix"))
+    spread = values.select("node", "n", F.explode("prefix").alias("share"))
+    sizes = spread.groupBy("share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("share")
+    # written out, so that a crowded list's rows can be split among tasks
+    sized = step_table(spread.join(sizes, "share"))
+    lists = sized.groupBy("share").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
+    lists = step_table(lists.select("m").distinct())
+    listed = lists.select(F.explode("m.node").alias("node")).distinct()
+    texts = step_table(distinct.join(listed, "node", "left_semi"))
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """(a, b, sim) of the distinct pairs."""
+        left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
+        return step_table(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", jaccard("ta", "tb").alias("sim")))
+
+    def all_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of different groups whose sizes and distances to the hub allow the similarity."""
         for part in parts:
-            pairs = []
-            for nodes, fps in zip(part["nodes"], part["fps"]):
-                tree = BKTree(np.asarray(fps, dtype=np.int64).view(np.uint64))
-                codes = tree.codes
-                for i, code in enumerate(codes):
-                    near = [((codes[at] ^ code).bit_count(), at) for at in tree.within(code, FAR) if at < i]
-                    if near:
-                        pairs.append((int(nodes[i]), int(nodes[min(near)[1]])))
-            yield pd.DataFrame(pairs, columns=["a", "b"])
-
-    found = shards.filter("size(m) > 1").select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"))
-    pairs = found.mapInPandas(nearest, "a long, b long").distinct()
+            for nodes, sizes, sims, groups in zip(part["nodes"], part["sizes"], part["sims"], part["groups"]):
+                by = np.argsort(sims, kind="stable")
+                nodes, sizes, sims, groups = (np.asarray(x)[by] for x in (nodes, sizes, sims, groups))
+                ends = np.searchsorted(sims, sims + (1 - least) + 1e-9, side="right")
+                a, b, held = [], [], 0
+                for i, end in enumerate(ends):
+                    x, y = sizes[i], sizes[i + 1 : end]
+                    fits = (groups[i + 1 : end] != groups[i]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9)
+                    b.append(nodes[i + 1 : end][fits])
+                    a.append(np.full(len(b[-1]), nodes[i]))
+                    held += len(b[-1])
+                    if held > 1 << 16 or i == len(ends) - 1:
+                        a, b = np.concatenate(a), np.concatenate(b)
+                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                        a, b, held = [], [], 0
+
+    def across(m: DataFrame) -> DataFrame:
+        return measured(m.mapInPandas(all_pairs, "a long, b long"))
+
+    same = F.transform("m", lambda x: F.lit(0.0))
+    few = lists.filter(F.size("m") <= crowd)
+    few = few.select(F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"), same.alias("sims"), F.col("m.node").alias("groups"))
+    checked = [across(few)]
+
+    def linked() -> DataFrame:
+        return reduce(DataFrame.union, checked).filter(F.col("sim") >= least - 1e-12).select("a", "b")
+
+    long = lists.filter(F.size("m") > crowd).select(F.xxhash64("m").alias("lid"), F.explode("m").alias("x"))
+    long = step_table(long.select("lid", "x.node", "x.n"))
+    scores = long.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
+    left, near = step_table(long.join(scores, "node")), None
+    for _ in range(rounds):
+        hubs = left.groupBy("lid").agg(F.max(F.struct("score", "node")).alias("h"), F.count(F.lit(1)).alias("k"))
+        asked = left.join(hubs.filter("k > 1").select("lid", F.col("h.node").alias("hub")), "lid").filter("node <> hub")
+        asked = step_table(asked)
+        if asked.isEmpty():
+            break
+        checked.append(measured(asked.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+        told = checked[-1].withColumnsRenamed({"a": "node", "b": "hub"})
+        answers = step_table(asked.join(told, ["node", "hub"]))
+        if near is None:
+            near = answers.select("lid", "node", "n", "sim").union(
+                left.join(answers.select("lid", F.col("hub").alias("node")).distinct(), ["lid", "node"]).select("lid", "node", "n", F.lit(1.0))
+            )
+        left = answers.filter(F.col("sim") < least - 1e-12).select("node", "lid", "n", "score")
+    groups = step_table(components(linked()))
+    if near is not None:
+        placed = near.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
+        open_lists = placed.groupBy("lid").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("lid")
+        m = placed.join(open_lists, "lid").groupBy("lid").agg(F.collect_list(F.struct("node", "n", "sim", "g")).alias("m"))
+        rest = m.select(
+            F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"), F.col("m.sim").alias("sims"), F.col("m.g").alias("groups")
+        )
+        checked.append(across(rest))
+        if not checked[-1].filter(F.col("sim") >= least - 1e-12).isEmpty():
+            groups = step_table(components(linked()))
+    wordless = values.filter("n = 0").agg(F.min("node")).first()[0]
+    component = F.when(F.col("n") == 0, F.lit(wordless)).otherwise(F.coalesce("component", "node"))
+    return values.select("node", "n").join(groups, "node", "left").select("node", component.alias("component"))
 
-    @F.pandas_udf("double")
-    def alike_share(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) for a, b in zip(x, y)], dtype=float)
-
-    sketches = marked.groupBy("key").agg(F.first("sketch").alias("sketch"))
-    left, right = (sketches.select(F.col("key").alias(n), F.col("sketch").alias(f"s{n}")) for n in ("a", "b"))
-    measured = pairs.join(left, "a").join(right, "b").filter(alike_share("sa", "sb") >= least).select("a", "b")
-    groups = components(measured)
-    firsts = values.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
-    return marked.select("key", alike).join(firsts, "same").groupBy("key").agg(F.min("component").alias("component"))
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, component) for every key and text: the groups of `copy_groups`, named by their smallest key.
+
+    Null keys are left out; rows that repeat key and text are one. A key that
+    stands on texts of several groups gets a row for each.
+    """
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter("key is not null")
+    groups = copy_groups(own, "text", shingle, least)
+    rows = step_table(own.select("key", F.xxhash64("text").alias("node")).join(groups, "node").select("key", "component").distinct())
+    named = rows.groupBy("component").agg(F.min("key").alias("least"))
+    return rows.join(named, "component").select("key", F.col("least").alias("component"))
