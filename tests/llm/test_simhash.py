@@ -183,3 +183,23 @@ def test_near_copies_of_stars(spark):
     got = copies_of(spark, rows)
     assert got == plain_copies(rows)
     assert sum(v == 1000 for v in got.values()) > 150
+
+
+def test_long_lists_are_settled_whole(spark):
+    rng = random.Random(6)
+    words = [f"c{i}" for i in range(200)]
+    chain = []
+    for i in range(40):  # only neighbours are alike
+        chain.append((i, " ".join(words)))
+        for at in rng.sample(range(200), 3):
+            words[at] = f"n{i}x{at}"
+    passage = [f"p{i}" for i in range(400)]
+    shared = [(1000 + i, " ".join(passage + [f"q{i % 60}x{j}" for j in range(80)]) + " end" * (i // 60)) for i in range(90)]
+    rows = chain + shared + star(2000, 40, rng)
+    want = plain_copies(rows)
+    assert sum(v == 0 for v in want.values()) == 40 and sum(v < k for k, v in want.items() if 1000 <= k < 2000) == 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = docs.select("doc_id", F.xxhash64("text").alias("node"))
+    found = nodes.join(simhash.copy_groups(docs, crowd=5, rounds=1), "node")
+    named = found.groupBy("component").agg(F.min("doc_id").alias("least"), F.collect_list("doc_id").alias("ids"))
+    assert {i: r["least"] for r in named.collect() for i in r["ids"]} == want
