@@ -203,3 +203,12 @@ def test_long_lists_are_settled_whole(spark):
     found = nodes.join(simhash.copy_groups(docs, crowd=5, rounds=1), "node")
     named = found.groupBy("component").agg(F.min("doc_id").alias("least"), F.collect_list("doc_id").alias("ids"))
     assert {i: r["least"] for r in named.collect() for i in r["ids"]} == want
+
+
+def test_near_copies_that_repeat_lines(spark):
+    rows = []
+    for i in range(0, 60, 2):
+        body = [f"b{i}x{j}" for j in range(400)]
+        rows += [(i + k, " ".join(body + [f"r{i + k}x{j}" for j in range(8)] * 40)) for k in (0, 1)]
+    got = copies_of(spark, rows)
+    assert got == plain_copies(rows) == {i: i - i % 2 for i in range(60)}
