@@ -110,3 +110,11 @@ def test_repeated_rows_leave_one(spark):
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_queries_agree_with_sql(spark, name):
     assert compare(spark, duck(SMALL), queries.QUERIES[name], oracles.ORACLES[name], SMALL) is None
+
+
+def test_dedup_by_text_whatever_the_ids(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "its own words and no others"), (None, "p q r s t u"), (None, "p q r s t u ")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    got = rows_of(corpus_pipeline.near_dedup(spark, docs, SMALL))
+    assert sorted((k, x.strip()) for k, x in got if k) == [rows[0], rows[2]]
+    assert [x.strip() for k, x in got if k is None] == ["p q r s t u"]
