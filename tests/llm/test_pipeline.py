@@ -118,3 +118,14 @@ def test_dedup_by_text_whatever_the_ids(spark):
     got = rows_of(corpus_pipeline.near_dedup(spark, docs, SMALL))
     assert sorted((k, x.strip()) for k, x in got if k) == [rows[0], rows[2]]
     assert [x.strip() for k, x in got if k is None] == ["p q r s t u"]
+
+
+def test_language_stage_fills_in_and_keeps(spark):
+    shape = "doc_id long, text string, lang string"
+    unlearned = spark.createDataFrame([(1, "no label here", None), (2, "12 !", None)], shape)
+    assert rows_of(corpus_pipeline.known_language(spark, unlearned, SMALL)) == [(1, "no label here")]
+    english, german = "the river and the house of the town", "der Fluss und das Haus der kleinen Stadt"
+    rows = [(i, f"{(english, german)[i % 2]} {i}", ("en", "de")[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (100, german + " 7", None), (101, english, "xx")], shape)
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.known_language(spark, docs, SMALL).collect()}
+    assert len(got) == 62 and got[100] == "de" and got[101] == "xx"
