@@ -320,5 +320,15 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), url_filter.labelled_urls(df.limit(0), RULES), RULES).count() == 0
 
 
+def test_small_table_knows_paths():
+    model = url_filter.train(url_filter.small_table())
+    hosts = ("ridgeway-tools.org", "www.oakvalley.com", "m.brightfield.net")
+    bad = ("/online-casino/free-bets", "/en/poker-online", "/adult-videos/7.html", "/de/pills-for-less", "/fr/casino-bonus/")
+    good = ("/en/12", "/de/7.html", "/about", "/library/opening-hours", "/news/weather", "/fr/museum/", "/en/train-times.html", "/2021/05/cooking-class")
+    for h in hosts:
+        assert [x for x in bad if model.score(h, x) <= 0.5] == [] and [x for x in good if model.score(h, x) > 0.5] == []
+    assert model.score("best-casino.acme.com", "/en/12") > 0.5 > model.score("school-library.acme.com", "/en/12")
+
+
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

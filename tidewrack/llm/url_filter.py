@@ -49,27 +49,47 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-#: A small labelled URL table: site names of unwanted and of plain sites. Each is listed under several ends
-#: and paths, so that only the names tell the classes apart.
+#: A small labelled URL table: names and page titles, unwanted and plain. A plain site with an unwanted page is
+#: unwanted as well. Both classes stand under the same ends, folders and languages, so that only words tell them apart.
 UNWANTED = (
-    "casino-royal online-casino win-casino casino-bonus poker-win slots-play free-bets bets-today sport-bets "
-    "cheap-pills pills-online cheap-meds pharmacy-deal spam-links link-farm spam-site seo-farm ads-server "
-    "track-ads ad-tracker ads-click popup-ads adult-video adult-x xxx-cams sex-chat porn-tube malware-drop "
-    "free-crack keygen-files get-rich fast-loan"
+    "casino-palace grandcasino casinos-online royal-poker pokerroom slots-heaven jackpot-city betting-tips livebets "
+    "bets-and-odds discount-pills pillstore weightloss-pills viagra-shop cheapmeds rx-pharmacy spamhub bulk-spam spammers "
+    "linkfarm backlink-farms adserver ads-network adstrack clicktracker popup-tracks adultclub adults-only xxxcams "
+    "sexchat porntube escort-girls malware-kit warez-crack keygens payday-loans quickloan winbig win-prizes freespins "
+    "free-money"
 ).split()
 PLAIN = (
-    "city-library university town-news garden-notes museum river-watch cooking school weather open-maps "
-    "bike-repair history-journal math-forum translation travel-diary hospital code-docs birdsong parliament "
-    "chess-club bookshop train-times choir science-news tree-notes wren stone-house morning-post lake harbour "
-    "northern teacher thinking either thereon notion"
+    "city-library university townnews garden-notes museum riverwatch cooking primary-school weather openmaps "
+    "bike-repair history-journal math-forum translation traveldiary hospital code-docs birdsong parliament chessclub "
+    "bookshop train-times choir sciencenews tree-notes wren stonehouse morning-post lake harbour northern teacher "
+    "thinking either thereon notion windows-help address-book advice freedom-press smith-and-sons thornton motherwell "
+    "fire-station education heritage brotherhood healthcare earthworks theatre thursday-market south-hill bathtubs "
+    "another-day panther-fc leather-goods anthropology authors thames-boats mathews thistle southend threadneedle "
+    "redhouse meadow-farm hillcrest bergmann dubois-fils garcia-hermanos green-acres kitchen-ideas photo-album "
+    "school-news opening-times recipes contact team imprint products volunteers calendar statistics software-manual "
+    "river-valley old-bakery woodwork field-notes brightwater parish-council physics-lab music-lessons toolmaker "
+    "thatcher hatmaker chateau manhattan nathan than-you-think thanksgiving weekly-news family-tree constable tabletops "
+    "stable-yard nations questions relation-studies mountain-rescue maintainers planner about-us whitby wheatfield "
+    "southampton thousand-islands youth-club thunderstorm hand-crafts method mathtime timetable eighties cynthia "
+    "acorn academy"
 ).split()
-_PLACES = ("www.{}.example.com/en/12", "{}.example.net/fr/7.html", "m.{}.example.org/de/431", "blog.{}.example.com/es/95/")
+_ENDS = ("{}.com", "www.{}.org", "{}.net", "blog.{}.de", "m.{}.fr", "{}.co.uk", "shop.{}.info", "www.{}.es")
+_FOLDERS = ("/", "/en/", "/de/", "/fr/articles/", "/es/", "/2019/04/", "/pages/", "/archive/17/")
+_TAILS = ("", ".html", "/", "/3", "-2", ".php", "/index.html", "/about")
 
 
 def small_table() -> list[tuple[str, str, bool]]:
     """The small labelled table as (host, path, block)."""
-    urls = [(at.format(name).partition("/"), block) for block, names in ((True, UNWANTED), (False, PLAIN)) for name in names for at in _PLACES]
-    return [(host, slash + rest, block) for (host, slash, rest), block in urls]
+    urls = []
+    for host_block, hosts in ((True, UNWANTED), (False, PLAIN)):
+        for path_block, titles in ((True, UNWANTED), (False, PLAIN), (False, ("", "7", "12", "431"))):
+            for i, host in enumerate(hosts):
+                for k in range(12 if not host_block and not path_block else 3 - host_block):
+                    at = 3 * i + 5 * k
+                    title = titles[(7 * i + 11 * k + 3) % len(titles)]
+                    path = _FOLDERS[(at + i // 8) % 8] + title + _TAILS[(at + 2 * k) % 8] if title else _FOLDERS[at % 8]
+                    urls.append((_ENDS[(at + k) % 8].format(host), path, host_block or path_block))
+    return urls
 
 
 def buckets_of(host: str, path: str) -> np.ndarray:
