@@ -97,4 +97,32 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_licenses": _OP1, "op2_top_k": _OP2, "op4_chat": _OP4, "op5_decontamination": _OP5}
+_OP12 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_LOWER}) AS text FROM documents),
+piece AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM piece),
+words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+place AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM split, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+freq AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM place GROUP BY ALL HAVING count(*) >= 100),
+candidate AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM freq WHERE k >= 2),
+inside AS (
+  SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (
+    SELECT lang, a, w, m, unnest(generate_series(1, k - m + 1)) AS i
+    FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM candidate))),
+longest AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM candidate c LEFT JOIN longest USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+cut AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut c JOIN freq x ON c.lang = x.lang AND c.x = x.phrase JOIN freq y ON c.lang = y.lang AND c.y = y.phrase
+  JOIN words ON c.lang = words.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least QUALIFY rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op1_licenses": _OP1, "op2_top_k": _OP2, "op4_chat": _OP4, "op5_decontamination": _OP5, "op12_collocations": _OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontaminate, language_id, license_scan, lm, packing, simhash, topk, url_filter
+from . import byte_bpe, chat, collocations, dac, decontaminate, language_id, license_scan, lm, packing, simhash, topk, url_filter, whitening
 from .common import remainder, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,31 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url_verdict").alias("verdict"),
         F.col("url_score").alias("score"),
     )
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level token ids of every document, and what they decode to."""
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = byte_bpe.decoded(byte_bpe.encoded(docs, path, public_tokenizers.PATTERN), path)
+    return done.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
