@@ -4,12 +4,13 @@ The merges of a rank file are compiled, state by state as texts ask for them,
 into a deterministic transducer over bytes. It rests on two facts. The
 encoding of a prefix of a piece is the encoding of a shorter prefix and one
 more token; and a list of tokens is an encoding if each two neighbours are the
-encoding of their joined bytes. So the encodings of all prefixes form a tree in
-which every byte adds one leaf, and a state is what of this tree can still
-matter: the prefixes after which an unfinished token may begin (the lookahead,
-never longer than the longest token), the token each ends with, and the way up
-to their nearest common ancestor. Tokens above that ancestor are certain and
-are emitted at once. A piece takes one table step a byte, however long it is.
+encoding of their joined bytes. A state is what can still matter of all
+prefixes so far: the places where an unfinished token may begin (the
+lookahead, never longer than the longest token) and the token that ends at
+each. The edge for a byte writes the last token of the prefix it completes.
+These tokens lead back from any place to the one before it; where the ways
+back from all open places meet, tokens are certain and are emitted. A piece
+takes one table step a byte, however long it is.
 
 States are dropped when there are too many and built again when asked for, as
 lazily determinised automata do.
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterable, Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,9 +33,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what a Python worker keeps: states with their edges, results for pieces, and pairs of tokens.
-STATES = 250_000
-PIECES = 200_000
+#: Bounds of what a Python worker keeps: states with their edges, results for pieces (twice as many), pairs of tokens.
+STATES = 200_000
+PIECES = 150_000
 PAIRS = 200_000
 #: Longer pieces are not kept.
 PIECE_CHARS = 64
@@ -47,8 +50,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-#: A node of a state: distance from the end (-1 where no token may begin), last token, parent; parents come first.
-Node = tuple[int, int, int]
+#: Bytes of a piece after which certain tokens are emitted.
+SETTLE = 4096
+#: What a state knows of a place: bytes since then, and the token that ends there.
+Place = tuple[int, int]
 
 
 class Transducer:
@@ -57,6 +62,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         self.open = {token[:i] for token in ranks for i in range(1, len(token))}
         #: Tokens that their own merges do not build: they stand for a whole piece only.
         self.odd = {t for t in ranks if len(t) > 1 and self.merged(t) != [ranks[t]]}
@@ -65,12 +71,11 @@ class Transducer:
 
     def reset(self) -> None:
         """Drop all states but the first."""
-        self.place: dict[tuple[bytes, tuple[Node, ...]], int] = {}
-        self.states: list[tuple[bytes, tuple[Node, ...]]] = []
-        self.final: list[tuple[int, ...]] = []
-        self.edges: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.number: dict[tuple[bytes, tuple[Place, ...]], int] = {}
+        self.states: list[tuple[bytes, tuple[Place, ...]]] = []
+        self.edges: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self._state(b"", ((0, START, -1),), ())
+        self._state(b"", ((0, START),))
 
     def merged(self, data: bytes) -> list[int]:
         """The ranks of some bytes by joining the neighbours of lowest rank; for pairs of tokens only."""
@@ -94,71 +99,71 @@ class Transducer:
             found = self.pairs[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return found
 
-    def _state(self, window: bytes, nodes: tuple[Node, ...], final: tuple[int, ...]) -> int:
-        """The number of a state; ``final`` is what is left to emit where a piece ends in it."""
-        key = (window, nodes)
-        if key not in self.place:
-            self.place[key] = len(self.states)
+    def _state(self, window: bytes, places: tuple[Place, ...]) -> int:
+        """The number of a state."""
+        key = (window, places)
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.states)
             self.states.append(key)
-            self.final.append(final)
-        return self.place[key]
+        return found
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The edge of a state for a byte: the next state and what is emitted. Built and kept."""
-        window, before = self.states[state]
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        """The edge of a state for a byte, built and kept: the next state, and the token that ends there."""
+        window, places = self.states[state]
         window += bytes((byte,))
-        end, nodes = len(window), [(back + 1 if back >= 0 else -1, token, up) for back, token, up in before]
-        for i, (back, token, _) in enumerate(nodes):
-            joined = window[end - back :] if back > 0 else b""
-            if joined in self.ranks and joined not in self.odd and self._meets(token, self.ranks[joined]):
-                nodes.append((0, self.ranks[joined], i))
-                break
-        else:
+        end, last, open_places = len(window), None, []
+        for back, token in places:
+            joined = window[end - back - 1 :]
+            if last is None and joined in self.ranks and joined not in self.odd and self._meets(token, self.ranks[joined]):
+                last = self.ranks[joined]
+            if joined in self.open:
+                open_places.append((back + 1, token))
+        if last is None:
             raise ValueError(f"no token for byte {byte}: a rank file has to hold all single bytes")
-        live = [i for i, (back, _, _) in enumerate(nodes) if back == 0 or back > 0 and window[end - back :] in self.open]
-        ways = []
-        for i in live:
-            way = [i]
-            while nodes[way[-1]][2] >= 0:
-                way.append(nodes[way[-1]][2])
-            ways.append(way[::-1])
+        open_places.append((0, last))
+        target = self._state(window[end - open_places[0][0] :], tuple(open_places))
+        edge = self.edges[state << 8 | byte] = (target, last)
+        return edge
+
+    def _way(self, last: list[int], at: int) -> list[int]:
+        """Places after the first up to ``at``, each the end of a token; ``last`` has the last token at each place."""
+        way, length = [], self.length
+        while at:
+            way.append(at)
+            at -= length[last[at - 1]]
+        way.reverse()
+        return way
+
+    def _settled(self, state: int, last: list[int]) -> tuple[list[int], list[int]]:
+        """Tokens that are certain in a state, and the last tokens at the places after them."""
+        n = len(last)
+        ways = [self._way(last, n - back) for back, _ in self.states[state][1]]
         shared = 0
         while all(len(w) > shared and w[shared] == ways[0][shared] for w in ways):
             shared += 1
-        root = ways[0][shared - 1]
-        emitted = tuple(nodes[i][1] for i in ways[0][1:shared])
-        kept = sorted({i for way in ways for i in way[shared - 1 :]})
-        place, alive = {i: n for n, i in enumerate(kept)}, set(live)
-        least = max(nodes[i][0] for i in live)
-        own = []
-        for i in kept:
-            back, token, up = nodes[i]
-            if i == root:
-                own.append((back if i in alive else -1, token if i in alive else SETTLED, -1))
-            else:
-                own.append((back if i in alive else -1, token, place[up]))
-        last = next(w for w in ways if w[-1] == len(nodes) - 1)
-        target = self._state(window[end - least :], tuple(own), tuple(nodes[i][1] for i in last[shared:]))
-        edge = self.edges[state << 8 | byte] = (target, emitted)
-        return edge
+        return [last[at - 1] for at in ways[0][:shared]], last[ways[0][shared - 1] if shared else 0 :]
 
     def encode(self, piece: bytes) -> list[int]:
         """Ranks of a piece."""
         if piece in self.odd:
             return [self.ranks[piece]]
-        state, out, edges = 0, [], self.edges
+        state, last, out, edges = 0, [], [], self.edges
         for byte in piece:
             edge = edges.get(state << 8 | byte)
             if edge is None:
                 if len(self.states) > self.bound:
-                    kept = (*self.states[state], self.final[state])
+                    kept = self.states[state]
                     self.reset()
                     state, edges = self._state(*kept), self.edges
                 edge = self._step(state, byte)
-            state, emitted = edge
-            if emitted:
-                out += emitted
-        return out + list(self.final[state])
+            state, token = edge
+            last.append(token)
+            if len(last) > SETTLE:
+                certain, last = self._settled(state, last)
+                out += certain
+        out += [last[at - 1] for at in self._way(last, len(last))]
+        return out
 
 
 class Encoder:
@@ -170,25 +175,33 @@ class Encoder:
         self.transducer = Transducer(ranks, states)
         self.pieces = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text (null: none) as unsigned 32-bit integers; few pieces are held at a time."""
-        found, parts, known = [], [], self.known
+        self.before: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece, kept with those of the latest other pieces."""
+        own = self.before.get(piece)
+        if own is None:
+            own = array("I", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        if len(piece) <= PIECE_CHARS:
+            if len(self.known) >= PIECES:
+                self.before, self.known = self.known, {}
+            self.known[piece] = own
+        return own
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text (null: none) as native unsigned 32-bit integers; few pieces are held at a time."""
+        found, parts, known = [], [], self.known.get
         for match in self.pieces.finditer(text or ""):
             piece = match.group()
-            own = known.get(piece)
+            own = known(piece)
             if own is None:
-                ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-                own = np.array(ids, dtype="<u4").tobytes()
-                if len(piece) <= PIECE_CHARS:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = own
+                own = self._piece(piece)
+                known = self.known.get
             parts.append(own)
             if len(parts) > CHUNK:
                 found.append(b"".join(parts))
                 parts = []
-        return np.frombuffer(b"".join([*found, *parts]), dtype="<u4")
+        return b"".join([*found, *parts])
 
 
 # State machine for UTF-8: the byte range each state takes next and the state it leads to; 0 is between characters.
@@ -259,14 +272,19 @@ class Utf8Stream:
         return broken
 
 
-def decode(chunks: Iterable[np.ndarray], token: Callable[[int], bytes]) -> Iterator[str]:
-    """Text of ids that come in chunks, each part as soon as its characters are complete."""
-    stream = Utf8Stream()
-    for ids in chunks:
-        yield stream.feed(b"".join(map(token, ids.tolist())))
+def decode(ids: bytes, token: Callable[[int], bytes]) -> Iterator[str]:
+    """Text of ids in unsigned 32-bit integers, part by part as characters become complete."""
+    stream, own = Utf8Stream(), np.frombuffer(ids, dtype=np.uint32)
+    for i in range(0, len(own), CHUNK):
+        yield stream.feed(b"".join(map(token, own[i : i + CHUNK].tolist())))
     yield stream.end()
 
 
+def _little(ids: bytes) -> bytes:
+    """Native unsigned 32-bit integers to little-endian ones, and back."""
+    return ids if sys.byteorder == "little" else np.frombuffer(ids, dtype=np.uint32).astype("<u4").tobytes()
+
+
 @lru_cache(1)
 def _encoder(path: str, pattern: str) -> Encoder:
     """The worker's transducer for a file; its tables are bounded."""
@@ -278,22 +296,33 @@ def _tokens(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in read_ranks(path).items()}
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
+def encoded(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", decoded_into: str | None = None
+) -> DataFrame:
     """Every row with its text's token ids added as bytes (little-endian unsigned 32-bit), replaced if there.
 
     Each match of ``pattern`` is encoded by itself by the ranks in the file
     ``path``, without special tokens. Null and empty texts have no ids.
-    Repeated rows stay repeated, an empty table stays empty, and no other
-    column is touched or passes through Python.
+    ``decoded_into`` names a further column for what the ids decode to, which
+    saves a second pass. Repeated rows stay repeated, an empty table stays
+    empty, and no other column is touched or passes through Python.
     """
+    both = decoded_into is not None
 
-    @F.pandas_udf("binary")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids binary, text string" if both else "ids binary")
+    def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = _encoder(path, pattern)
+        token = own.transducer.token.__getitem__
         for texts in parts:
-            yield pd.Series([own.encode(x).tobytes() for x in texts], dtype=object)
+            ids = [own.encode(x) for x in texts]
+            found = {"ids": pd.Series(map(_little, ids), dtype=object)}
+            if both:
+                found["text"] = pd.Series(["".join(decode(x, token)) for x in ids], dtype=object)
+            yield pd.DataFrame(found)
 
-    return docs.withColumn(into, ids(F.col(f"`{text}`")))
+    done = docs.withColumn(into, coded(F.col(f"`{text}`")))
+    columns = {into: F.col(f"`{into}`.ids")} | ({decoded_into: F.col(f"`{into}`.text")} if both else {})
+    return done.withColumns(columns)
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -308,10 +337,6 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         token = _tokens(path).__getitem__
         for rows in parts:
-            found = []
-            for raw in rows:
-                own = np.frombuffer(raw or b"", dtype="<u4")
-                found.append("".join(decode((own[i : i + CHUNK] for i in range(0, len(own), CHUNK)), token)))
-            yield pd.Series(found, dtype=object)
+            yield pd.Series(["".join(decode(_little(raw or b""), token)) for raw in rows], dtype=object)
 
     return docs.withColumn(into, texts(F.col(f"`{ids}`")))

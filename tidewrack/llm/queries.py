@@ -180,7 +180,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = byte_bpe.decoded(byte_bpe.encoded(docs, path, public_tokenizers.PATTERN), path)
+    done = byte_bpe.encoded(docs, path, public_tokenizers.PATTERN, decoded_into="decoded")
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
