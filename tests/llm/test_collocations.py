@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import awkward_docs, lower, no_docs
@@ -89,32 +90,46 @@ def test_small_blocks_and_new_dictionaries(spark, monkeypatch):
     monkeypatch.setattr(C, "WORDS", 6)
     whole = C._blocks
     monkeypatch.setattr(C, "_blocks", lambda t: whole(t, 23))
-    got = Counter()
+    got, places = Counter(), {}
     for lengths in ((1,), (2,), (3,), (4, 5)):
-        counter = C._Counter(lengths, 0, None, 30, 4)
-        for part in [*counter.texts("en", texts), *counter.rest()]:
-            for r in part[part["size"] > 0].itertuples():
-                got["en", tuple(r.phrase.split(" "))] += r.n
+        counter = C._Counter(lengths, 0, None, 30, 4, 7)
+        runs = [r for batch in [*counter.texts("en", texts), *counter.rest()] for r in batch.to_pylist()]
+        for run in runs:
+            assert run["phrases"] and len(run["phrases"]) == len(run["counts"]) and 0 <= run["part"] < 7
+            for phrase, n in zip(run["phrases"], run["counts"]) if run["size"] else ():
+                got["en", tuple(phrase.split(" "))] += n
+                assert places.setdefault(tuple(phrase.split(" ")[:2]), run["part"]) == run["part"]
     assert got == want
 
 
-def test_trie_bursts_and_spills_sorted_subtrees():
-    rng, trie, want = random.Random(4), C.HatTrie(burst=4), Counter()
-    for _ in range(3000):
-        ids = tuple(rng.randrange(1, 7) for _ in range(4))
-        trie.add((0, *ids), 2)
-        want[(0, *ids)] += 2
-    assert trie.size == len(want) and any(type(x) is dict for x in trie.root[0].values())
-    got = Counter()
-    for run in trie.spill(keep=len(want) // 2):
-        assert run == sorted(run) and len({ids[:2] for ids, _ in run}) == 1
-        got.update(dict(run))
-    assert 0 < trie.size <= len(want) // 2
-    for run in trie.spill():
-        got.update(dict(run))
+@pytest.mark.parametrize("k", [2, 3, 4, 5])
+def test_trie_bursts_and_spills_sorted_subtrees(k):
+    rng, trie, want = random.Random(4), C.HatTrie(k, burst=4), Counter()
+    for _ in range(800):
+        first, rests = rng.randrange(1, 9), [sum(rng.randrange(1, 9) << C.ID * j for j in range(k - 1)) for _ in range(4)]
+        trie.add(first, rests, [1, 2, 3, 4])
+        for rest, n in zip(rests, [1, 2, 3, 4]):
+            want[first, rest] += n
+    assert trie.size == len(want)
+    assert all((type(x) is dict) == (k > 2) for x in trie.root.values())
+    got, seen = Counter(), set()
+    for keep in (len(want) // 2, 0):
+        for first, rests, counts in trie.spill(keep):
+            assert rests == sorted(rests) and first not in seen
+            seen.add(first)
+            got.update({(first, rest): n for rest, n in zip(rests, counts)})
+        assert trie.size <= keep
     assert got == want and trie.size == 0
 
 
+def test_distinct_rows():
+    rng = random.Random(9)
+    for k in range(1, 6):
+        rows = [tuple(rng.choice([0, 1, 5, C.MASK]) for _ in range(k)) for _ in range(500)]
+        columns, counts = C._distinct([np.array(c, dtype=np.int64) for c in zip(*rows)])
+        assert dict(zip(zip(*(c.tolist() for c in columns)), counts.tolist())) == Counter(rows)
+
+
 def test_products_beyond_64_bits(spark):
     rows = [("en", "u v ") for _ in range(300)] + [("en", "w " * 9000)] * 40
     got = {tuple(r)[2:] for r in C.collocations(frame(spark, rows), least=100).collect()}

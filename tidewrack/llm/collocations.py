@@ -3,9 +3,11 @@
 A task counts the phrases of its texts in a trie: shallow nodes keyed by word
 ids, and below them hash containers from the rest of a phrase to its count. A
 container that grows too large bursts into a node with a container for each
-next word. A trie over its bound spills whole subtrees, largest first, as
-sorted runs, and starts them anew; Spark's shuffle brings the runs of one
-prefix (a phrase's first two words) together, where counts are added up.
+next word. A trie over its bound spills whole subtrees, those that repeat
+least first, as sorted runs, and starts them anew; Spark's shuffle brings the
+runs of one prefix partition (the hash of a phrase's first two words)
+together, where counts are added up. A run is one row, so that phrases with a
+common beginning lie side by side and compress well.
 
 Phrases are counted by length. A phrase can be frequent only if all shorter
 ones in it are, so each pass skips places whose shorter phrases are known to
@@ -18,94 +20,119 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import step_table
+from .common import partitions, step_table
 
 LONGEST = 5
 BURST = 4096
-#: Phrases a task's trie holds before it spills, and words before it starts anew.
-HELD = 500_000
+#: Phrases a task's tries hold before they spill, and words before it starts anew.
+HELD = 800_000
 WORDS = 400_000
-BLOCK = 1 << 22
+BLOCK = 1 << 21
+#: Bits of a word's id: a block has at most half as many words as bytes.
+ID = 21
+MASK = (1 << ID) - 1
 #: Bits of the map of frequent phrases.
 BITS = 1 << 25
 UNKNOWN = "und"
 # Every separator becomes a dot, tabs become blanks, A-Z lower case: a dot is no part of any word.
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-_table = bytes(
-    46 if b in _SEPARATORS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
-)
+_table = bytes(46 if b in _SEPARATORS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _cut = re.compile(rb"[ .]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class HatTrie:
-    """Counts of sequences of ids, all of one length: nodes by id at the top, hash containers below."""
+class Container(dict):
+    """Rest of a phrase, its ids packed into one number, to its count."""
 
-    class Container(dict):
-        """Rest of a sequence to its count."""
 
-    def __init__(self, burst: int = BURST):
+class HatTrie:
+    """Counts of sequences of ``k`` ids: nodes by id at the top, hash containers below."""
+
+    def __init__(self, k: int, burst: int = BURST):
+        self.k, self.burst, self.size = k, burst, 0
         self.root: dict[int, dict] = {}
-        self.burst, self.size = burst, 0
 
-    def add(self, ids: tuple[int, ...], n: int = 1) -> None:
-        node, at = self.root, 1
-        while (child := node.get(ids[at - 1])).__class__ is dict:
-            node, at = child, at + 1
+    def add(self, first: int, rests: list[int], counts: list[int]) -> None:
+        """Add counts of sequences that begin with ``first``; the other ids are packed, ``ID`` bits each."""
+        child = self.root.get(first)
         if child is None:
-            child = node[ids[at - 1]] = HatTrie.Container()
-        rest, before = ids[at:], len(child)
-        child[rest] = child.get(rest, 0) + n
-        if len(child) > before:
-            self.size += 1
-            if before >= self.burst and len(rest) > 1:
-                node[ids[at - 1]] = self._burst(child)
+            child = self.root[first] = Container()
+        if child.__class__ is Container:
+            self._fill(child, rests, counts)
+            if len(child) > self.burst and self.k > 2:
+                self.root[first] = self._burst(child, self.k - 2)
+        else:
+            for rest, n in zip(rests, counts):
+                self._add(child, self.k - 2, rest, n)
+
+    def _fill(self, container: Container, rests: list[int], counts: list[int]) -> None:
+        before, get = len(container), container.get
+        for rest, n in zip(rests, counts):
+            container[rest] = get(rest, 0) + n
+        self.size += len(container) - before
+
+    def _add(self, node: dict, left: int, rest: int, n: int) -> None:
+        """Add one sequence below a node, ``left`` ids standing after the node's own."""
+        while True:
+            shift = ID * left
+            key, rest = rest >> shift, rest & ((1 << shift) - 1)
+            child = node.get(key)
+            if child is None:
+                child = node[key] = Container()
+            if child.__class__ is Container:
+                break
+            node, left = child, left - 1
+        self._fill(child, [rest], [n])
+        if len(child) > self.burst and left > 1:
+            node[key] = self._burst(child, left - 1)
 
     @staticmethod
-    def _burst(container: Container) -> dict:
+    def _burst(container: Container, left: int) -> dict:
         """A node with a container for each first id of the container's entries."""
         node: dict[int, dict] = {}
+        shift = ID * left
         for rest, n in container.items():
-            node.setdefault(rest[0], HatTrie.Container())[rest[1:]] = n
+            node.setdefault(rest >> shift, Container())[rest & ((1 << shift) - 1)] = n
         return node
 
-    def _entries(self, node: dict, prefix: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
-        if node.__class__ is HatTrie.Container:
-            for rest, n in node.items():
-                yield prefix + rest, n
+    def _containers(self, node: dict, prefix: int, left: int) -> Iterator[tuple[int, int, Container]]:
+        """(prefix, ids after it, container) of everything below."""
+        if node.__class__ is Container:
+            yield prefix, left, node
         else:
-            for i, child in node.items():
-                yield from self._entries(child, (*prefix, i))
-
-    def _count(self, node: dict) -> int:
-        return len(node) if node.__class__ is HatTrie.Container else sum(map(self._count, node.values()))
-
-    def _subtrees(self) -> list[tuple[int, dict, int, tuple[int, ...]]]:
-        """(size, parent, id, prefix) of all containers' parents' entries: the units that spill."""
-        found, todo = [], [(self.root, ())]
-        while todo:
-            node, prefix = todo.pop()
-            for i, child in node.items():
-                if child.__class__ is HatTrie.Container or prefix:
-                    found.append((self._count(child), node, i, prefix))
-                else:
-                    todo.append((child, (*prefix, i)))
-        return found
-
-    def spill(self, keep: int = 0) -> Iterator[list[tuple[tuple[int, ...], int]]]:
-        """Whole subtrees, largest first, each as a run in order of ids, until no more than ``keep`` entries stay."""
-        for size, node, i, prefix in sorted(self._subtrees(), key=lambda s: -s[0]):
+            for key, child in node.items():
+                yield from self._containers(child, prefix << ID | key, left - 1)
+
+    def spill(self, keep: int = 0) -> Iterator[tuple[int, list[int], list[int]]]:
+        """Whole subtrees (first id, packed rests, counts), until no more than ``keep`` entries stay.
+
+        Subtrees whose entries repeat least go first; each entry is one of a subtree's run, in order.
+        """
+        worth = []
+        for first, child in self.root.items():
+            below = [c for _, _, c in self._containers(child, 0, self.k - 1)]
+            size = sum(map(len, below))
+            worth.append((sum(sum(c.values()) for c in below) / size, first, size))
+        for _, first, size in sorted(worth):
             if self.size <= keep:
                 break
-            yield sorted(self._entries(node.pop(i), (*prefix, i)))
+            entries = []
+            for prefix, left, container in self._containers(self.root.pop(first), 0, self.k - 1):
+                high = prefix << ID * left
+                entries += [(high | rest, n) for rest, n in container.items()] if high else container.items()
             self.size -= size
+            entries.sort()
+            yield first, [e[0] for e in entries], [e[1] for e in entries]
 
 
 class Words(defaultdict):
@@ -122,6 +149,28 @@ class Words(defaultdict):
         return number
 
 
+def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of up to five columns of ids, in order, and how often each stands."""
+    packed, low = columns[0], columns[1:3]
+    for own in low:
+        packed = packed << ID | own
+    if len(columns) > 3:
+        threes, packed = np.unique(packed, return_inverse=True)
+        for own in columns[3:]:
+            packed = packed << ID | own
+    found, counts = np.unique(packed, return_counts=True)
+    out = []
+    for _ in columns[3:]:
+        out.append(found & MASK)
+        found = found >> ID
+    if len(columns) > 3:
+        found = threes[found]
+    for _ in low:
+        out.append(found & MASK)
+        found = found >> ID
+    return [found, *out[::-1]], counts
+
+
 def _blocks(texts: list[str | None], block: int = BLOCK) -> Iterator[list[bytes]]:
     """Words and separators of some texts, in blocks that end between words; a separator ends each text."""
     held, size = [], 0
@@ -145,13 +194,20 @@ def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _lang_seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 7)
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
+
+
 class _Counter:
-    """Phrase counts of one task: the trie, the words' ids and hashes, and the map of frequent shorter phrases."""
+    """Phrase counts of one task: tries by language and length, words' ids and hashes, the map of shorter phrases."""
 
-    def __init__(self, lengths: tuple[int, ...], known: int, bits: np.ndarray | None, held: int, burst: int):
-        self.lengths, self.known, self.bits, self.held = lengths, known, bits, held
-        self.tries = {k: HatTrie(burst) for k in lengths}
-        self.langs: dict[str, int] = {}
+    def __init__(self, lengths: tuple[int, ...], known: int, bits: np.ndarray | None, held: int, burst: int, parts: int = 1):
+        self.lengths, self.known, self.bits, self.held, self.burst, self.parts = lengths, known, bits, held, burst, parts
+        self.tries: dict[tuple[str, int], HatTrie] = {}
         self.totals: Counter[str] = Counter()
         self._new_words()
 
@@ -162,39 +218,37 @@ class _Counter:
         """XXH64 of all words by id."""
         more = self.words.text[len(self.hashes) :]
         if more:
-            own = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in more), dtype=np.uint64, count=len(more))
-            self.hashes = np.concatenate([self.hashes, own])
+            self.hashes = np.concatenate([self.hashes, _word_hashes(more)])
         return self.hashes
 
     def marks(self, lang: str, ids: list[np.ndarray]) -> np.ndarray:
-        """The bits of phrases; ``ids`` holds their first words, second words, ..."""
+        """Hashes of phrases; ``ids`` holds their first words, second words, ..."""
         word = self._hash_words()
-        h = np.full(len(ids[0]), xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 7), dtype=np.uint64)
+        h = np.full(len(ids[0]), _lang_seed(lang), dtype=np.uint64)
         for own in ids:
             h = _mixed(h, word[own])
-        return (h % np.uint64(BITS)).astype(np.int64)
+        return h
 
-    def texts(self, lang: str, texts: list[str | None]) -> Iterator[pd.DataFrame]:
+    def texts(self, lang: str, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
         """Count the phrases of some texts of a language; yields what spills."""
-        first, before = self.langs.setdefault(lang, len(self.langs)), np.zeros(0, np.int64)
+        before = np.zeros(0, np.int64)
         for words in _blocks(texts):
             ids = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
             self.totals[lang] += int(np.count_nonzero(ids))
             for k in self.lengths:
                 # the last words of the block before belong to phrases that end in this one
-                own = np.concatenate([before[max(0, len(before) - k + 1) :], ids])
-                self._phrases(lang, first, own, k)
+                self._phrases(lang, np.concatenate([before[max(0, len(before) - k + 1) :], ids]), k)
             before = np.concatenate([before, ids])
             before = before[max(0, len(before) - max(self.lengths) + 1) :]
             if sum(t.size for t in self.tries.values()) > self.held or len(self.words.text) > WORDS:
                 whole = len(self.words.text) > WORDS
-                yield from self.runs(0 if whole else self.held // (2 * len(self.tries)))
+                yield from self.runs(0 if whole else 0.5)
                 if whole:
                     kept = [self.words.text[i] for i in before.tolist()]
                     self._new_words()
                     before = np.array([self.words[w] for w in kept], dtype=np.int64)
 
-    def _phrases(self, lang: str, first: int, ids: np.ndarray, k: int) -> None:
+    def _phrases(self, lang: str, ids: np.ndarray, k: int) -> None:
         n = len(ids) - k + 1
         if n <= 0:
             return
@@ -202,87 +256,146 @@ class _Counter:
         good = np.logical_and.reduce([inside[j : j + n] for j in range(k)])
         if self.known:
             f, m = self.known, len(ids) - self.known + 1
-            marks = self.marks(lang, [ids[j : j + m] for j in range(f)])
-            frequent = (self.bits[marks >> 3] >> (marks & 7) & 1).astype(bool)
+            marks = self.marks(lang, [ids[j : j + m] for j in range(f)]) % np.uint64(BITS)
+            frequent = (self.bits[marks >> np.uint64(3)] >> (marks & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             good &= np.logical_and.reduce([frequent[j : j + n] for j in range(k - f + 1)])
         at = np.flatnonzero(good)
-        add = self.tries[k].add
-        for phrase, count in Counter(zip(*(ids[at + j].tolist() for j in range(k)))).items():
-            add((first, *phrase), count)
-
-    def runs(self, keep: int = 0) -> Iterator[pd.DataFrame]:
-        """What the tries spill, as rows (lang, prefix, size, phrase, n, mark)."""
-        for k, trie in self.tries.items():
-            held = []
-            for run in trie.spill(keep):
-                held += run
-                if len(held) > 1 << 16:
-                    yield self._rows(k, held)
-                    held = []
-            if held:
-                yield self._rows(k, held)
-
-    def _rows(self, k: int, entries: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
-        parts, names, text = [], list(self.langs), self.words.text
-        for lang in {ids[0] for ids, _ in entries}:
-            own = [(ids, n) for ids, n in entries if ids[0] == lang]
-            words = [[text[i] for i in ids[1:]] for ids, _ in own]
-            columns = np.array([ids[1:] for ids, _ in own], dtype=np.int64).T
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "lang": names[lang],
-                        "prefix": [b" ".join(w[:2]).decode("utf-8", "surrogatepass") for w in words],
-                        "size": k,
-                        "phrase": [b" ".join(w).decode("utf-8", "surrogatepass") for w in words],
-                        "n": [n for _, n in own],
-                        "mark": self.marks(names[lang], list(columns)) + 1,  # Spark's bitmaps count from 1
-                    }
-                )
-            )
-        return pd.concat(parts)
+        if not len(at):
+            return
+        columns, counts = _distinct([ids[at + j] for j in range(k)])
+        if k == 1:  # words hang together under one node
+            columns = [np.zeros_like(columns[0]), *columns]
+        if (lang, k) not in self.tries:
+            self.tries[lang, k] = HatTrie(len(columns), self.burst)
+        rests = columns[1]
+        for own in columns[2:4]:
+            rests = rests << ID | own
+        rests = rests.tolist()
+        if k == 5:
+            rests = [high << ID | low for high, low in zip(rests, columns[4].tolist())]
+        counts, first = counts.tolist(), columns[0]
+        cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)]
+        add = self.tries[lang, k].add
+        for a, b in zip(cuts, cuts[1:]):
+            add(int(first[a]), rests[a:b], counts[a:b])
+
+    def runs(self, keep: float = 0) -> Iterator[pa.RecordBatch]:
+        """What the tries spill down to a share of themselves."""
+        for (lang, k), trie in self.tries.items():
+            firsts, rests, counts = [], [], []
+            for first, own, n in trie.spill(int(keep * trie.size)):
+                firsts.append((first, len(own)))
+                rests += own
+                counts += n
+                if len(rests) > 1 << 18:
+                    yield self._rows(lang, k, firsts, rests, counts)
+                    firsts, rests, counts = [], [], []
+            if rests:
+                yield self._rows(lang, k, firsts, rests, counts)
+
+    def _rows(self, lang: str, k: int, firsts: list[tuple[int, int]], rests: list[int], counts: list[int]) -> pa.RecordBatch:
+        """One run for each prefix partition: (lang, size, part, phrases, counts)."""
+        ids = []
+        if k == 5:
+            ids.append(np.array([r & MASK for r in rests], dtype=np.int64))
+            rests = [r >> ID for r in rests]
+        packed = np.array(rests, dtype=np.int64)
+        for _ in range(min(k - 1, 3) or 1):
+            ids.append(packed & MASK)
+            packed = packed >> ID
+        if k > 1:
+            first, often = np.array(firsts, dtype=np.int64).T
+            ids.append(np.repeat(first, often))
+        ids = ids[::-1]
+        part = (self.marks(lang, ids[:2]) >> np.uint64(32)) % np.uint64(self.parts)
+        order = np.argsort(part, kind="stable")
+        part, ids = part[order].astype(np.int32), [own[order] for own in ids]
+        cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1].astype(np.int32)
+        offsets = pa.array(np.r_[cuts, len(part)].astype(np.int32))
+        text = pa.array(self.words.text, pa.binary())
+        blank = pa.scalar(b" ")
+        phrase = text.take(pa.array(ids[0]))
+        if k > 1:
+            phrase = pc.binary_join_element_wise(phrase, *[text.take(pa.array(own)) for own in ids[1:]], blank)
+        n = pa.array(np.array(counts, dtype=np.int64)[order])
+        return pa.record_batch(
+            [
+                pa.array([lang] * len(cuts), pa.string()),
+                pa.array(np.full(len(cuts), k, dtype=np.int32)),
+                pa.array(part[cuts]),
+                pa.ListArray.from_arrays(offsets, phrase.cast(pa.string())),
+                pa.ListArray.from_arrays(offsets, n),
+            ],
+            names=["lang", "size", "part", "phrases", "counts"],
+        )
 
-    def rest(self) -> Iterator[pd.DataFrame]:
+    def rest(self) -> Iterator[pa.RecordBatch]:
         """All that is left, and the number of words of each language (length 0)."""
         yield from self.runs()
-        totals = {lang: n for lang, n in self.totals.items() if n}
-        if totals and 1 in self.lengths:
-            yield pd.DataFrame(
-                {"lang": list(totals), "prefix": None, "size": 0, "phrase": "", "n": list(totals.values()), "mark": 0}
-            )
+        for lang, n in self.totals.items():
+            if n and 1 in self.lengths:
+                part = _lang_seed(lang) % self.parts
+                yield pa.RecordBatch.from_pylist(
+                    [{"lang": lang, "size": 0, "part": part, "phrases": [""], "counts": [n]}], _RUNS
+                )
+
+
+_RUNS = pa.schema(
+    [("lang", pa.string()), ("size", pa.int32()), ("part", pa.int32())]
+    + [("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
+)
+
+
+def _bitmap(phrases: DataFrame) -> np.ndarray:
+    """The map of some phrases (lang, phrase): ``BITS`` bits, whatever their number."""
+
+    @F.pandas_udf("long")
+    def mark(langs: pd.Series, texts: pd.Series) -> pd.Series:
+        found = np.zeros(len(texts), dtype=np.int64)
+        for i, (lang, phrase) in enumerate(zip(langs, texts)):
+            h = np.full(1, _lang_seed(lang), dtype=np.uint64)
+            for word in _word_hashes(phrase.encode("utf-8", "surrogatepass").split(b" ")):
+                h = _mixed(h, word)
+            found[i] = int(h[0] % np.uint64(BITS))
+        return pd.Series(found)
+
+    # Spark's bitmaps count from 1
+    marked = phrases.select((mark("lang", "phrase") + 1).alias("mark"))
+    maps = marked.groupBy(F.expr("bitmap_bucket_number(mark)").alias("bucket")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(mark))").alias("bits")
+    )
+    whole = np.zeros(BITS // 8, dtype=np.uint8)
+    for bucket, own in maps.collect():
+        whole[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(own)] = np.frombuffer(bytes(own), dtype=np.uint8)
+    return whole
 
 
 def counted(
     docs: DataFrame, lengths: tuple[int, ...], least: int, shorter: DataFrame | None = None, held: int = HELD, burst: int = BURST
 ) -> DataFrame:
-    """(lang, size, phrase, n, mark) of the phrases of some lengths that stand at least ``least`` times in a language.
+    """(lang, size, phrase, n) of the phrases of some lengths that stand at least ``least`` times in a language.
 
-    ``docs`` has lang and text; ``shorter`` are the frequent phrases of one
-    shorter length. With length 1 there is also a row of size 0 for each
-    language, with the number of its words.
+    ``docs`` has lang and text; ``shorter`` are the frequent phrases of the
+    length before the shortest. With length 1 there is also a row of size 0
+    for each language, with the number of its words.
     """
     spark, known, bits = docs.sparkSession, 0, None
     if shorter is not None:
-        known = min(lengths) - 1
-        maps = shorter.groupBy(F.expr("bitmap_bucket_number(mark)").alias("bucket")).agg(
-            F.expr("bitmap_construct_agg(bitmap_bit_position(mark))").alias("bits")
-        )
-        whole = np.zeros(BITS // 8, dtype=np.uint8)
-        for bucket, own in maps.collect():  # BITS in all, whatever the number of phrases
-            whole[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(own)] = np.frombuffer(bytes(own), dtype=np.uint8)
-        bits = spark.sparkContext.broadcast(whole)
-
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = _Counter(lengths, known, bits.value if bits else None, held, burst)
-        for frame in frames:
-            for lang, texts in frame.groupby("lang", sort=False)["text"]:
-                yield from counts.texts(lang, texts.tolist())
+        known, bits = min(lengths) - 1, spark.sparkContext.broadcast(_bitmap(shorter))
+    parts = 4 * partitions(spark)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counter(lengths, known, bits.value if bits else None, held, burst, parts)
+        for batch in batches:
+            langs, texts = batch.column("lang"), batch.column("text")
+            for lang in pc.unique(langs).to_pylist():
+                yield from counts.texts(lang, texts.filter(pc.equal(langs, lang)).to_pylist())
         yield from counts.rest()
 
-    runs = docs.mapInPandas(part, "lang string, prefix string, size int, phrase string, n long, mark long")
-    merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "size", "phrase")
-    found = merged.agg(F.sum("n").alias("n"), F.first("mark").alias("mark")).filter((F.col("n") >= least) | (F.col("size") == 0))
-    return step_table(found.select("lang", "size", "phrase", "n", "mark"))
+    runs = docs.mapInArrow(part, "lang string, size int, part int, phrases array<string>, counts array<long>")
+    runs = runs.repartition("part").select("lang", "size", "part", F.explode(F.arrays_zip("phrases", "counts")).alias("e"))
+    merged = runs.groupBy("part", "lang", "size", F.col("e.phrases").alias("phrase")).agg(F.sum("e.counts").alias("n"))
+    return step_table(merged.filter((F.col("n") >= least) | (F.col("size") == 0)).select("lang", "size", "phrase", "n"))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, held: int = HELD, burst: int = BURST) -> DataFrame:
@@ -293,10 +406,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     for lengths in ((2,), (3,), (4, 5)):
         shorter = levels[-1].filter(F.col("size") == min(lengths) - 1)
         levels.append(counted(own, lengths, least, shorter, held, burst))
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.union(level)
-    return found.drop("mark")
+    return reduce(DataFrame.union, levels)
 
 
 def collocations(
