@@ -33,6 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import PLAIN, SPACED
+
+# Fixed value: the pattern that `tokens.SPACED` cuts plain texts by, which takes half the time there.
+SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: Bounds of what a Python worker keeps: states with their edges, results for pieces (twice as many), pairs of tokens.
 STATES = 200_000
 PIECES = 150_000
@@ -174,6 +179,7 @@ class Encoder:
 
         self.transducer = Transducer(ranks, states)
         self.pieces = regex.compile(pattern)
+        self.plain = SPACED if pattern == SPACED_PATTERN else None
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -190,8 +196,9 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text (null: none) as native unsigned 32-bit integers; few pieces are held at a time."""
-        found, parts, known = [], [], self.known.get
-        for match in self.pieces.finditer(text or ""):
+        found, parts, known, text = [], [], self.known.get, text or ""
+        cut = self.plain if self.plain and (text.isascii() or PLAIN.fullmatch(text)) else self.pieces
+        for match in cut.finditer(text):
             piece = match.group()
             own = known(piece)
             if own is None:

@@ -19,9 +19,9 @@ PART_CHARS = 1_000_000
 # The pre-tokenizer patterns of the two kinds of files, over the characters of plain texts.
 _L, _N, _S = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "0-9", r"\t-\r "
 _SIGNS = "¡¿«»§°·×–—‘’“”…€"
-_plain = re.compile(rf"[\x00-\x7f{_L}{_SIGNS}]*")
+PLAIN = re.compile(rf"[\x00-\x7f{_L}{_SIGNS}]*")
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-_SPACED = re.compile(rf" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+SPACED = re.compile(rf" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BARE = re.compile(rf"[{_L}]+|{_ENDINGS}|[{_N}]|[^{_S}{_L}{_N}]+")
 JOINED = 256
 
@@ -37,7 +37,7 @@ class Encoder:
         tokens = self.tokenizer.get_vocab()
         #: Files that lower-case and drop white space mark word ends; the others keep the blank before a word.
         self.bare = any(t.endswith("</w>") for t in tokens)
-        self.cut = _BARE if self.bare else _SPACED
+        self.cut = _BARE if self.bare else SPACED
         self.edge = np.zeros(max(tokens.values()) + 1, dtype=bool)
         for t, i in tokens.items():
             self.edge[i] = t.endswith("</w>") if self.bare else t.startswith("Ġ")
@@ -75,7 +75,7 @@ class Encoder:
     def _encode_part(self, texts: list[str]) -> list[np.ndarray]:
         pieces: list[list[str] | None] = []
         for x in texts:
-            plain = "<|" not in x and (x.isascii() or _plain.fullmatch(x))
+            plain = "<|" not in x and (x.isascii() or PLAIN.fullmatch(x))
             pieces.append(self.cut.findall(x.lower() if self.bare else x) if plain else None)
         if len(self.cache) > self.cache_words:
             self.cache = {}
