@@ -90,15 +90,15 @@ def test_small_blocks_and_new_dictionaries(spark, monkeypatch):
     monkeypatch.setattr(C, "WORDS", 6)
     whole = C._blocks
     monkeypatch.setattr(C, "_blocks", lambda t: whole(t, 23))
-    got, places = Counter(), {}
+    got = Counter()
     for lengths in ((1,), (2,), (3,), (4, 5)):
-        counter = C._Counter(lengths, 0, None, 30, 4, 7)
+        counter = C._Counter(lengths, 0, None, 30, 4)
         runs = [r for batch in [*counter.texts("en", texts), *counter.rest()] for r in batch.to_pylist()]
         for run in runs:
-            assert run["phrases"] and len(run["phrases"]) == len(run["counts"]) and 0 <= run["part"] < 7
-            for phrase, n in zip(run["phrases"], run["counts"]) if run["size"] else ():
-                got["en", tuple(phrase.split(" "))] += n
-                assert places.setdefault(tuple(phrase.split(" ")[:2]), run["part"]) == run["part"]
+            assert run["prefixes"] and len(run["prefixes"]) == len(run["rests"]) == len(run["counts"])
+            for prefix, rest, n in zip(run["prefixes"], run["rests"], run["counts"]) if run["size"] else ():
+                got["en", tuple(f"{prefix} {rest}".split())] += n
+                assert len(prefix.split(" ")) == min(2, run["size"])
     assert got == want
 
 

@@ -6,8 +6,8 @@ container that grows too large bursts into a node with a container for each
 next word. A trie over its bound spills whole subtrees, those that repeat
 least first, as sorted runs, and starts them anew; Spark's shuffle brings the
 runs of one prefix partition (the hash of a phrase's first two words)
-together, where counts are added up. A run is one row, so that phrases with a
-common beginning lie side by side and compress well.
+together, where counts are added up. Phrases are cut into prefix and rest, and
+those with a common beginning lie side by side, so that runs compress well.
 
 Phrases are counted by length. A phrase can be frequent only if all shorter
 ones in it are, so each pass skips places whose shorter phrases are known to
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, step_table
+from .common import step_table
 
 LONGEST = 5
 BURST = 4096
@@ -38,6 +38,8 @@ BURST = 4096
 HELD = 800_000
 WORDS = 400_000
 BLOCK = 1 << 21
+#: Phrases from which a row of spilled runs is full.
+RUN = 1 << 14
 #: Bits of a word's id: a block has at most half as many words as bytes.
 ID = 21
 MASK = (1 << ID) - 1
@@ -205,8 +207,8 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 class _Counter:
     """Phrase counts of one task: tries by language and length, words' ids and hashes, the map of shorter phrases."""
 
-    def __init__(self, lengths: tuple[int, ...], known: int, bits: np.ndarray | None, held: int, burst: int, parts: int = 1):
-        self.lengths, self.known, self.bits, self.held, self.burst, self.parts = lengths, known, bits, held, burst, parts
+    def __init__(self, lengths: tuple[int, ...], known: int, bits: np.ndarray | None, held: int, burst: int):
+        self.lengths, self.known, self.bits, self.held, self.burst = lengths, known, bits, held, burst
         self.tries: dict[tuple[str, int], HatTrie] = {}
         self.totals: Counter[str] = Counter()
         self._new_words()
@@ -287,14 +289,14 @@ class _Counter:
                 firsts.append((first, len(own)))
                 rests += own
                 counts += n
-                if len(rests) > 1 << 18:
+                if len(rests) >= RUN:
                     yield self._rows(lang, k, firsts, rests, counts)
                     firsts, rests, counts = [], [], []
             if rests:
                 yield self._rows(lang, k, firsts, rests, counts)
 
     def _rows(self, lang: str, k: int, firsts: list[tuple[int, int]], rests: list[int], counts: list[int]) -> pa.RecordBatch:
-        """One run for each prefix partition: (lang, size, part, phrases, counts)."""
+        """Runs as one row: (lang, size, prefixes, rests, counts)."""
         ids = []
         if k == 5:
             ids.append(np.array([r & MASK for r in rests], dtype=np.int64))
@@ -306,44 +308,28 @@ class _Counter:
         if k > 1:
             first, often = np.array(firsts, dtype=np.int64).T
             ids.append(np.repeat(first, often))
-        ids = ids[::-1]
-        part = (self.marks(lang, ids[:2]) >> np.uint64(32)) % np.uint64(self.parts)
-        order = np.argsort(part, kind="stable")
-        part, ids = part[order].astype(np.int32), [own[order] for own in ids]
-        cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1].astype(np.int32)
-        offsets = pa.array(np.r_[cuts, len(part)].astype(np.int32))
         text = pa.array(self.words.text, pa.binary())
-        blank = pa.scalar(b" ")
-        phrase = text.take(pa.array(ids[0]))
-        if k > 1:
-            phrase = pc.binary_join_element_wise(phrase, *[text.take(pa.array(own)) for own in ids[1:]], blank)
-        n = pa.array(np.array(counts, dtype=np.int64)[order])
-        return pa.record_batch(
-            [
-                pa.array([lang] * len(cuts), pa.string()),
-                pa.array(np.full(len(cuts), k, dtype=np.int32)),
-                pa.array(part[cuts]),
-                pa.ListArray.from_arrays(offsets, phrase.cast(pa.string())),
-                pa.ListArray.from_arrays(offsets, n),
-            ],
-            names=["lang", "size", "part", "phrases", "counts"],
-        )
+        words = [text.take(pa.array(own)) for own in ids[::-1]]
+        prefixes, after = _joined(words[:2]), _joined(words[2:]) if k > 2 else pa.array([""] * len(rests))
+        return _row(lang, k, prefixes, after, pa.array(counts, pa.int64()))
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         """All that is left, and the number of words of each language (length 0)."""
         yield from self.runs()
         for lang, n in self.totals.items():
             if n and 1 in self.lengths:
-                part = _lang_seed(lang) % self.parts
-                yield pa.RecordBatch.from_pylist(
-                    [{"lang": lang, "size": 0, "part": part, "phrases": [""], "counts": [n]}], _RUNS
-                )
+                yield _row(lang, 0, pa.array([""]), pa.array([""]), pa.array([n]))
+
+
+def _joined(words: list[pa.Array]) -> pa.Array:
+    found = pc.binary_join_element_wise(*words, pa.scalar(b" ")) if len(words) > 1 else words[0]
+    return found.cast(pa.string())
 
 
-_RUNS = pa.schema(
-    [("lang", pa.string()), ("size", pa.int32()), ("part", pa.int32())]
-    + [("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
-)
+def _row(lang: str, k: int, *columns: pa.Array) -> pa.RecordBatch:
+    whole = pa.array([0, len(columns[0])], pa.int32())
+    values = [pa.array([lang]), pa.array([k], pa.int32()), *(pa.ListArray.from_arrays(whole, c) for c in columns)]
+    return pa.record_batch(values, names=["lang", "size", "prefixes", "rests", "counts"])
 
 
 def _bitmap(phrases: DataFrame) -> np.ndarray:
@@ -382,20 +368,22 @@ def counted(
     spark, known, bits = docs.sparkSession, 0, None
     if shorter is not None:
         known, bits = min(lengths) - 1, spark.sparkContext.broadcast(_bitmap(shorter))
-    parts = 4 * partitions(spark)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counter(lengths, known, bits.value if bits else None, held, burst, parts)
+        counts = _Counter(lengths, known, bits.value if bits else None, held, burst)
         for batch in batches:
             langs, texts = batch.column("lang"), batch.column("text")
             for lang in pc.unique(langs).to_pylist():
                 yield from counts.texts(lang, texts.filter(pc.equal(langs, lang)).to_pylist())
         yield from counts.rest()
 
-    runs = docs.mapInArrow(part, "lang string, size int, part int, phrases array<string>, counts array<long>")
-    runs = runs.repartition("part").select("lang", "size", "part", F.explode(F.arrays_zip("phrases", "counts")).alias("e"))
-    merged = runs.groupBy("part", "lang", "size", F.col("e.phrases").alias("phrase")).agg(F.sum("e.counts").alias("n"))
-    return step_table(merged.filter((F.col("n") >= least) | (F.col("size") == 0)).select("lang", "size", "phrase", "n"))
+    runs = docs.mapInArrow(part, "lang string, size int, prefixes array<string>, rests array<string>, counts array<long>")
+    entries = runs.select("lang", "size", F.explode(F.arrays_zip("prefixes", "rests", "counts")).alias("e"))
+    entries = entries.select("lang", F.col("e.prefixes").alias("prefix"), "size", F.col("e.rests").alias("rest"), "e.counts")
+    merged = entries.repartition("lang", "prefix").groupBy("lang", "prefix", "size", "rest").agg(F.sum("counts").alias("n"))
+    phrase = F.when(F.col("rest") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
+    found = merged.filter((F.col("n") >= least) | (F.col("size") == 0))
+    return step_table(found.select("lang", "size", phrase.alias("phrase"), "n"))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, held: int = HELD, burst: int = BURST) -> DataFrame:
