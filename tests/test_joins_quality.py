@@ -1,5 +1,8 @@
 """Joins, duplicates and set comparison."""
 
+import datetime as dt
+import random
+
 import pytest
 
 from tidewrack.operators import joins, quality
@@ -28,6 +31,49 @@ def test_intervals_by_station_with_null_key(spark):
     assert got == {None: "X", "a": "Y", "b": None}
 
 
+def plain_first(intervals, key, t):
+    open_ = [(seq, s, e, label) for k, seq, s, e, label in intervals if k == key and s is not None and e is not None and s <= t <= e]
+    return min(open_)[3] if open_ else None
+
+
+@pytest.mark.parametrize("crowd", [joins.CROWD, 2])
+def test_intervals_against_looking_at_all(spark, crowd):
+    """Long and short intervals, copies, touching ends, single stamps, a crowded hour in an empty year, NULLs."""
+    rng, zero = random.Random(11), ts("2023-01-01")
+    some = []
+    for i in range(400):
+        begin = zero + dt.timedelta(seconds=rng.choice([rng.randrange(3600), rng.randrange(3600), rng.randrange(31_000_000)]))
+        length = dt.timedelta(microseconds=rng.choice([0, 1, 7_000_000, 10**9, rng.randrange(10**13)]))
+        some.append((rng.choice(["a", "a", "b", None]), rng.randrange(60), begin, begin + length, f"l{i % 50}"))
+    some += some[:5] + [("a", -1, zero, zero - dt.timedelta(1), "never"), ("a", -2, None, zero, "no start"), ("b", -2, zero, None, "no end")]
+    kind = "s string, seq int, start_ts timestamp_ntz, end_ts timestamp_ntz, label string"
+    borders = [x[i] + dt.timedelta(microseconds=d) for x in some[:200] for i in (2, 3) for d in (-1, 0, 1) if x[0]]
+    at = [(k, t) for t in rng.sample(borders, 300) for k in ("a", "b", None, "c")] + [("a", None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in at], "s string, t timestamp_ntz, _first string, _low int")
+    out = joins.interval_join_first(df, "t", spark.createDataFrame(some, kind), ["s"], crowd=crowd)
+    assert out.columns == ["s", "t", "_first", "_low", "label"]
+    got = sorted(((r.s, r.t, r.label) for r in out.collect()), key=repr)
+    assert got == sorted(((k, t, plain_first(some, k, t) if t else None) for k, t in at), key=repr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "collect_list" not in plan
+
+
+def test_segments_are_disjoint_across_blocks(spark):
+    rng, zero = random.Random(12), ts("2023-01-01")
+    some = [(i, zero + dt.timedelta(hours=rng.randrange(500)), rng.randrange(90)) for i in range(300)]
+    some = [(i, s, s + dt.timedelta(hours=h), "x") for i, s, h in some]
+    df = spark.createDataFrame(some, "seq int, start_ts timestamp_ntz, end_ts timestamp_ntz, label string")
+    whole = [rows(joins.segments(df, "start_ts", "end_ts", ["seq"], block_rows=n), "_from") for n in (1 << 16, 8)]
+    assert whole[0] == whole[1]
+    assert all(a[1] <= b[0] for a, b in zip(whole[0], whole[0][1:]))
+
+
+def test_no_intervals(spark):
+    df = frame(spark, "t ts", [("2023-01-01 00:00:00",)])
+    none = frame(spark, "seq int,start_ts ts,end_ts ts,label string", [])
+    assert rows(joins.interval_join_first(df, "t", none)) == [(ts("2023-01-01"), None)]
+
+
 def test_anti_join_treats_nulls_as_equal_and_keeps_copies(spark):
     a = spark.createDataFrame([(1, None), (1, None), (2, "x"), (2, "x"), (3, None)], "k int, v string")
     b = spark.createDataFrame([(1, None), (3, "y")], "k int, v string")

@@ -336,3 +336,26 @@ def row_index(
     return b.join(inner, border).select(
         *cols(b.columns), (F.col("_base") + F.col("_place")).cast("bigint").alias(name)
     )
+
+
+def dense_index(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    name: str = "rank",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Number the distinct ordering values of each series from 0; ties share a number.
+
+    Rows that agree in all ordering columns lie in one block, so a value's
+    number is its number in the block and the values of the blocks before.
+    """
+    b = Blocked(df, by, order, block_rows)
+    before = b.across().rowsBetween(Window.unboundedPreceding, -1)
+    inner = b.df.withColumn("_place", F.dense_rank().over(b.window) - 1)
+    border = (
+        inner.groupBy("_grp", "_blk")
+        .agg((F.max("_place") + 1).alias("_n"))
+        .select("_grp", "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    )
+    return b.join(inner, border).select(*cols(b.columns), (F.col("_base") + F.col("_place")).cast("bigint").alias(name))

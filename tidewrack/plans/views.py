@@ -163,13 +163,8 @@ DEPLOYMENT_ROWS = _deployment_rows()
 
 
 def deployments(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(DEPLOYMENT_ROWS, "seq int, s string, e string, label string")
-    return rows.select(
-        "seq",
-        F.col("s").cast("timestamp_ntz").alias("start_ts"),
-        F.col("e").cast("timestamp_ntz").alias("end_ts"),
-        "label",
-    )
+    rows = ", ".join(f"({n}, TIMESTAMP_NTZ '{s}', TIMESTAMP_NTZ '{e}', '{l}')" for n, s, e, l in DEPLOYMENT_ROWS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS deployments(seq, start_ts, end_ts, label)")
 
 
 DEPLOYMENTS = (
