@@ -41,10 +41,10 @@ def test_normalise_met_rule_order(spark):
 
 
 def test_normalise_met_raw_and_logger(spark):
-    df = spark.createDataFrame([("08/29/21 12:15", "21688", "3:2", "<0>", "1.5"), ("08/29/2021 12:30", "x", None, None, "")],
+    df = spark.createDataFrame([("08/29/21 12:15", "40117", "3:2", "<0>", "1.5"), ("08/29/2021 12:30", "x", None, None, "")],
                                "TIMESTAMP string, RECORD string, MaxTempT string, F_BP string, BP string")
     out = rows(schema.normalise_met_raw(df), "TIMESTAMP")
-    assert out == [(ts("2021-08-29 12:15"), 21688.0, "03:02", "<0>", 1.5), (ts("2021-08-29 12:30"), None, None, None, None)]
+    assert out == [(ts("2021-08-29 12:15"), 40117.0, "03:02", "<0>", 1.5), (ts("2021-08-29 12:30"), None, None, None, None)]
     typed = schema.type_logger(df, clock.LOGGER_FORMATS, rename_stamp="DateTimeStamp", drop=["F_BP"])
     assert typed.dtypes == [("DateTimeStamp", "timestamp_ntz"), ("RECORD", "int"), ("MaxTempT", "string"), ("BP", "double")]
 
@@ -92,22 +92,22 @@ LOGGER = '''"TOA5","kb"
 "TIMESTAMP","RECORD","AvgVolt","MaxTempT","MinTempT","MaxWSpdT"
 "TS","RN","Volts","","",""
 "","","Avg","TMx","TMn","TMx"
-"2021-08-29 12:15:00","21688","12.9","3:2","12:10","0:0"
-"2021-08-29 12:30:00","21689","","12:16","12:30","12:29"
+"2021-08-29 12:15:00","40117","12.9","3:2","12:10","0:0"
+"2021-08-29 12:30:00","40118","","12:16","12:30","12:29"
 '''
 
 
 def test_logger_there_and_back(spark, tmp_path):
-    p = put(tmp_path / "l", one__csv=LOGGER, two__csv=LOGGER.replace("21688", "21690"))
+    p = put(tmp_path / "l", one__csv=LOGGER, two__csv=LOGGER.replace("40117", "40119"))
     names = ["TIMESTAMP", "RECORD", "AvgVolt", "MaxTempT", "MinTempT", "MaxWSpdT"]
     raw = sources.scan_logger(spark, p, names)
     assert raw.count() == 4 and {r.file for r in raw.collect()} == {"one.csv", "two.csv"}
     typed = schema.type_logger(raw.drop("file")).distinct()
-    assert typed.where("RECORD = 21688").first()[1:] == (21688, 12.9, "03:02", "12:10", "00:00")
+    assert typed.where("RECORD = 40117").first()[1:] == (40117, 12.9, "03:02", "12:10", "00:00")
     out = str(tmp_path / "out")
-    sources.write_logger(typed.where("RECORD in (21688, 21690)").orderBy("RECORD").coalesce(1), out)
+    sources.write_logger(typed.where("RECORD in (40117, 40119)").orderBy("RECORD").coalesce(1), out)
     lines = [r.value for r in spark.read.text(out).collect()]
-    assert lines[0] == '"2021-08-29 12:15:00","21688","12.9","3:2","12:10","0:0"'
+    assert lines[0] == '"2021-08-29 12:15:00","40117","12.9","3:2","12:10","0:0"'
 
 
 def test_sonde_files(spark, tmp_path):
@@ -121,6 +121,78 @@ def test_sonde_files(spark, tmp_path):
     assert sources.scan_sonde_csv(spark, p, cols, keep_headers=True).count() == 5
 
 
+def test_columns_by_each_files_own_header(spark, tmp_path):
+    other = 'info\n"RECORD","TIMESTAMP","Batt"\n"5","2020-01-01 00:00:00","1"\n"6","2020-01-01 00:15:00","2"\n'
+    data = "".join(f'"{i}","2021-01-01 00:00:{i % 60:02d}","b, {i}"\n\n' for i in range(3000))
+    p = put(tmp_path / "l", one__csv=LOGGER, two__csv=other + data, three__csv="only\n", four__csv=other, five__csv="")
+    whole = None
+    for size in ("128m", "4k"):  # 4k: files in many splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = sources.scan_logger(spark, p)
+            got = rows(df)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(df.columns) == ["AvgVolt", "Batt", "MaxTempT", "MaxWSpdT", "MinTempT", "RECORD", "TIMESTAMP", "file"]
+        assert whole is None or got == whole
+        whole = got
+    found = {(r.RECORD, r.TIMESTAMP, r.Batt, r.AvgVolt, r.MaxTempT, r.file) for r in df.collect()}
+    assert found == {(str(i), f"2021-01-01 00:00:{i % 60:02d}", f"b, {i}", None, None, "two.csv") for i in range(3000)} | {
+        ("40117", "2021-08-29 12:15:00", None, "12.9", "03:02", "one.csv"),
+        ("40118", "2021-08-29 12:30:00", None, None, "12:16", "one.csv"),
+    }
+    picked = sources.scan_headed(spark, p, 1, 4, names=["Batt", "nowhere"], file=None)
+    assert picked.columns == ["Batt", "nowhere"] and picked.where("nowhere is not null").count() == 0
+
+
+def test_leading_lines_in_several_splits(spark, tmp_path):
+    """A preamble longer than a split."""
+    top = "".join(f"{'x' * 60},{i}\n" for i in range(400))
+    p = put(tmp_path / "l", a__csv=top + "v,k\n" + "".join(f"v{i},{i}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = sources.scan_headed(spark, p, names_line=400, skip=401, file=None)
+        assert spark.read.text(p).rdd.getNumPartitions() > 5
+        assert df.columns == ["v", "k"] and rows(df) == sorted(((f"v{i}", str(i)) for i in range(500)), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sondes_by_their_own_headers(spark, tmp_path):
+    head = b"KOR export\nSerial,1\n\n12/01/2022,00:15:00,1\nx\nx\nx\nx\n"
+    one = head + b"Date (MM/DD/YYYY),Temp \xb0C\n12/01/2022,4.5\n\nDate (MM/DD/YYYY),Temp \xb0C\n12/02/2022,NA\n"
+    two = head + b"Site,Date (MM/DD/YYYY)\nA\xf1o,12/03/2022\n"
+    p = put(tmp_path / "s", a__csv=one, b__csv=two)
+    got = rows(sources.scan_sonde_csv(spark, p))
+    assert got == sorted([("12/01/2022", "4.5", None), ("12/02/2022", None, None), ("12/03/2022", None, "Año")], key=repr)
+    assert sources.scan_sonde_csv(spark, p, keep_headers=True).count() == 4
+
+
+def test_binding_by_occurrence(spark):
+    a = spark.createDataFrame([(1, 5), (1, 3), (None, 9), (None, 8), (2, 0)], "k int, v int")
+    b = spark.createDataFrame([(1, 30), (None, 90), (None, 91), (None, 92), (3, 70)], "k int, v int")
+    want = [(1, 3, 30), (1, 5, None), (None, 8, 90), (None, 9, 91), (None, None, 92), (2, 0, None), (3, None, 70)]
+    got = sources.bind_files_by_key({"a": a, "b": b}, "k", order=["v"])
+    assert got.columns == ["k", "v_a", "v_b"] and rows(got) == sorted(want, key=repr)
+    # a key that holds nearly all rows, over many blocks
+    n = 3000
+    x = spark.range(n).selectExpr("if(id < 2900, 7, id) as k", "id as v")
+    y = spark.range(n).selectExpr("if(id < 2800, 7, id) as k", "id + 100000 as v")
+    bound = sources.bind_files_by_key({"x": x, "y": y}, "k", order=["v"], block_rows=64)
+    assert {(r.v_x, r.v_y) for r in bound.where("k = 7").collect()} == {(i, i + 100000 if i < 2800 else None) for i in range(2900)}
+    assert bound.count() == 2900 + 200
+    unordered = sources.bind_files_by_key({"a": a, "b": b}, "k")
+    assert sorted((r.k is None, r.v_a is None, r.v_b is None) for r in unordered.collect()) == sorted(
+        (k is None, v is None, w is None) for k, v, w in want
+    )
+
+
+def test_station_codes_are_whole_words(spark, tmp_path):
+    p = put(tmp_path / "a", dlwq__csv="v\n1\n", dlwq2__csv="v\n2\n", dlwq2021__csv="v\n3\n", dlwq_2022__csv="v\n4\n", dlwq20219__csv="v\n5\n", dlwq2021b__csv="v\n6\n")
+    got = rows(sources.import_stations(spark, p, ["dlwq"], "v int"))
+    assert got == [("dlwq", 1), ("dlwq", 3), ("dlwq", 4)]
+
+
 def test_two_space_table(spark, tmp_path):
     text = "{\\rtf1\n       Jan.       Feb.  \\\nDay Rise  Set  Rise  Set\\\n01  1007 1615  0919 1724\\\n30  0924 1719  9999 9999\\\n31  0921 1721  9999 9999}"
     p = put(tmp_path / "r", sun__rtf=text)

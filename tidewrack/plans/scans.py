@@ -234,17 +234,22 @@ def write_logger(spark, sf):
 @query(
     "bind_files_repeats",
     """
-WITH a AS (SELECT CASE WHEN user_id % 10 <> 0 THEN user_id END AS k, event_id AS v FROM events WHERE event_id % 40 = 0),
-b AS (SELECT CASE WHEN user_id % 10 <> 1 THEN user_id END AS k, event_id AS v FROM events WHERE event_id % 35 = 0)
-SELECT coalesce(a.k, b.k) AS k, a.v AS v_first, b.v AS v_second FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k
+WITH a AS (
+  SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS n
+  FROM (SELECT CASE WHEN user_id % 10 > 2 THEN user_id END AS k, event_id AS v FROM events)),
+b AS (
+  SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS n
+  FROM (SELECT CASE WHEN user_id % 10 <> 1 THEN (user_id * 7) % 900 END AS k, event_id AS v FROM events))
+SELECT coalesce(a.k, b.k) AS k, a.v AS v_first, b.v AS v_second
+FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k AND a.n = b.n
 """,
 )
 def bind_files_repeats(spark, sf):
-    e = table(spark, sf, "events")
-    part = lambda n, r: e.where(F.col("event_id") % n == 0).select(
-        F.when(F.col("user_id") % 10 != r, F.col("user_id")).alias("k"), F.col("event_id").alias("v")
-    )
-    return readers.bind_files_by_key({"first": part(40, 0), "second": part(35, 1)}, "k")
+    """Keys that repeat differently in both tables; a third of the first one's rows has none."""
+    e, user = table(spark, sf, "events"), F.col("user_id")
+    part = lambda keep, key: e.select(F.when(keep, key).alias("k"), F.col("event_id").alias("v"))
+    sources = {"first": part(user % 10 > 2, user), "second": part(user % 10 != 1, user * 7 % 900)}
+    return readers.bind_files_by_key(sources, "k", order=["v"])
 
 
 @query(
@@ -291,3 +296,81 @@ def import_stations_exact(spark, sf):
     writers.write_csv_table(e, path, partition_by=["archive"])
     out = readers.import_stations(spark, path, ["dlwq", "dlwq2"], "event_id bigint, value double")
     return out.drop("archive")
+
+
+@query(
+    "import_stations_one_code",
+    "SELECT 'dlwq' AS station_code, event_id, value FROM events WHERE event_type IN ('click', 'purchase')",
+)
+def import_stations_one_code(spark, sf):
+    """One code asked for; files of its years count, those of longer codes do not."""
+    path = folder(spark, sf, "dlwq_only")
+    kind = F.col("event_type")
+    code = F.when(kind == "click", "dlwq").when(kind == "purchase", "dlwq2021").when(kind == "view", "dlwq2").otherwise("dlwq20219")
+    e = table(spark, sf, "events").select(code.alias("archive"), "event_id", "value")
+    writers.write_csv_table(e, path, partition_by=["archive"])
+    return readers.import_stations(spark, path, ["dlwq"], "event_id bigint, value double").drop("archive")
+
+
+def headed_files(path: str, rows, heads, encoding: str = "UTF-8") -> None:
+    """One file for each layout: its leading lines, then its rows (``layout``, ``value``)."""
+    spark = rows.sparkSession
+    lines = [(layout, i, line) for layout, own in heads.items() for i, line in enumerate(own)]
+    top = spark.createDataFrame(lines, "layout string, place int, value string")
+    every = top.unionByName(rows.withColumn("place", F.lit(1 << 30)))
+    ordered = every.repartition("layout").sortWithinPartitions("layout", "place").select("layout", "value")
+    plain = {"encoding": encoding, "quote": "\u0000", "sep": "\u0001", "emptyValue": ""}
+    ordered.write.options(**plain).partitionBy("layout").csv(path)
+
+
+@query(
+    "scan_logger_by_header",
+    """
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS "TIMESTAMP", CAST(event_id AS VARCHAR) AS "RECORD",
+       CASE WHEN event_id % 3 <> 1 THEN strftime(ts, '%H:%M') END AS "MaxTempT",
+       CASE WHEN event_id % 3 <> 2 THEN event_type || ', ' || user_id END AS note
+FROM events
+""",
+)
+def scan_logger_by_header(spark, sf):
+    """Three programs with columns in other places or missing, and unit rows that could be data."""
+    path, n = folder(spark, sf, "logger_programs"), F.col("event_id")
+    stamp, record = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), n.cast("string")
+    hour = F.date_format("ts", "H:m")
+    note = F.concat(F.lit('"'), "event_type", F.lit(", "), F.col("user_id").cast("string"), F.lit('"'))
+    line = (
+        F.when(n % 3 == 0, F.concat_ws(",", stamp, record, hour, note))
+        .when(n % 3 == 1, F.concat_ws(",", note, record, stamp))
+        .otherwise(F.concat_ws(",", hour, record, stamp, F.lit("beyond the header")))
+    )
+    unit = "2024-01-01 00:00:00,7,12:10"
+    heads = {
+        "p0": ["TOA5,one", "TIMESTAMP,RECORD,MaxTempT,note", unit, unit],
+        "p1": ["TOA5,two,and,more,fields", '"note","RECORD","TIMESTAMP"', "x,8,2024-01-01 00:00:00", ""],
+        "p2": ["", "MaxTempT,RECORD,TIMESTAMP", "9:9,9,2024-01-01 00:00:00", unit],
+    }
+    layout = F.concat(F.lit("p"), (n % 3).cast("string"))
+    headed_files(path, table(spark, sf, "events").select(layout.alias("layout"), line.alias("value")), heads)
+    out = readers.scan_logger(spark, path, tods=["MaxTempT"], file=None)
+    return out.select("TIMESTAMP", "RECORD", "MaxTempT", "note")
+
+
+@query(
+    "scan_sonde_by_header",
+    """
+SELECT strftime(ts, '%m/%d/%Y') AS "Date (MM/DD/YYYY)", CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%H:%M:%S') END AS "Time (HH:mm:ss)",
+       CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS "Temp °C"
+FROM events
+""",
+)
+def scan_sonde_by_header(spark, sf):
+    """Exports of two sondes: other columns in other places after eight lines, which hold a date as well."""
+    path, n = folder(spark, sf, "sondes"), F.col("event_id")
+    day, temp = F.date_format("ts", "MM/dd/yyyy"), F.when(n % 3 == 0, "NaN").otherwise(F.col("user_id").cast("string"))
+    line = F.when(n % 2 == 0, F.concat_ws(",", day, F.date_format("ts", "HH:mm:ss"), temp)).otherwise(F.concat_ws(",", temp, day))
+    top = ["KOR export", "Serial,1", "", "01/02/2024,00:00:00,1", "x", "", "Mean,2", "Sites"]
+    heads = {"s0": [*top, "Date (MM/DD/YYYY),Time (HH:mm:ss),Temp °C"], "s1": [*top, "Temp °C,Date (MM/DD/YYYY)"]}
+    layout = F.concat(F.lit("s"), (n % 2).cast("string"))
+    rows = table(spark, sf, "events").select(layout.alias("layout"), line.alias("value"))
+    headed_files(path, rows, heads, "ISO-8859-1")
+    return readers.scan_sonde_csv(spark, path)

@@ -5,6 +5,7 @@ from .readers import (  # noqa: F401
     import_stations,
     scan_csv_dir,
     scan_csv_variants,
+    scan_headed,
     scan_logger,
     scan_sonde_csv,
     scan_tsv,
