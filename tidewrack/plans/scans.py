@@ -319,8 +319,10 @@ def headed_files(path: str, rows, heads, encoding: str = "UTF-8") -> None:
     top = spark.createDataFrame(lines, "layout string, place int, value string")
     every = top.unionByName(rows.withColumn("place", F.lit(1 << 30)))
     ordered = every.repartition("layout").sortWithinPartitions("layout", "place").select("layout", "value")
-    plain = {"encoding": encoding, "quote": "\u0000", "sep": "\u0001", "emptyValue": ""}
-    ordered.write.options(**plain).partitionBy("layout").csv(path)
+    if encoding == "UTF-8":
+        ordered.write.partitionBy("layout").text(path)
+    else:
+        ordered.write.options(encoding=encoding, quote="\u0000", sep="\u0001").partitionBy("layout").csv(path)
 
 
 @query(
@@ -368,7 +370,7 @@ def scan_sonde_by_header(spark, sf):
     path, n = folder(spark, sf, "sondes"), F.col("event_id")
     day, temp = F.date_format("ts", "MM/dd/yyyy"), F.when(n % 3 == 0, "NaN").otherwise(F.col("user_id").cast("string"))
     line = F.when(n % 2 == 0, F.concat_ws(",", day, F.date_format("ts", "HH:mm:ss"), temp)).otherwise(F.concat_ws(",", temp, day))
-    top = ["KOR export", "Serial,1", "", "01/02/2024,00:00:00,1", "x", "", "Mean,2", "Sites"]
+    top = ["KOR export", "Serial,1", "-", "01/02/2024,00:00:00,1", "x", "-", "Mean,2", "Sites"]
     heads = {"s0": [*top, "Date (MM/DD/YYYY),Time (HH:mm:ss),Temp °C"], "s1": [*top, "Temp °C,Date (MM/DD/YYYY)"]}
     layout = F.concat(F.lit("s"), (n % 2).cast("string"))
     rows = table(spark, sf, "events").select(layout.alias("layout"), line.alias("value"))
