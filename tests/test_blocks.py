@@ -1,12 +1,13 @@
 """Blocked series operators against plain windows, with tiny blocks."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewrack.operators.blocks import fill_forward, neighbours, row_index, with_blocks
+from tidewrack.operators.blocks import dense_index, fill_forward, neighbours, row_index, step_and_fill, with_blocks
 
 
 def series(spark, seed=1, n=240):
@@ -162,3 +163,67 @@ def test_many_series_have_few_blocks(spark):
     spans = ordered(df, ["k"], 100, ["s"])
     assert spans.count() <= 2 * (301 + 23000 // 100)
     assert spans.agg(F.max("n")).first()[0] <= 400
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 64, 1 << 16])
+def test_all_neighbours_at_once(spark, block_rows):
+    df = spark.sql("select id % 3 s, cast(id * 7 % 501 as int) k, case when id % 4 = 0 then id end x from range(500)")
+    w = Window.partitionBy("s").orderBy("k")
+    want = df.select("s", "k", F.lag("x", 2).over(w), F.lag("k", 3).over(w), F.lead("k", 1).over(w), F.lead("x", 4).over(w), F.first("k").over(w))
+    got = neighbours(df, ["s"], ["k"], ["k", "x"], lags=[2, 3], leads=[1, 4], first=True, block_rows=block_rows)
+    got = got.select("s", "k", "_lag2.x", "_lag3.k", "_lead1.k", "_lead4.x", "_first.k")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+@pytest.mark.parametrize("block_rows", [1, 5, 1 << 16])
+def test_steps_filled_across_borders(spark, block_rows):
+    df = spark.sql("select id % 2 s, cast(id * 11 % 400 as int) k, pmod(hash(id), 90) x, pmod(hash(id, 1), 6) = 0 mark from range(400)")
+    w = Window.partitionBy("s").orderBy("k")
+    jump = F.when(F.col("mark"), F.col("x") - F.lag("x").over(w)).when(F.col("x") > 80, 0)
+    want = df.withColumn("j", jump).withColumn("d", F.last("j", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("j")
+    steps = lambda at, before: {"d": F.when(at("mark"), at("x") - before("x")).when(at("x") > 80, 0)}
+    assert rows_of(step_and_fill(df, ["s"], ["k"], ["x"], steps, block_rows)) == rows_of(want)
+
+
+@pytest.mark.parametrize("block_rows", [10, 1 << 16])
+def test_distinct_values_are_numbered(spark, block_rows):
+    df = spark.sql("select id % 2 s, cast(id / 3 as int) k, id from range(600)")
+    want = df.withColumn("i", F.dense_rank().over(Window.partitionBy("s").orderBy("k")).cast("bigint"))
+    assert rows_of(dense_index(df, ["s"], ["k"], "i", block_rows)) == rows_of(want)
+
+
+def source_reads(df, path):
+    """How often the finished plan scans a folder and shuffles its rows."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return final.count("FileScan parquet"), len(re.findall(r"\bExchange ", final))
+
+
+def test_uncut_series_are_read_and_shuffled_once(spark, tmp_path):
+    from tidewrack.operators import timeseries as tsr
+
+    path = str(tmp_path / "t")
+    spark.sql(
+        "select timestamp_ntz'2024-01-01' + interval '15' minute * cast(id as int) TIMESTAMP, id RECORD, '10:00' MaxTempT, '11:00' MinTempT, "
+        "'12:00' MaxWSpdT, 'n' sonde, case when id % 50 = 0 then id end deploy, rand(1) temp from range(900)"
+    ).write.parquet(path)
+    df = spark.read.parquet(path)
+    fixed = df.withColumn("ts_fix", F.col("TIMESTAMP"))
+    for out in (
+        tsr.match_old_new(fixed),
+        tsr.time_of_day_check(df),
+        tsr.deployment_offset_correction(df, "n", {"temp": 1}, order=["TIMESTAMP"]),
+    ):
+        assert source_reads(out, path) == (1, 1)
+
+
+def test_cut_series_are_written_once_and_joined_with_their_borders(spark, tmp_path):
+    from tidewrack.operators import timeseries as tsr
+
+    path = str(tmp_path / "t")
+    spark.sql("select id k, 'n' sonde, case when id % 50 = 0 then id end deploy, rand(1) temp from range(900)").write.parquet(path)
+    df = spark.read.parquet(path)
+    out = tsr.deployment_offset_correction(df, "n", {"temp": 1}, order=["k"], block_rows=20)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and path not in plan  # the written rows and their borders

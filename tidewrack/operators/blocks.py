@@ -3,10 +3,13 @@
 A plain ``Window.partitionBy(station).orderBy(ts)`` sorts a whole station in
 one task, and one station may hold a third of the data. Here a series is cut
 into blocks of its ordering key, rows are shuffled and sorted by
-(station, block), and only what crosses a block border travels separately:
-the last few rows, a running count, or the last value seen. That border table
-has one row per block, is built with map-side aggregation, and joins on the
-keys the rows are already partitioned by, so the rows are shuffled once.
+(station, block) once, and one pass over the sorted blocks finds all that can
+be known inside a block. Its result is written out; the rows at the block
+borders are read from there, a scan over the blocks in their order carries
+what crosses a border (the last few rows, a running count, the last value
+seen), and this border table, one row per block, is joined to the rows. The
+source is not read again. Series that need no cut are one block each: they
+have no borders and are done with the pass alone.
 
 ``order`` names the ordering columns; the first must be a number, date or
 timestamp. Together they should order a series completely, as Spark rows have
@@ -15,9 +18,9 @@ no other order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +29,6 @@ from ..functions.columns import all_of, col, cols, require
 from .staging import settled
 
 BLOCK_ROWS = 1 << 16
-MARKS = ["_grp", "_blk"]
 TEXT_BYTES = 7  # of a text, as one whole number
 
 _STAMPS = T.TimestampNTZType | T.TimestampType
@@ -70,7 +72,7 @@ def _numbers(df: DataFrame, name: str) -> Iterator[Column]:
 
 
 class Blocked:
-    """A DataFrame cut into blocks, and the window that walks inside one."""
+    """A DataFrame cut into blocks, the window that walks inside one, and the scan across them."""
 
     def __init__(
         self,
@@ -78,47 +80,34 @@ class Blocked:
         by: Sequence[str],
         order: Sequence[str],
         block_rows: int = BLOCK_ROWS,
-        marked: bool = False,
     ):
-        """``marked``: the rows come from an earlier operator of the same series and order that kept its marks."""
         require(df, [*by, *order])
-        self.by, self.order = list(by), list(order)
-        self.columns = [c for c in df.columns if c not in MARKS] if marked else df.columns
-        self.df = df if marked else with_blocks(df, order, block_rows, by)
-        self.window = self.inside(Window.partitionBy("_grp", "_blk"))
-
-    def inside(self, part: WindowSpec) -> WindowSpec:
-        return part.orderBy(*cols(self.order))
-
-    def across(self) -> WindowSpec:
-        """Over the border table: one row per block, in block order."""
-        return Window.partitionBy("_grp").orderBy("_blk")
-
-    def at(self, c: Column) -> Column:
-        """Ordering value for min_by/max_by, NULL (ignored) where ``c`` is."""
-        return F.when(c.isNotNull(), F.struct(*cols(self.order)))
-
-    def join(self, rows: DataFrame, border: DataFrame) -> DataFrame:
+        self.by, self.order, self.columns = list(by), list(order), df.columns
+        self.df = with_blocks(df, order, block_rows, by)
+        #: Whether any series has more than one block.
+        self.cut = len(self.df.schema["_blk"].dataType.fields) > 1
+        self.window = Window.partitionBy("_grp", "_blk").orderBy(*cols(order))
+        self.upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        #: Over the border table: one row per block, in block order.
+        self.across = Window.partitionBy("_grp").orderBy("_blk")
+        self.before = self.across.rowsBetween(Window.unboundedPreceding, -1)
+
+    def passed(self, added: Mapping[str, Column], depth: int = 1) -> DataFrame:
+        """The rows with columns from one pass over the sorted blocks.
+
+        Where there are borders the result is written out, with each row's
+        place from the top of its block and the rows left below it, of which
+        no more than ``depth`` are counted.
+        """
+        if not self.cut:
+            return self.df.select("*", *[c.alias(n) for n, c in added.items()])
+        below = [F.coalesce(F.lead(F.lit(1), i).over(self.window), F.lit(0)) for i in range(1, depth + 1)]
+        place = {"_top": F.row_number().over(self.window), "_left": sum(below[1:], below[0])}
+        return settled(self.df.select("*", *[c.alias(n) for n, c in (added | place).items()]))
+
+    def bordered(self, rows: DataFrame, border: DataFrame) -> DataFrame:
         """Border values onto rows; keys are never NULL, so plain equality."""
-        return rows.join(border, ["_grp", "_blk"], "left")
-
-    def edge_rows(self, names: Sequence[str], n: int, last: bool) -> DataFrame:
-        """Up to ``n`` outermost rows of each block as one array per block."""
-        turn = [F.desc(o) if last else F.asc(o) for o in self.order]
-        packed = F.struct(*cols(self.order), *[col(c) for c in names if c not in self.order])
-        if n == 1:
-            pick = F.max_by if last else F.min_by
-            return self.df.groupBy("_grp", "_blk").agg(
-                F.array(pick(packed, F.struct(*cols(self.order)))).alias("_edge")
-            )
-        place = F.row_number().over(Window.partitionBy("_grp", "_blk").orderBy(*turn))
-        return (
-            self.df.select("_grp", "_blk", *cols(self.order), packed.alias("_row"))
-            .withColumn("_place", place)
-            .where(F.col("_place") <= n)
-            .groupBy("_grp", "_blk")
-            .agg(F.collect_list("_row").alias("_edge"))
-        )
+        return rows.join(settled(border), ["_grp", "_blk"], "left")
 
 
 def with_blocks(
@@ -216,72 +205,45 @@ def neighbours(
     leads: Sequence[int] = (),
     first: bool = False,
     block_rows: int = BLOCK_ROWS,
-    keep_marks: bool = False,
 ) -> DataFrame:
     """Add ``_lag<k>``, ``_lead<k>`` and ``_first`` structs of ``columns``.
 
     A struct is NULL only where no such row exists; its fields may be NULL
-    because the neighbouring row's are. ``keep_marks`` leaves the marks of
-    the blocks on the rows, for a following operator to use again.
+    because the neighbouring row's are.
     """
+    if not (lags or leads or first):
+        raise ValueError("ask for at least one of lags, leads, first")
     b = Blocked(df, by, order, block_rows)
-    named = F.struct(*[col(c) for c in columns])
-    border = None
-
-    def pick(place: Column, edge: str) -> Column:
-        row = F.get(F.col(edge), place)
-        return F.when(row.isNotNull(), F.struct(*[row.getField(c).alias(c) for c in columns]))
-
-    if lags:
-        k = max(lags)
-        past = F.flatten(F.collect_list("_edge").over(b.across().rowsBetween(-k, -1)))
-        border = b.edge_rows(columns, k, last=True).select(
-            "_grp", "_blk", F.sort_array(past, asc=False).alias("_before")
-        )
-    if leads:
-        k = max(leads)
-        ahead = F.flatten(F.collect_list("_edge").over(b.across().rowsBetween(1, k)))
-        after = b.edge_rows(columns, k, last=False).select(
-            "_grp", "_blk", F.sort_array(ahead, asc=True).alias("_after")
-        )
-        border = after if border is None else border.join(after, ["_grp", "_blk"])
+    named, w = F.struct(*[col(c) for c in columns]), b.window
+    inside = {f"_lag{k}": F.lag(named, k).over(w) for k in lags} | {f"_lead{k}": F.lead(named, k).over(w) for k in leads}
     if first:
-        head = b.edge_rows(columns, 1, last=False).select(
-            "_grp",
-            "_blk",
-            F.get(
-                F.first("_edge").over(b.across().rowsBetween(Window.unboundedPreceding, 0)),
-                F.lit(0),
-            ).alias("_head"),
-        )
-        border = head if border is None else border.join(head, ["_grp", "_blk"])
-    if border is None:
-        raise ValueError("ask for at least one of lags, leads, first")
-
-    w = b.window
-    inner = b.df
-    inner = inner.select(
-        "*",
-        *[F.lag(named, k).over(w).alias(f"_in_lag{k}") for k in lags],
-        *[F.lead(named, k).over(w).alias(f"_in_lead{k}") for k in leads],
-        *([F.row_number().over(w).alias("_from_top")] if lags else []),
-        *[F.lead(F.lit(1), k).over(w).alias(f"_has{k}") for k in range(1, max(leads, default=0))],
+        inside["_first"] = F.first(named).over(b.upto)
+    back, ahead = max(lags, default=0), max(leads, default=0)
+    rows = b.passed(inside, max(back, ahead, 1))
+    if not b.cut:
+        return rows.select(*cols(b.columns), *cols(inside))
+
+    def edge(near: Column, distance: Column) -> Column:
+        """A block's rows at one of its ends, the outermost first."""
+        found = F.sort_array(F.collect_list(F.when(near, F.struct(distance.alias("far"), named.alias("row")))))
+        return F.transform(found, lambda x: x["row"])
+
+    top, left = F.col("_top"), F.col("_left")
+    near_top, near_end = top <= max(ahead, 1), left < back
+    ends = rows.where(near_top | near_end).groupBy("_grp", "_blk")
+    ends = ends.agg(edge(near_top, top).alias("_heads"), edge(near_end, left).alias("_tails"))
+    border = ends.select(
+        "_grp",
+        "_blk",
+        F.flatten(F.reverse(F.collect_list("_tails").over(b.across.rowsBetween(-max(back, 1), -1)))).alias("_past"),
+        F.flatten(F.collect_list("_heads").over(b.across.rowsBetween(1, max(ahead, 1)))).alias("_ahead"),
+        F.get(F.first("_heads").over(b.across.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_head"),
     )
-    joined = b.join(inner, border)
-    out = []
-    for k in lags:
-        place = F.lit(k) - F.col("_from_top")
-        out.append(F.coalesce(F.col(f"_in_lag{k}"), pick(place, "_before")).alias(f"_lag{k}"))
-    for k in leads:
-        # rows of this block still to come, as far as they matter here
-        left = sum((F.coalesce(F.col(f"_has{i}"), F.lit(0)) for i in range(1, k)), F.lit(0))
-        out.append(
-            F.coalesce(F.col(f"_in_lead{k}"), pick(F.lit(k - 1) - left, "_after")).alias(f"_lead{k}")
-        )
+    out = [F.when(top > k, F.col(f"_lag{k}")).otherwise(F.get("_past", F.lit(k) - top)).alias(f"_lag{k}") for k in lags]
+    out += [F.when(left >= k, F.col(f"_lead{k}")).otherwise(F.get("_ahead", F.lit(k - 1) - left)).alias(f"_lead{k}") for k in leads]
     if first:
-        head = F.col("_head")
-        out.append(F.struct(*[head.getField(c).alias(c) for c in columns]).alias("_first"))
-    return joined.select(*cols(b.columns), *out, *(MARKS if keep_marks else []))
+        out.append(F.col("_head").alias("_first"))
+    return b.bordered(rows, border).select(*cols(b.columns), *out)
 
 
 def fill_forward(
@@ -290,31 +252,79 @@ def fill_forward(
     order: Sequence[str],
     columns: Sequence[str],
     block_rows: int = BLOCK_ROWS,
-    marked: bool = False,
 ) -> DataFrame:
     """Replace NULLs in ``columns`` by the last value before them."""
-    b = Blocked(df, by, order, block_rows, marked)
-    before = b.across().rowsBetween(Window.unboundedPreceding, -1)
-    last_seen = b.df.groupBy("_grp", "_blk").agg(
-        *[F.max_by(col(c), b.at(col(c))).alias(f"_last{i}") for i, c in enumerate(columns)]
-    )
-    border = last_seen.select(
-        "_grp",
-        "_blk",
-        *[
-            F.last(f"_last{i}", ignorenulls=True).over(before).alias(f"_carry{i}")
-            for i in range(len(columns))
-        ],
-    )
-    upto = b.window.rowsBetween(Window.unboundedPreceding, 0)
-    inner = b.df.select(
-        "*",
-        *[F.last(col(c), ignorenulls=True).over(upto).alias(f"_here{i}") for i, c in enumerate(columns)],
+    b = Blocked(df, by, order, block_rows)
+    here = {f"_here{i}": F.last(col(c), ignorenulls=True).over(b.upto) for i, c in enumerate(columns)}
+    rows = b.passed(here)
+    if not b.cut:
+        filled = {c: F.col(f"_here{i}").alias(c) for i, c in enumerate(columns)}
+        return rows.select(*[filled.get(c, col(c)) for c in b.columns])
+    carry = [F.last(h, ignorenulls=True).over(b.before).alias(f"_carry{i}") for i, h in enumerate(here)]
+    border = rows.where("_left = 0").select("_grp", "_blk", *carry)
+    filled = {c: F.coalesce(f"_here{i}", f"_carry{i}").alias(c) for i, c in enumerate(columns)}
+    return b.bordered(rows, border).select(*[filled.get(c, col(c)) for c in b.columns])
+
+
+Getter = Callable[[str], Column]
+
+
+def step_and_fill(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    columns: Sequence[str],
+    step: Callable[[Getter, Getter], Mapping[str, Column]],
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Add columns made from each row and the one before it, NULLs replaced by the last value before them.
+
+    ``step`` gives the columns from two functions of a column's name: its
+    value in the row, and in the row before (one of ``columns``; NULL in the
+    first row). The rows are shuffled once for both. In a block only the first
+    row's step is not known inside it; the scan across the blocks works it out
+    from the last row of the block before.
+    """
+    b = Blocked(df, by, order, block_rows)
+    named = F.struct(*[col(c) for c in columns])
+    lagged = F.lag(named, 1).over(b.window)
+    stepped = b.df.withColumn("_lag", lagged)
+    names = step(col, lambda c: F.col("_lag").getField(c))
+    if b.cut:  # the first row of a block waits for the one before
+        stepped = stepped.withColumn("_in", F.row_number().over(b.window) > 1)
+        names = {n: F.when(F.col("_in"), c) for n, c in names.items()}
+    stepped = stepped.select("*", *[c.alias(f"_s{i}") for i, c in enumerate(names.values())])
+    b.df = stepped
+    here = {f"_here{i}": F.last(f"_s{i}", ignorenulls=True).over(b.upto) for i in range(len(names))}
+    rows = b.passed(here)
+    if not b.cut:
+        return rows.select(*cols(b.columns), *[F.col(h).alias(n) for h, n in zip(here, names)])
+    # a block of one row is both its first and its last
+    ends = rows.where("_top = 1 or _left = 0").groupBy("_grp", "_blk").agg(
+        F.max(F.when(F.col("_top") == 1, F.struct(*cols(b.columns)))).alias("_head"),
+        F.max(F.when(F.col("_left") == 0, named)).alias("_tail"),
+        *[F.max(F.when(F.col("_left") == 0, F.col(h))).alias(h) for h in here],
     )
-    filled: Mapping[str, Column] = {
-        c: F.coalesce(F.col(f"_here{i}"), F.col(f"_carry{i}")).alias(c) for i, c in enumerate(columns)
-    }
-    return b.join(inner, border).select(*[filled.get(c, col(c)) for c in b.columns])
+    ends = ends.withColumn("_before", F.lag("_tail").over(b.across))
+    heads = step(lambda c: F.col("_head").getField(c), lambda c: F.col("_before").getField(c))
+    ends = ends.select("_grp", "_blk", *here, *[c.alias(f"_head{i}") for i, c in enumerate(heads.values())])
+    carried = [
+        F.last(F.coalesce(f"_here{i}", f"_head{i}"), ignorenulls=True).over(b.before).alias(f"_carry{i}") for i in range(len(names))
+    ]
+    border = ends.select("_grp", "_blk", *[f"_head{i}" for i in range(len(names))], *carried)
+    out = [F.coalesce(f"_here{i}", f"_head{i}", f"_carry{i}").alias(n) for i, n in enumerate(names)]
+    return b.bordered(rows, border).select(*cols(b.columns), *out)
+
+
+def _numbered(b: Blocked, place: Column, name: str) -> DataFrame:
+    """The rows with a number that counts on from block to block."""
+    rows = b.passed({"_place": place})
+    if not b.cut:
+        return rows.select(*cols(b.columns), F.col("_place").cast("bigint").alias(name))
+    base = F.coalesce(F.sum("_place").over(b.before), F.lit(0)).alias("_base")
+    border = rows.where("_left = 0").select("_grp", "_blk", base)
+    number = (F.col("_base") + F.col("_place")).cast("bigint").alias(name)
+    return b.bordered(rows, border).select(*cols(b.columns), number)
 
 
 def row_index(
@@ -326,16 +336,7 @@ def row_index(
 ) -> DataFrame:
     """Number the rows of each series from 1: place in block + rows before it."""
     b = Blocked(df, by, order, block_rows)
-    before = b.across().rowsBetween(Window.unboundedPreceding, -1)
-    border = (
-        b.df.groupBy("_grp", "_blk")
-        .agg(F.count("*").alias("_n"))
-        .select("_grp", "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    )
-    inner = b.df.withColumn("_place", F.row_number().over(b.window))
-    return b.join(inner, border).select(
-        *cols(b.columns), (F.col("_base") + F.col("_place")).cast("bigint").alias(name)
-    )
+    return _numbered(b, F.row_number().over(b.window), name)
 
 
 def dense_index(
@@ -345,17 +346,10 @@ def dense_index(
     name: str = "rank",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Number the distinct ordering values of each series from 0; ties share a number.
+    """Number the distinct ordering values of each series from 1; ties share a number.
 
     Rows that agree in all ordering columns lie in one block, so a value's
     number is its number in the block and the values of the blocks before.
     """
     b = Blocked(df, by, order, block_rows)
-    before = b.across().rowsBetween(Window.unboundedPreceding, -1)
-    inner = b.df.withColumn("_place", F.dense_rank().over(b.window) - 1)
-    border = (
-        inner.groupBy("_grp", "_blk")
-        .agg((F.max("_place") + 1).alias("_n"))
-        .select("_grp", "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    )
-    return b.join(inner, border).select(*cols(b.columns), (F.col("_base") + F.col("_place")).cast("bigint").alias(name))
+    return _numbered(b, F.dense_rank().over(b.window), name)

@@ -113,7 +113,7 @@ def segments(
     few = 2 * n <= block_rows
     borders = (own.coalesce(1) if few else own).withColumn("_at", F.explode(F.array("_from", "_to")))
     if few:
-        ranked = borders.withColumn("_rank", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("_at")) - 1).cast("bigint"))
+        ranked = borders.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_at")).cast("bigint"))
     else:
         ranked = dense_index(borders, keys, ["_at"], "_rank", block_rows)
     ranked = settled(ranked).coalesce(1) if few else settled(ranked)

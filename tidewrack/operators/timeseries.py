@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.columns import all_of, any_of, branch, col, cols, number, require
-from .blocks import BLOCK_ROWS, MARKS, fill_forward, neighbours, row_index
+from .blocks import BLOCK_ROWS, Getter, fill_forward, neighbours, row_index, step_and_fill
 from .filters import range_in_list
 from .joins import daylight, days_with_rows
 from .quantiles import quantiles
@@ -267,19 +267,16 @@ def deployment_offset_correction(
     unknown at a start the earlier offset is carried on. Adds
     ``<column>_diff``.
     """
-    names = list(columns)
-    near = neighbours(df, by, order, names, lags=[1], block_rows=block_rows, keep_marks=True)
-    starts = col(deploy).isNotNull() & (col(label) == sonde)
-    diffs = {}
-    for c, sign in columns.items():
-        jump = (col(c) - F.col("_lag1").getField(c)) * sign
-        diffs[f"{c}_diff"] = (
-            F.when(starts, jump)
-            .when(col(label) == sonde, F.lit(None).cast("double"))
-            .otherwise(F.lit(0.0))
-        )
-    stepped = near.select(*cols(df.columns), *[d.alias(n) for n, d in diffs.items()], *MARKS)
-    filled = fill_forward(stepped, by, order, list(diffs), block_rows, marked=True)
+
+    def jumps(at: Getter, before: Getter) -> dict[str, Column]:
+        here, found = at(label) == sonde, {}
+        for c, sign in columns.items():
+            jump = F.when(here & at(deploy).isNotNull(), (at(c) - before(c)) * sign)
+            found[f"{c}_diff"] = jump.when(here, F.lit(None).cast("double")).otherwise(F.lit(0.0))
+        return found
+
+    filled = step_and_fill(df, by, order, list(columns), jumps, block_rows)
+    diffs = [f"{c}_diff" for c in columns]
     fixed = {c: (col(c) - sign * F.col(f"{c}_diff")).alias(c) for c, sign in columns.items()}
     return filled.select(*[fixed.get(c, col(c)) for c in df.columns], *cols(diffs))
 
