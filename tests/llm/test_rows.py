@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -46,7 +47,7 @@ def plain_scan(text, templates):
             score = max(score, 1.0 if at else 0.0)
             continue
         need = math.ceil(t.share * len(set(own)) - 1e-9)
-        for k in range(0, len(words) + 1, n):
+        for k in range(len(words)):
             overlap = len(set(own) & set(words[k : k + 2 * n]))
             if overlap >= need:
                 labels.add(t.label)
@@ -74,6 +75,31 @@ def test_license_scan_has_no_python(spark):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
+def test_notices_are_found_at_every_place(spark):
+    """Whatever stands before them, whole, with gaps, in another order, and just short of the threshold."""
+    mit, gpl = "licensed under the terms of the mit license", "licensed under the gnu general public license version 3"
+    grant = next(t.text for t in license_scan.NOTICES if t.text.startswith("permission")).split()
+    some = [mit, gpl, " ".join(grant), " so ".join(grant), " ".join(grant[::-1]), " ".join(grant[4:]), " ".join(grant[6:]), gpl[:-2]]
+    texts = [f"{'word ' * n}{x} {'the mit ' * (n % 3)}end" for x in some for n in range(13)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    templates = [*license_scan.PHRASES, *license_scan.NOTICES]
+    got = {r["key"]: r for r in license_scan.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        assert tuple(got[i])[1:] == plain_scan(text, templates), text
+        if i < 26:
+            assert ("mit" if i < 13 else "gpl-3.0") in got[i]["labels"].split(",")
+
+
+def test_crowded_prefix_words(spark):
+    rng = random.Random(8)
+    words = ["license", "mit", "the", "under", "released", "licensed", "gnu", "x", "spdx", "identifier", "cc", "by"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 300))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    templates = [*license_scan.PHRASES, *license_scan.NOTICES]
+    got = {(r["key"], *tuple(r)[1:]) for r in license_scan.scan(docs).collect()}
+    assert got == {(i, *plain_scan(t, templates)) for i, t in enumerate(texts)}
+
+
 def test_repeated_rows_count_once(spark):
     docs = spark.createDataFrame([(1, LICENSED[0])] * 3, "doc_id long, text string")
     assert [r["n_base"] for r in license_scan.scan(docs).collect()] == [plain_scan(LICENSED[0], license_scan.PHRASES)[1]]
@@ -217,7 +243,21 @@ def test_language_model_is_the_plain_one(spark, monkeypatch):
     assert {r["n_known"] for r in lm.score(docs, F.lit(False)).collect()} == {0}
 
 
+def test_keys_beside_nulls_stay_whole(spark):
+    """Keys that doubles cannot hold, with a null in the same partition."""
+    keys = [(1 << 60) + 1, None, (1 << 60) + 3]
+    docs = spark.createDataFrame([(k, f"the cat sat on mat {i} of the twelve big mats there") for i, k in enumerate(keys)], "doc_id long, text string").coalesce(1)
+    assert {r["key"] for r in lm.score(docs, F.lit(True)).collect()} == set(keys)
+
+
 def test_small_blocks_give_the_same(spark):
+    docs = awkward_docs(spark, [f"the cat {i % 7} sat on the {i % 3} mat" for i in range(60)]).repartition(3)
+    columns = ("key", "n_tokens", "n_known", "train_tokens")
+    small, whole = (
+        sorted(((*(r[c] for c in columns), round(r["base_score"], 6), round(r["score"], 6)) for r in x.collect()), key=repr)
+        for x in (lm.score(docs, F.lit(True), block_tokens=40), lm.score(docs, F.lit(True)))
+    )
+    assert small == whole
     block = lm.Block()
     for i, t in enumerate(["a b a", None, "b " * 300]):
         block.add(i, t, True)

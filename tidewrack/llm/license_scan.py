@@ -4,13 +4,17 @@ A template is a set of words. Its words are put in the order of their
 frequency in the whole corpus, rarest first; a block that holds the required
 share of a template must hold one of its first words (the prefix), so blocks
 are found by an equality join of the corpus' words with the templates'
-prefixes. Length and position filters drop candidates that cannot reach the
+prefixes. Positional and length filters drop candidates that cannot reach the
 threshold, and the exact overlap decides. All of it is column expressions.
 
 A phrase is a template that must stand word for word: its blocks are all runs
-of its own length. A notice is looked for in blocks of twice its length that
-begin at every multiple of its length, so that any run of its length lies
-inside one of them.
+of its own length. A notice's blocks are all runs of twice its length,
+wherever they begin: a block that meets the threshold also does from its first
+template word on, so blocks that begin at template words find it.
+
+Texts are cut into words once. Only words that some template has are kept,
+with their places; they are what frequencies, candidates and overlaps are
+taken from.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import step_table
 
 #: Words before lower-casing: runs of 0-9, letters and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -94,9 +98,16 @@ def template_table(spark: SparkSession, templates: Sequence[Template]) -> DataFr
     return spark.createDataFrame([x.row(i) for i, x in enumerate(templates)], kind)
 
 
-def tokens(split: DataFrame) -> DataFrame:
-    """Every word of every text with its place, from a table with ``words``."""
-    return split.select("*", F.posexplode("words").alias("place", "raw")).withColumn("word", ascii_lower(F.col("raw")))
+def placed(split: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """``key``, ``text_hash``, ``n_words``, and ``found``: the template words of a text with their places, in order."""
+
+    def known(raw: Column, place: Column) -> Column:
+        # some letters beyond ASCII have a lower case inside it; no template word holds them
+        plain = F.octet_length(raw) == F.char_length(raw)
+        return F.when(plain & F.lower(raw).isin(*vocabulary), F.struct(place.alias("place"), F.lower(raw).alias("word")))
+
+    found = F.array_compact(F.transform("words", known)).alias("found")
+    return split.select("key", "text_hash", F.size("words").cast("long").alias("n_words"), found)
 
 
 def prefixes(templates: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -107,32 +118,54 @@ def prefixes(templates: DataFrame, frequency: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") <= F.size("t_set") - F.col("need") + 1).drop("n")
 
 
-def matches(split: DataFrame, templates: DataFrame) -> DataFrame:
+def matches(texts: DataFrame, templates: DataFrame) -> DataFrame:
     """(key, text_hash, label, phrase, start, share) of every block that meets its template's threshold.
 
-    ``split`` has key, text_hash and words. A phrase's blocks are counted by
-    place; a notice's block may be listed once for each prefix word in it.
+    ``texts`` are `placed` ones. A phrase's blocks are counted by place; a
+    notice is listed once for each prefix word in such a block, with the
+    largest share among the blocks around it.
     """
-    names = F.broadcast(templates.select(F.explode("t_set").alias("word")).distinct())
-    frequency = tokens(split.select("words")).join(names, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    found = tokens(split).join(F.broadcast(prefixes(templates, frequency)), "word")
+    frequency = texts.select(F.explode("found.word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    listed = prefixes(templates, frequency).collect()  # no more rows than the templates have words
+    starters = sorted({r["word"] for r in listed})
+    reach = 2 * max(len(r["t_words"]) for r in listed)
+    # candidates: a prefix word and the template words near it, which cannot lie further away than their number
+    at = F.filter(F.sequence(F.lit(1), F.size("found")), lambda i: F.get("found.word", i - 1).isin(*starters))
+    hits = F.transform(
+        at,
+        lambda i: F.struct(
+            F.get("found", i - 1).alias("hit"),
+            F.slice("found", F.greatest(i - reach, F.lit(1)), F.lit(2 * reach + 1)).alias("near"),
+        ),
+    )
+    some = texts.filter(F.size("found") > 0).select("key", "text_hash", F.explode(hits).alias("h"))
+    some = some.select("key", "text_hash", "h.near", F.col("h.hit.place").alias("place"), F.col("h.hit.word").alias("word"))
+    fixed = templates.sparkSession.createDataFrame(listed, prefixes(templates, frequency).schema)
+    joined = some.join(F.broadcast(fixed), "word")
     length = F.size("t_words")
-    # a phrase's only prefix word gives the place where it would begin; a word lies in two blocks of a notice
+
+    # a phrase's only prefix word gives the place where it would begin
     first = F.col("place") - F.array_position("t_words", F.col("word")).cast("int") + 1
-    block = F.floor(F.col("place") / length).cast("int")
-    starts = F.when(F.col("phrase"), F.array(first)).otherwise(F.array(block * length, (block - 1) * length))
-    found = found.withColumn("start", F.explode(starts)).filter("start >= 0 or not phrase")
-    begin = F.greatest("start", F.lit(0))
-    taken = F.slice("words", begin + 1, F.when(F.col("phrase"), length).otherwise(F.col("start") + 2 * length - begin))
-    found = found.filter((F.size("words") - begin >= F.col("need")) & (F.size("t_set") - F.col("rank") + 1 >= F.col("need")))
-    found = found.withColumn("block", F.transform(taken, ascii_lower))
-    overlap = F.size(F.array_intersect("t_set", "block"))
-    whole = ~F.col("phrase") | (F.col("block") == F.col("t_words"))
-    return (
-        found.withColumn("overlap", overlap)
-        .filter((F.col("overlap") >= F.col("need")) & whole)
-        .select("key", "text_hash", "label", "phrase", "start", (F.col("overlap") / F.size("t_set")).alias("share"))
+    run = F.filter("near", lambda x: x["place"].between(first, first + length - 1))
+    stands = (first >= 0) & (F.transform(run, lambda x: x["word"]) == F.col("t_words"))
+    phrases = joined.filter("phrase").filter(stands)
+    phrases = phrases.select("key", "text_hash", "label", "phrase", first.alias("start"), F.lit(1.0).alias("share"))
+
+    inside = F.filter(
+        "near", lambda x: (F.abs(x["place"] - F.col("place")) < 2 * length) & F.array_contains(F.col("t_set"), x["word"])
     )
+    # length filter: enough of the template lies around; position filter: not all of it after its first words
+    enough = (F.size(F.array_distinct("inside.word")) >= F.col("need")) & (F.size("t_set") - F.col("rank") + 1 >= F.col("need"))
+    notices = joined.filter("not phrase").withColumn("inside", inside).filter(enough)
+
+    def overlap(begin: Column) -> Column:
+        block = F.filter("inside", lambda x: x["place"].between(begin, begin + 2 * length - 1))
+        return F.size(F.array_distinct(F.transform(block, lambda x: x["word"])))
+
+    begins = F.filter(F.transform("inside", lambda x: x["place"]), lambda p: p <= F.col("place"))
+    notices = notices.withColumn("overlap", F.array_max(F.transform(begins, overlap))).filter("overlap >= need")
+    share = (F.col("overlap") / F.size("t_set")).alias("share")
+    return phrases.union(notices.select("key", "text_hash", "label", "phrase", F.lit(None).cast("int").alias("start"), share))
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,8 +181,10 @@ def scan(docs: DataFrame, templates: Sequence[Template] = (), key: str = "doc_id
     templates = [*PHRASES, *NOTICES] if not templates else list(templates)
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     split = own.select("key", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    found = matches(split, template_table(docs.sparkSession, templates))
-    plain = split.select("key", "text_hash", F.size("words").cast("long").alias("n_words"))
+    vocabulary = sorted({w for t in templates for w in t.text.split()})
+    texts = step_table(placed(split, vocabulary))
+    found = matches(texts, template_table(docs.sparkSession, templates))
+    plain = texts.select("key", "text_hash", "n_words")
     rows = plain.unionByName(found, allowMissingColumns=True)
     base = F.col("phrase")
     return (

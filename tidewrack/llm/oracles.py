@@ -35,8 +35,8 @@ place AS (
   FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d), phrase
   WHERE w[i:i + len(p) - 1] = p),
 block AS (
-  SELECT doc_id, label, len(list_intersect(p, w[k * len(p) + 1:(k + 2) * len(p)])) / len(list_distinct(p)) AS share, need
-  FROM (SELECT doc_id, w, label, p, need, unnest(generate_series(0, len(w) // len(p))) AS k FROM d, notice)),
+  SELECT doc_id, label, len(list_intersect(p, w[k:k + 2 * len(p) - 1])) / len(list_distinct(p)) AS share, need
+  FROM (SELECT doc_id, w, label, p, need, unnest(generate_series(1, len(w))) AS k FROM d, notice)),
 found AS (
   SELECT doc_id, label, 1.0 AS share, start, true AS base FROM place
   UNION ALL SELECT doc_id, label, share, NULL, false FROM block WHERE share >= need - 1e-9)
