@@ -86,6 +86,21 @@ def test_longest_matches(spark):
                 assert (r["length"], -r["doc"], -r["place"]) == best
 
 
+def test_longest_matches_of_awkward_rows(spark):
+    """Keys that doubles cannot hold beside a null in one partition, repeated and empty rows; ties go to the smaller key."""
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, None)], "item_id long, text string")
+    big, kind = (1 << 60) + 1, "doc_id long, text string"
+    rows = [(big + 2, "x one two three four five six"), (None, "one two three four five six"), (big, "one two three four five six"), (big, ""), (7, None)]
+    got = d.longest_matches(spark.createDataFrame(rows, kind).coalesce(1), items, window=3).collect()
+    assert {(r["item"], r["start"], r["length"], r["doc"], r["place"]) for r in got} == {("1", i, 6 - i, big, i) for i in range(4)}
+    got = d.longest_matches(spark.createDataFrame(rows[:2], kind).coalesce(1), items, window=3).collect()
+    assert {(r["doc"], r["place"] - r["start"]) for r in got} == {(big + 2, 1)}
+    got = d.longest_matches(spark.createDataFrame(rows[1:2] * 2, kind).coalesce(1), items, window=3).collect()
+    assert {r["doc"] for r in got} == {None} and len(got) == 4
+    assert d.longest_matches(spark.createDataFrame([], kind), items).count() == 0
+    assert d.longest_matches(spark.createDataFrame(rows, kind), items.limit(0)).count() == 0
+
+
 def test_empty_tables(spark):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert d.decontaminated(awkward_docs(spark), benchmark).count() == 9

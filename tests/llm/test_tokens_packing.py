@@ -110,3 +110,14 @@ def test_knapsack_against_all_choices():
     counts = packing.best_pattern(value, size, 14)
     best = max(a * 0.3 + b * 0.45 + c * 0.8 for a in range(5) for b in range(4) for c in range(3) if 3 * a + 4 * b + 7 * c <= 14)
     assert (counts * size).sum() <= 14 and abs(counts @ value - best) < 1e-9
+
+
+def test_keys_beside_nulls_stay_whole(spark):
+    """Keys that doubles cannot hold, with a null in the same partition."""
+    keys = [(1 << 60) + 1, None, (1 << 60) + 3]
+    docs = spark.createDataFrame([(k, f"text number {i}") for i, k in enumerate(keys)], "doc_id long, text string").coalesce(1)
+    assert [r["key"] for r in packing.pack(docs, BYTE).collect()].count((1 << 60) + 1) == 1
+    assert {r["key"] for r in packing.pack(docs, BYTE).collect()} == set(keys)
+    path = shared_folder(spark)
+    dac.write_tokens(docs, path, WORD, 2)
+    assert [r["key"] for r in dac.read_tokens(spark, path).orderBy("start").collect()] == [None, (1 << 60) + 1, (1 << 60) + 3]

@@ -120,7 +120,7 @@ def write_tokens(
     def written(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, before, end = encoder(tokenizer), 0, np.array([end_id], dtype=np.uint32)
         for part in parts:
-            keys = [None if pd.isna(k) else int(k) for k in part["key"]]
+            keys = [None if k is None else int(k) for k in part["key"]]
             ids = [np.r_[x, end] for x in tokens.encode(part["text"].tolist())]
             total = np.cumsum([len(x) for x in ids])
             cuts = np.flatnonzero(np.diff(total // segment_ids)) + 1
@@ -130,7 +130,9 @@ def write_tokens(
                 yield pd.DataFrame([row | {"segment": write_segment(keys[a:b], ids[a:b])}])
                 before += n
 
-    ordered.select("key", "text").mapInPandas(written, "part int, before long, n_ids long, segment binary").write.parquet(path)
+    # keys pass through Python as text: pandas turns numbers beside a null into doubles
+    digits = F.col("key").cast("string").alias("key")
+    ordered.select(digits, "text").mapInPandas(written, "part int, before long, n_ids long, segment binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

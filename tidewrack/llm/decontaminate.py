@@ -257,10 +257,15 @@ def longest_matches(
     """(item, start, length, doc, place): the longest verbatim match of every benchmark suffix over all shards.
 
     Suffixes whose longest match is shorter than the shortest window have no
-    row; ties go to the smaller document key, then place.
+    row; ties go to the smaller document key, null ones last, then place. Null
+    and empty texts match nothing; rows that repeat a key are texts of their
+    own. Without documents or items there are no rows.
     """
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    all_found = None
+    # keys pass through Python as text: pandas turns numbers beside a null into doubles
+    digits = F.col(f"`{key}`").cast("long").cast("string").alias("doc")
+    own = docs.select(digits, F.col(f"`{text}`").alias("text"))
+    kind = "item string, start long, length long, doc string, place long"
+    all_found = docs.sparkSession.createDataFrame([], kind)
     for block in blocks_of(benchmark, item, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast([(r["k"], r["t"]) for r in block])
 
@@ -268,7 +273,8 @@ def longest_matches(
             tests = Suffixes(shared.value, window)
             begin = np.flatnonzero(np.r_[True, tests.item[:-1] < 0])
             for part in parts:
-                part = part.sort_values("doc", kind="stable")
+                keys = [(k is None, int(k or 0)) for k in part["doc"]]
+                part = part.iloc[sorted(range(len(keys)), key=keys.__getitem__)]
                 shard = Shard(part["text"].tolist(), tests)
                 got = np.flatnonzero(shard.length >= tests.shortest)
                 slots = zip(shard.longest_lo[got].tolist(), shard.longest_hi[got].tolist())
@@ -285,9 +291,10 @@ def longest_matches(
                     }
                 )
 
-        found = own.mapInPandas(searched, "item string, start long, length long, doc long, place long")
-        all_found = found if all_found is None else all_found.union(found)
-    best = F.min(F.struct((-F.col("length")).alias("less"), "doc", "place")).alias("best")
+        all_found = all_found.union(own.mapInPandas(searched, kind))
+    all_found = all_found.withColumn("doc", F.col("doc").cast("long"))
+    order = F.struct((-F.col("length")).alias("less"), F.isnull("doc").alias("unnamed"), "doc", "place")
+    best = F.min(order).alias("best")
     return (
         all_found.groupBy("item", "start")
         .agg(best)

@@ -18,6 +18,7 @@ and one place for all unknown words, up to the quantisation of the trie.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -70,13 +71,13 @@ class Block:
         self.size += len(own)
 
 
-def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Block]]:
+def blocks(parts: Iterator[pd.DataFrame], block_tokens: int = BLOCK_TOKENS) -> Iterator[tuple[int, Block]]:
     """The task's documents in blocks of bounded size, each with an id that the same scan gives again."""
     base, n, block = TaskContext.get().partitionId() << 32, 0, Block()
     for part in parts:
         for key, text, train in zip(part["key"], part["text"], part["train"]):
-            block.add(None if pd.isna(key) else int(key), text, bool(train))
-            if block.size >= BLOCK_TOKENS:
+            block.add(key, text, bool(train))
+            if block.size >= block_tokens:
                 yield base + n, block
                 n, block = n + 1, Block()
     if block.docs:
@@ -124,11 +125,11 @@ REQUEST = (
 )
 
 
-def requests(shards: int):
+def requests(shards: int, block_tokens: int = BLOCK_TOKENS):
     """What each block asks of each shard."""
 
     def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block_id, block in blocks(parts):
+        for block_id, block in blocks(parts, block_tokens):
             words = list(block.numbers)
             hashes = hashes_of(words)
             tokens, lengths = np.concatenate(block.docs), np.array([len(x) for x in block.docs])
@@ -215,18 +216,18 @@ def answers(part: pd.DataFrame) -> pd.DataFrame:
     return found
 
 
-TEXTS = "block long, keys array<long>, train array<boolean>, lengths binary, tokens binary, hashes binary"
+TEXTS = "block long, keys array<string>, train array<boolean>, lengths binary, tokens binary, hashes binary"
 
 
-def texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def texts(parts: Iterator[pd.DataFrame], block_tokens: int = BLOCK_TOKENS) -> Iterator[pd.DataFrame]:
     """The blocks themselves: the order of their words."""
-    for block_id, block in blocks(parts):
+    for block_id, block in blocks(parts, block_tokens):
         lengths = np.array([len(x) for x in block.docs], dtype="<i8").tobytes()
         tokens, hashes = np.concatenate(block.docs).astype("<i4").tobytes(), hashes_of(block.numbers).tobytes()
         yield pd.DataFrame([(block_id, block.keys, block.train, lengths, tokens, hashes)], columns=_names(TEXTS))
 
 
-SCORES = "key long, train boolean, n_tokens long, n_known long, base_score double, score double"
+SCORES = "key string, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def scores(shards: int, n: int, v: int, strength: float):
@@ -248,7 +249,7 @@ def scores(shards: int, n: int, v: int, strength: float):
         first = np.cumsum(lengths) - lengths
         return pd.DataFrame(
             {
-                "key": pd.array(list(row["keys"]), dtype="Int64"),
+                "key": list(row["keys"]),
                 "train": list(row["train"]),
                 "n_tokens": lengths,
                 "n_known": np.add.reduceat((counts > 0)[tokens].astype(np.int64), first),
@@ -260,7 +261,7 @@ def scores(shards: int, n: int, v: int, strength: float):
     return of
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", strength: float = STRENGTH) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", strength: float = STRENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     The model learns from the rows where ``train`` is true and scores all.
@@ -269,12 +270,14 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     every word is unknown. Other columns are not used.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    # keys pass through Python as text: pandas turns numbers beside a null into doubles
+    digits = F.col(f"`{key}`").cast("long").cast("string").alias("key")
+    own = docs.select(digits, F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     shards = partitions(spark)
     answered = step_table(
-        own.mapInPandas(requests(shards), REQUEST).groupBy("shard").applyInPandas(answers, ANSWER)
+        own.mapInPandas(requests(shards, block_tokens), REQUEST).groupBy("shard").applyInPandas(answers, ANSWER)
     )
     n, v = answered.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    ordered = own.mapInPandas(texts, TEXTS)
+    ordered = own.mapInPandas(partial(texts, block_tokens=block_tokens), TEXTS)
     found = answered.groupBy("block").cogroup(ordered.groupBy("block")).applyInPandas(scores(shards, n, v, strength), SCORES)
-    return found.withColumn("train_tokens", F.lit(n).cast("long"))
+    return found.withColumns({"key": F.col("key").cast("long"), "train_tokens": F.lit(n).cast("long")})

@@ -40,11 +40,13 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                     at.append(i)
                     rows.append((start, len(own), ids_crc32(own), len(ids)))
             found = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens"])
-            found.insert(0, "key", part["key"].astype("Int64").to_numpy(dtype=object, na_value=None)[at] if at else [])
+            found.insert(0, "key", part["key"].to_numpy(dtype=object)[at] if at else [])
             yield found
 
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    return own.mapInPandas(cut, "key long, start long, length long, ids_crc32 long, doc_tokens long")
+    # keys pass through Python as text: pandas turns numbers beside a null into doubles
+    own = docs.select(F.col(f"`{key}`").cast("long").cast("string").alias("key"), F.col(f"`{text}`").alias("text"))
+    found = own.mapInPandas(cut, "key string, start long, length long, ids_crc32 long, doc_tokens long")
+    return found.withColumn("key", F.col("key").cast("long"))
 
 
 def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> np.ndarray:
