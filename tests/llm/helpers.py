@@ -1,6 +1,9 @@
 """Small tables with the awkward rows every operator has to take."""
 
-CLASHING = "key string, words string, n int, fingerprint string, class string, rank int, label string, fp string"
+CLASHING = (
+    "key string, words string, n int, fingerprint string, class string, rank int, label string, fp string, "
+    "_row string, row string, mark string, _lang_id string, lang_pred string, lang_score string, contamination string"
+)
 
 
 def awkward_docs(spark, texts=()):
@@ -17,7 +20,7 @@ def awkward_docs(spark, texts=()):
         (8, "!!! ... 123"),
         *((100 + i, t) for i, t in enumerate(texts)),
     ]
-    extra = ("k", "w", 1, "f", "c", 2, "l", "p")
+    extra = ("k", "w", 1, "f", "c", 2, "l", "p", "_", "r", "m", "i", "lp", "ls", "con")
     return spark.createDataFrame([(*r, *extra) for r in rows], f"doc_id long, text string, {CLASHING}")
 
 

@@ -238,10 +238,15 @@ def n_hit(column: str = "contamination"):
     return F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any occurrence of a benchmark window."""
-    found = contamination(docs, benchmark, **options)
-    return found.filter(F.size("contamination.items") == 0).select(*docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without any occurrence of a benchmark window, with the columns they came with.
+
+    Null and empty texts stay, repeated rows stay repeated, an empty table or
+    benchmark drops nothing.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = contamination(rows, benchmark, text="text", **options)
+    return found.filter(F.size("contamination.items") == 0).select("row.*")
 
 
 def longest_matches(

@@ -142,8 +142,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 lang[i], score[i] = own.languages[best], float(row[best])
             yield pd.DataFrame({"lang": lang, "score": score})
 
-    return (
-        docs.withColumn("_lang_id", predicted(F.col(f"`{text}`")))
-        .withColumns({"lang_pred": F.col("_lang_id.lang"), "lang_score": F.col("_lang_id.score")})
-        .drop("_lang_id")
-    )
+    # Spark may move a filter on the result below it and predict twice; it does not for what it takes as not repeatable
+    predicted = predicted.asNondeterministic()
+    # the row goes beside, so that no name of its columns can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predicted(F.col(f"`{text}`")).alias("found"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    return rows.select(*kept, F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("lang_score"))

@@ -193,6 +193,7 @@ SAMPLE = 8000  # texts from which the order of shingles is taken; any order give
 COMMON = 200_000
 CROWD = 32
 ROUNDS = 4
+NEAR = 0.01  # similarities this near the threshold are taken again from the shingles themselves
 
 
 def _shingles(text: str | None, shingle: int) -> Iterator[bytes]:
@@ -247,18 +248,19 @@ def copy_groups(
     times. Where this leaves a list in several groups, the pairs across them
     are compared, except those whose distances to the first hub differ by
     more than 1 - least (the distance obeys the triangle inequality). Each
-    pair is decided on the shingles of its two texts. Texts without words are
-    alike.
+    pair is decided on the shingles of its two texts, by their hashes where it
+    is not close. Texts without words are alike.
     """
     own = docs.select(F.xxhash64(f"`{text}`").alias("node"), F.col(f"`{text}`").alias("text"))
     distinct = own.groupBy("node").agg(F.first("text").alias("text"))
     order = own.sparkSession.sparkContext.broadcast(_common(own, shingle))
 
-    @F.pandas_udf("n int, prefix array<long>")
+    @F.pandas_udf("n int, prefix array<long>, small array<int>")
     def marks(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             found = [_hashes(x, shingle) for x in texts]
-            yield pd.DataFrame({"n": [len(h) for h in found], "prefix": [_prefix(h, *order.value, least) for h in found]})
+            small = [np.unique(h.astype(np.int32)) for h in found]  # the lower half of each hash
+            yield pd.DataFrame({"n": [len(h) for h in found], "prefix": [_prefix(h, *order.value, least) for h in found], "small": small})
 
     @F.pandas_udf("double")
     def jaccard(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -271,20 +273,40 @@ def copy_groups(
         # one pair after another: the sets are many times as large as the texts
         return pd.Series([share(of(x), of(y)) for x, y in zip(xs, ys)], dtype=float)
 
-    values = step_table(distinct.select("node", marks("text").alias("m")).select("node", "m.n", "m.prefix"))
+    @F.pandas_udf("double")
+    def roughly(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        def share(x: np.ndarray, y: np.ndarray) -> float:
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both / max(1, len(x) + len(y) - both)
+
+        return pd.Series([share(x, y) for x, y in zip(xs, ys)], dtype=float)
+
+    values = step_table(distinct.select("node", marks("text").alias("m")).select("node", "m.n", "m.prefix", "m.small"))
     spread = values.select("node", "n", F.explode("prefix").alias("share"))
     sizes = spread.groupBy("share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("share")
     # written out, so that a crowded list's rows can be split among tasks
     sized = step_table(spread.join(sizes, "share"))
     lists = sized.groupBy("share").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
     lists = step_table(lists.select("m").distinct())
-    listed = lists.select(F.explode("m.node").alias("node")).distinct()
-    texts = step_table(distinct.join(listed, "node", "left_semi"))
 
     def measured(pairs: DataFrame) -> DataFrame:
-        """(a, b, sim) of the distinct pairs."""
+        """(a, b, sim) of the distinct pairs.
+
+        Similarities come from halves of the shingles' hashes; those near the
+        threshold, which a few chance agreements could move across it, are
+        taken again from the shingles themselves.
+        """
+        left, right = (values.select(F.col("node").alias(x), F.col("small").alias(f"s{x}")) for x in ("a", "b"))
+        rough = step_table(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", roughly("sa", "sb").alias("sim")))
+        near = F.abs(F.col("sim") - least) < NEAR
+        close = rough.filter(near).select("a", "b")
+        if close.isEmpty():
+            return rough
+        some = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = step_table(own.join(some, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
         left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
-        return step_table(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", jaccard("ta", "tb").alias("sim")))
+        exact = close.join(left, "a").join(right, "b").select("a", "b", jaccard("ta", "tb").alias("sim"))
+        return step_table(rough.filter(~near).union(exact))
 
     def all_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of different groups whose sizes and distances to the hub allow the similarity."""

@@ -14,7 +14,9 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 600_000
+#: Words of each of the two generations of the cache, and their characters.
+CACHE_WORDS = 200_000
+CACHE_CHARS = 8_000_000
 PART_CHARS = 1_000_000
 # The pre-tokenizer patterns of the two kinds of files, over the characters of plain texts.
 _L, _N, _S = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "0-9", r"\t-\r "
@@ -33,7 +35,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.before: dict[str, bytes] = {}
+        self.cache_words, self.chars = cache_words, 0
         tokens = self.tokenizer.get_vocab()
         #: Files that lower-case and drop white space mark word ends; the others keep the blank before a word.
         self.bare = any(t.endswith("</w>") for t in tokens)
@@ -77,9 +80,14 @@ class Encoder:
         for x in texts:
             plain = "<|" not in x and (x.isascii() or PLAIN.fullmatch(x))
             pieces.append(self.cut.findall(x.lower() if self.bare else x) if plain else None)
-        if len(self.cache) > self.cache_words:
-            self.cache = {}
-        self._learn(list({p for own in pieces if own for p in own}.difference(self.cache)))
+        # words that were not asked for during a whole generation are forgotten
+        if len(self.cache) > self.cache_words or self.chars > CACHE_CHARS:
+            self.before, self.cache, self.chars = self.cache, {}, 0
+        missing = {p for own in pieces if own for p in own}.difference(self.cache)
+        self.chars += sum(map(len, missing))
+        kept = missing.intersection(self.before)
+        self.cache.update((p, self.before[p]) for p in kept)
+        self._learn(list(missing.difference(kept)))
         get, out = self.cache.__getitem__, []
         for x, own in zip(texts, pieces):
             out.append(self._encode([x])[0] if own is None else np.frombuffer(b"".join(map(get, own)), dtype="<u4"))
