@@ -200,7 +200,7 @@ def test_long_lists_are_settled_whole(spark):
     assert sum(v == 0 for v in want.values()) == 40 and sum(v < k for k, v in want.items() if 1000 <= k < 2000) == 30
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     nodes = docs.select("doc_id", F.xxhash64("text").alias("node"))
-    found = nodes.join(simhash.copy_groups(docs, crowd=5, rounds=1), "node")
+    found = nodes.join(simhash.copy_groups(docs, crowd=5, rounds=1, part_size=4), "node")
     named = found.groupBy("component").agg(F.min("doc_id").alias("least"), F.collect_list("doc_id").alias("ids"))
     assert {i: r["least"] for r in named.collect() for i in r["ids"]} == want
 

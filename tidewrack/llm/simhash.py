@@ -193,6 +193,7 @@ SAMPLE = 8000  # texts from which the order of shingles is taken; any order give
 COMMON = 200_000
 CROWD = 32
 ROUNDS = 4
+PART = 4096  # texts of an open list that one task compares with as many others
 NEAR = 0.01  # similarities this near the threshold are taken again from the shingles themselves
 
 
@@ -234,7 +235,7 @@ def _prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float)
 
 
 def copy_groups(
-    docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, crowd: int = CROWD, rounds: int = ROUNDS
+    docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, crowd: int = CROWD, rounds: int = ROUNDS, part_size: int = PART
 ) -> DataFrame:
     """(node, component) for every distinct text; ``node`` is the text's xxhash64.
 
@@ -283,11 +284,17 @@ def copy_groups(
 
     values = step_table(distinct.select("node", marks("text").alias("m")).select("node", "m.n", "m.prefix", "m.small"))
     spread = values.select("node", "n", F.explode("prefix").alias("share"))
-    sizes = spread.groupBy("share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("share")
-    # written out, so that a crowded list's rows can be split among tasks
+    sizes = spread.groupBy("share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # written out, so that a crowded list's rows can be split among tasks; only short lists are ever gathered
     sized = step_table(spread.join(sizes, "share"))
-    lists = sized.groupBy("share").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
-    lists = step_table(lists.select("m").distinct())
+    few = sized.filter(F.col("members") <= crowd).groupBy("share")
+    lists = few.agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m")).select("m").distinct()
+    # long lists of the same texts are one, known by digests of 128 bits
+    long = sized.filter(F.col("members") > crowd).select("share", "node", "n")
+    digest = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"d{i}") for i in range(2)]
+    same = long.groupBy("share").agg(F.count(F.lit(1)).alias("members"), *digest)
+    one = same.groupBy("members", "d0", "d1").agg(F.min("share").alias("share")).select("share")
+    long = step_table(long.join(one, "share").withColumnRenamed("share", "lid"))
 
     def measured(pairs: DataFrame) -> DataFrame:
         """(a, b, sim) of the distinct pairs.
@@ -311,14 +318,16 @@ def copy_groups(
     def all_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of different groups whose sizes and distances to the hub allow the similarity."""
         for part in parts:
-            for nodes, sizes, sims, groups in zip(part["nodes"], part["sizes"], part["sims"], part["groups"]):
-                by = np.argsort(sims, kind="stable")
-                nodes, sizes, sims, groups = (np.asarray(x)[by] for x in (nodes, sizes, sims, groups))
+            for row in zip(part["nodes"], part["sizes"], part["sims"], part["groups"], part["parts"]):
+                by = np.argsort(row[2], kind="stable")
+                nodes, sizes, sims, groups, parts_of = (np.asarray(x)[by] for x in row)
+                two = parts_of.min() != parts_of.max()  # two parts of a list: pairs inside one are another row's
                 ends = np.searchsorted(sims, sims + (1 - least) + 1e-9, side="right")
                 a, b, held = [], [], 0
                 for i, end in enumerate(ends):
                     x, y = sizes[i], sizes[i + 1 : end]
-                    fits = (groups[i + 1 : end] != groups[i]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9)
+                    apart = parts_of[i + 1 : end] != parts_of[i] if two else True
+                    fits = apart & (groups[i + 1 : end] != groups[i]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9)
                     b.append(nodes[i + 1 : end][fits])
                     a.append(np.full(len(b[-1]), nodes[i]))
                     held += len(b[-1])
@@ -331,15 +340,14 @@ def copy_groups(
         return measured(m.mapInPandas(all_pairs, "a long, b long"))
 
     same = F.transform("m", lambda x: F.lit(0.0))
-    few = lists.filter(F.size("m") <= crowd)
-    few = few.select(F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"), same.alias("sims"), F.col("m.node").alias("groups"))
+    few = lists.select(
+        F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"), same.alias("sims"), F.col("m.node").alias("groups"), same.alias("parts")
+    )
     checked = [across(few)]
 
     def linked() -> DataFrame:
         return reduce(DataFrame.union, checked).filter(F.col("sim") >= least - 1e-12).select("a", "b")
 
-    long = lists.filter(F.size("m") > crowd).select(F.xxhash64("m").alias("lid"), F.explode("m").alias("x"))
-    long = step_table(long.select("lid", "x.node", "x.n"))
     scores = long.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
     left, near = step_table(long.join(scores, "node")), None
     for _ in range(rounds):
@@ -359,10 +367,16 @@ def copy_groups(
     groups = step_table(components(linked()))
     if near is not None:
         placed = near.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
-        open_lists = placed.groupBy("lid").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("lid")
-        m = placed.join(open_lists, "lid").groupBy("lid").agg(F.collect_list(F.struct("node", "n", "sim", "g")).alias("m"))
+        # an open list is dealt into parts of bounded size; each two of them, and each alone, are one task's pairs
+        open_lists = placed.groupBy("lid").agg(
+            F.min("g").alias("g0"), F.max("g").alias("g1"), F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("dealt")
+        )
+        dealt = placed.join(open_lists.filter("g0 <> g1").select("lid", "dealt"), "lid")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("dealt")).cast("int"))
+        both = F.transform(F.sequence(F.lit(0), F.col("dealt") - 1), lambda j: F.array(F.least("part", j), F.greatest("part", j)))
+        m = dealt.withColumn("pair", F.explode(both)).groupBy("lid", "pair").agg(F.collect_list(F.struct("node", "n", "sim", "g", "part")).alias("m"))
         rest = m.select(
-            F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"), F.col("m.sim").alias("sims"), F.col("m.g").alias("groups")
+            *[F.col(f"m.{x}").alias(y) for x, y in (("node", "nodes"), ("n", "sizes"), ("sim", "sims"), ("g", "groups"), ("part", "parts"))]
         )
         checked.append(across(rest))
         if not checked[-1].filter(F.col("sim") >= least - 1e-12).isEmpty():
