@@ -39,9 +39,9 @@ from .tokens import PLAIN, SPACED
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bounds of what a Python worker keeps: states with their edges, results for pieces (twice as many), pairs of tokens.
-STATES = 200_000
-PIECES = 150_000
-PAIRS = 200_000
+STATES = 300_000
+PIECES = 300_000
+PAIRS = 300_000
 #: Longer pieces are not kept.
 PIECE_CHARS = 64
 CHUNK = 1 << 16
