@@ -130,14 +130,11 @@ def matches(texts: DataFrame, templates: DataFrame) -> DataFrame:
     starters = sorted({r["word"] for r in listed})
     reach = 2 * max(len(r["t_words"]) for r in listed)
     # candidates: a prefix word and the template words near it, which cannot lie further away than their number
-    at = F.filter(F.sequence(F.lit(1), F.size("found")), lambda i: F.get("found.word", i - 1).isin(*starters))
-    hits = F.transform(
-        at,
-        lambda i: F.struct(
-            F.get("found", i - 1).alias("hit"),
-            F.slice("found", F.greatest(i - reach, F.lit(1)), F.lit(2 * reach + 1)).alias("near"),
-        ),
-    )
+    def candidate(x: Column, i: Column) -> Column:
+        near = F.slice("found", F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))
+        return F.when(x["word"].isin(*starters), F.struct(x.alias("hit"), near.alias("near")))
+
+    hits = F.array_compact(F.transform("found", candidate))
     some = texts.filter(F.size("found") > 0).select("key", "text_hash", F.explode(hits).alias("h"))
     some = some.select("key", "text_hash", "h.near", F.col("h.hit.place").alias("place"), F.col("h.hit.word").alias("word"))
     fixed = templates.sparkSession.createDataFrame(listed, prefixes(templates, frequency).schema)
