@@ -193,8 +193,8 @@ SAMPLE = 8000  # texts from which the order of shingles is taken; any order give
 COMMON = 200_000
 CROWD = 32
 ROUNDS = 4
-PART = 4096  # texts of an open list that one task compares with as many others
-NEAR = 0.01  # similarities this near the threshold are taken again from the shingles themselves
+PART = 1024  # texts of an open list that one task compares with as many others
+WORDS = 32  # of 64 bits in a text's parities
 
 
 def _shingles(text: str | None, shingle: int) -> Iterator[bytes]:
@@ -207,6 +207,12 @@ def _hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in _shingles(text, shingle)), dtype=np.uint64).view(np.int64))
 
 
+def _parity(h: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 `WORDS` buckets of hashes: whether it holds an odd number of them."""
+    odd = np.bincount((h.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _common(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample hold, in order, and in how many of them they stand."""
     n = own.count()
@@ -247,21 +253,24 @@ def copy_groups(
     longer one all texts are compared with a hub, the text that stands in most
     long lists, and those not linked to it with the next hub, ``rounds``
     times. Where this leaves a list in several groups, the pairs across them
-    are compared, except those whose distances to the first hub differ by
-    more than 1 - least (the distance obeys the triangle inequality). Each
-    pair is decided on the shingles of its two texts, by their hashes where it
-    is not close. Texts without words are alike.
+    are compared, in parts of bounded size. A pair goes at once where sizes or
+    the bits of parity of its shingles rule the similarity out; what is left
+    is decided on the shingles of the two texts. Texts without words are alike.
     """
     own = docs.select(F.xxhash64(f"`{text}`").alias("node"), F.col(f"`{text}`").alias("text"))
     distinct = own.groupBy("node").agg(F.first("text").alias("text"))
     order = own.sparkSession.sparkContext.broadcast(_common(own, shingle))
 
-    @F.pandas_udf("n int, prefix array<long>, small array<int>")
+    @F.pandas_udf("n int, prefix array<long>, bits array<long>")
     def marks(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            found = [_hashes(x, shingle) for x in texts]
-            small = [np.unique(h.astype(np.int32)) for h in found]  # the lower half of each hash
-            yield pd.DataFrame({"n": [len(h) for h in found], "prefix": [_prefix(h, *order.value, least) for h in found], "small": small})
+            n, prefix, bits = [], [], []
+            for x in texts:
+                h = _hashes(x, shingle)
+                n.append(len(h))
+                prefix.append(_prefix(h, *order.value, least))
+                bits.append(_parity(h))
+            yield pd.DataFrame({"n": n, "prefix": prefix, "bits": bits})
 
     @F.pandas_udf("double")
     def jaccard(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -274,15 +283,7 @@ def copy_groups(
         # one pair after another: the sets are many times as large as the texts
         return pd.Series([share(of(x), of(y)) for x, y in zip(xs, ys)], dtype=float)
 
-    @F.pandas_udf("double")
-    def roughly(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        def share(x: np.ndarray, y: np.ndarray) -> float:
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return both / max(1, len(x) + len(y) - both)
-
-        return pd.Series([share(x, y) for x, y in zip(xs, ys)], dtype=float)
-
-    values = step_table(distinct.select("node", marks("text").alias("m")).select("node", "m.n", "m.prefix", "m.small"))
+    values = step_table(distinct.select("node", marks("text").alias("m")).select("node", "m.n", "m.prefix", "m.bits"))
     spread = values.select("node", "n", F.explode("prefix").alias("share"))
     sizes = spread.groupBy("share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     # written out, so that a crowded list's rows can be split among tasks; only short lists are ever gathered
@@ -296,90 +297,100 @@ def copy_groups(
     one = same.groupBy("members", "d0", "d1").agg(F.min("share").alias("share")).select("share")
     long = step_table(long.join(one, "share").withColumnRenamed("share", "lid"))
 
-    def measured(pairs: DataFrame) -> DataFrame:
-        """(a, b, sim) of the distinct pairs.
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs (a, b) that reach the similarity.
 
-        Similarities come from halves of the shingles' hashes; those near the
-        threshold, which a few chance agreements could move across it, are
-        taken again from the shingles themselves.
+        Two bits of parity that differ are two shingles that only one text
+        has: pairs with too many go at once, and only the texts of the others
+        are moved and compared.
         """
-        left, right = (values.select(F.col("node").alias(x), F.col("small").alias(f"s{x}")) for x in ("a", "b"))
-        rough = step_table(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", roughly("sa", "sb").alias("sim")))
-        near = F.abs(F.col("sim") - least) < NEAR
-        close = rough.filter(near).select("a", "b")
-        if close.isEmpty():
-            return rough
-        some = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = step_table(own.join(some, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+        left, right = (
+            values.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in ("a", "b")
+        )
+        differ = F.aggregate(
+            F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+        )
+        whole = F.col("na") + F.col("nb")
+        fits = (whole - differ) / 2 >= least / (1 + least) * whole - 1e-6
+        some = step_table(pairs.distinct().join(left, "a").join(right, "b").filter(fits).select("a", "b"))
+        asked = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = step_table(own.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
         left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
-        exact = close.join(left, "a").join(right, "b").select("a", "b", jaccard("ta", "tb").alias("sim"))
-        return step_table(rough.filter(~near).union(exact))
+        both = some.join(left, "a").join(right, "b").withColumn("sim", jaccard("ta", "tb"))
+        return step_table(both.filter(F.col("sim") >= least - 1e-12).select("a", "b"))
+
+    def short_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of short lists whose sizes allow the similarity."""
+        for part in parts:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for nodes, sizes in zip(part["nodes"], part["sizes"]):
+                x, y = np.triu_indices(len(nodes), 1)
+                fits = np.minimum(sizes[x], sizes[y]) >= least * np.maximum(sizes[x], sizes[y]) - 1e-9
+                a.append(nodes[x[fits]])
+                b.append(nodes[y[fits]])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def all_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of different groups whose sizes and distances to the hub allow the similarity."""
+        """Pairs of different groups whose sizes and parities allow the similarity."""
         for part in parts:
-            for row in zip(part["nodes"], part["sizes"], part["sims"], part["groups"], part["parts"]):
-                by = np.argsort(row[2], kind="stable")
-                nodes, sizes, sims, groups, parts_of = (np.asarray(x)[by] for x in row)
+            for row in zip(part["nodes"], part["sizes"], part["groups"], part["parts"], part["bits"]):
+                by = np.argsort(row[1], kind="stable")
+                nodes, sizes, groups, parts_of = (np.asarray(x)[by] for x in row[:4])
+                bits = np.stack(row[4])[by]
                 two = parts_of.min() != parts_of.max()  # two parts of a list: pairs inside one are another row's
-                ends = np.searchsorted(sims, sims + (1 - least) + 1e-9, side="right")
+                ends = np.searchsorted(sizes, sizes / least + 1e-6, side="right")
                 a, b, held = [], [], 0
                 for i, end in enumerate(ends):
-                    x, y = sizes[i], sizes[i + 1 : end]
-                    apart = parts_of[i + 1 : end] != parts_of[i] if two else True
-                    fits = apart & (groups[i + 1 : end] != groups[i]) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-9)
-                    b.append(nodes[i + 1 : end][fits])
-                    a.append(np.full(len(b[-1]), nodes[i]))
-                    held += len(b[-1])
+                    fits = groups[i + 1 : end] != groups[i]
+                    if two:
+                        fits &= parts_of[i + 1 : end] != parts_of[i]
+                    at = np.flatnonzero(fits) + i + 1
+                    whole, differ = sizes[i] + sizes[at], np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
+                    at = at[(whole - differ) / 2 >= least / (1 + least) * whole - 1e-6]
+                    b.append(nodes[at])
+                    a.append(np.full(len(at), nodes[i]))
+                    held += len(at)
                     if held > 1 << 16 or i == len(ends) - 1:
                         a, b = np.concatenate(a), np.concatenate(b)
                         yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
                         a, b, held = [], [], 0
 
-    def across(m: DataFrame) -> DataFrame:
-        return measured(m.mapInPandas(all_pairs, "a long, b long"))
-
-    same = F.transform("m", lambda x: F.lit(0.0))
-    few = lists.select(
-        F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"), same.alias("sims"), F.col("m.node").alias("groups"), same.alias("parts")
-    )
-    checked = [across(few)]
+    few = lists.select(F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"))
+    found = [alike(few.mapInPandas(short_pairs, "a long, b long"))]
 
     def linked() -> DataFrame:
-        return reduce(DataFrame.union, checked).filter(F.col("sim") >= least - 1e-12).select("a", "b")
+        return reduce(DataFrame.union, found)
 
     scores = long.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
-    left, near = step_table(long.join(scores, "node")), None
+    left, crowded = step_table(long.join(scores, "node")), False
     for _ in range(rounds):
         hubs = left.groupBy("lid").agg(F.max(F.struct("score", "node")).alias("h"), F.count(F.lit(1)).alias("k"))
         asked = left.join(hubs.filter("k > 1").select("lid", F.col("h.node").alias("hub")), "lid").filter("node <> hub")
         asked = step_table(asked)
         if asked.isEmpty():
             break
-        checked.append(measured(asked.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
-        told = checked[-1].withColumnsRenamed({"a": "node", "b": "hub"})
-        answers = step_table(asked.join(told, ["node", "hub"]))
-        if near is None:
-            near = answers.select("lid", "node", "n", "sim").union(
-                left.join(answers.select("lid", F.col("hub").alias("node")).distinct(), ["lid", "node"]).select("lid", "node", "n", F.lit(1.0))
-            )
-        left = answers.filter(F.col("sim") < least - 1e-12).select("node", "lid", "n", "score")
+        crowded = True
+        found.append(alike(asked.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))))
+        told = found[-1].select(F.col("a").alias("node"), F.col("b").alias("hub"))
+        told = told.union(told.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
+        left = asked.join(told, ["node", "hub"], "left_anti").select("node", "lid", "n", "score")
     groups = step_table(components(linked()))
-    if near is not None:
-        placed = near.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
+    if crowded:
+        placed = long.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
         # an open list is dealt into parts of bounded size; each two of them, and each alone, are one task's pairs
         open_lists = placed.groupBy("lid").agg(
             F.min("g").alias("g0"), F.max("g").alias("g1"), F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("dealt")
         )
-        dealt = placed.join(open_lists.filter("g0 <> g1").select("lid", "dealt"), "lid")
+        dealt = placed.join(open_lists.filter("g0 <> g1").select("lid", "dealt"), "lid").join(values.select("node", "bits"), "node")
         dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("dealt")).cast("int"))
         both = F.transform(F.sequence(F.lit(0), F.col("dealt") - 1), lambda j: F.array(F.least("part", j), F.greatest("part", j)))
-        m = dealt.withColumn("pair", F.explode(both)).groupBy("lid", "pair").agg(F.collect_list(F.struct("node", "n", "sim", "g", "part")).alias("m"))
+        m = dealt.withColumn("pair", F.explode(both)).groupBy("lid", "pair").agg(F.collect_list(F.struct("node", "n", "g", "part", "bits")).alias("m"))
         rest = m.select(
-            *[F.col(f"m.{x}").alias(y) for x, y in (("node", "nodes"), ("n", "sizes"), ("sim", "sims"), ("g", "groups"), ("part", "parts"))]
+            *[F.col(f"m.{x}").alias(y) for x, y in (("node", "nodes"), ("n", "sizes"), ("g", "groups"), ("part", "parts"), ("bits", "bits"))]
         )
-        checked.append(across(rest))
-        if not checked[-1].filter(F.col("sim") >= least - 1e-12).isEmpty():
+        found.append(alike(rest.mapInPandas(all_pairs, "a long, b long")))
+        if not found[-1].isEmpty():
             groups = step_table(components(linked()))
     wordless = values.filter("n = 0").agg(F.min("node")).first()[0]
     component = F.when(F.col("n") == 0, F.lit(wordless)).otherwise(F.coalesce("component", "node"))
