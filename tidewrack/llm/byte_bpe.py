@@ -30,21 +30,23 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import PLAIN, SPACED
+from .tokens import PLAIN, SPACED, forget
 
 # Fixed value: the pattern that `tokens.SPACED` cuts plain texts by, which takes half the time there.
 SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Bounds of what a Python worker keeps: states with their edges, results for pieces (twice as many), pairs of tokens.
-STATES = 300_000
-PIECES = 300_000
-PAIRS = 300_000
+STATES = 250_000
+PIECES = 220_000
+PAIRS = 150_000
 #: Longer pieces are not kept.
 PIECE_CHARS = 64
 CHUNK = 1 << 16
+ROWS = 500
 START = -1
 SETTLED = -2
 
@@ -312,24 +314,30 @@ def encoded(
     ``path``, without special tokens. Null and empty texts have no ids.
     ``decoded_into`` names a further column for what the ids decode to, which
     saves a second pass. Repeated rows stay repeated, an empty table stays
-    empty, and no other column is touched or passes through Python.
+    empty, and other columns pass as the Arrow arrays they are. A batch is
+    worked on `ROWS` rows at a time.
     """
     both = decoded_into is not None
-
-    @F.pandas_udf("ids binary, text string" if both else "ids binary")
-    def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = _encoder(path, pattern)
-        token = own.transducer.token.__getitem__
-        for texts in parts:
-            ids = [own.encode(x) for x in texts]
-            found = {"ids": pd.Series(map(_little, ids), dtype=object)}
-            if both:
-                found["text"] = pd.Series(["".join(decode(x, token)) for x in ids], dtype=object)
-            yield pd.DataFrame(found)
-
-    done = docs.withColumn(into, coded(F.col(f"`{text}`")))
-    columns = {into: F.col(f"`{into}`.ids")} | ({decoded_into: F.col(f"`{into}`.text")} if both else {})
-    return done.withColumns(columns)
+    names = [into, decoded_into] if both else [into]
+    rows = docs.drop(*names).withColumns(dict.fromkeys(names, F.lit(None).cast("binary")))
+    rows = rows.withColumns({decoded_into: F.lit(None).cast("string")}) if both else rows
+    kept = [c for c in docs.columns if c not in names]
+    own = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("\0text"))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        encoder = _encoder(path, pattern)
+        token = encoder.transducer.token.__getitem__
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                ids = [encoder.encode(x) for x in part.column(len(kept)).to_pylist()]
+                columns = [*part.columns[: len(kept)], pa.array(map(_little, ids), pa.binary())]
+                if both:
+                    columns.append(pa.array(("".join(decode(x, token)) for x in ids), pa.string()))
+                yield pa.record_batch(columns, names=[*kept, *names])
+
+    return own.mapInArrow(coded, rows.select(*[F.col(f"`{c}`") for c in [*kept, *names]]).schema)
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

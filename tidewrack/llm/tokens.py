@@ -9,6 +9,7 @@ special token, are encoded whole by the library.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -102,3 +103,10 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Give back the memory of earlier stages' encoders, in a worker that Spark uses again for other work."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
