@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample
+from .tokens import forget
 
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -131,6 +132,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang string, score double")
     def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         own = shared.value
         slots = own.slots()
         for texts in parts:

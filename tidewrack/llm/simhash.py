@@ -23,12 +23,14 @@ from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import step_table
 from .components import components
+from .tokens import forget
 
 RADIUS = 2
 TREE_SIZE = 512
@@ -194,6 +196,7 @@ COMMON = 200_000
 CROWD = 32
 ROUNDS = 4
 PART = 1024  # texts of an open list that one task compares with as many others
+SLICE = 500  # texts or pairs that a task holds as Python objects
 WORDS = 32  # of 64 bits in a text's parities
 
 
@@ -261,29 +264,37 @@ def copy_groups(
     distinct = own.groupBy("node").agg(F.first("text").alias("text"))
     order = own.sparkSession.sparkContext.broadcast(_common(own, shingle))
 
-    @F.pandas_udf("n int, prefix array<long>, bits array<long>")
-    def marks(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            n, prefix, bits = [], [], []
-            for x in texts:
-                h = _hashes(x, shingle)
-                n.append(len(h))
-                prefix.append(_prefix(h, *order.value, least))
-                bits.append(_parity(h))
-            yield pd.DataFrame({"n": n, "prefix": prefix, "bits": bits})
-
-    @F.pandas_udf("double")
-    def jaccard(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                found = [_hashes(x, shingle) for x in part.column(1).to_pylist()]
+                prefix = pa.array([_prefix(h, *order.value, least) for h in found], pa.list_(pa.int64()))
+                bits = pa.array([_parity(h) for h in found], pa.list_(pa.int64()))
+                n = pa.array([len(h) for h in found], pa.int32())
+                yield pa.record_batch([part.column(0), n, prefix, bits], names=["node", "n", "prefix", "bits"])
+
+    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b) of texts that reach the similarity."""
         of = lru_cache(4)(lambda x: frozenset(_shingles(x, shingle)))
 
         def share(x: frozenset, y: frozenset) -> float:
             both = len(x & y)
             return both / max(1, len(x) + len(y) - both)
 
-        # one pair after another: the sets are many times as large as the texts
-        return pd.Series([share(of(x), of(y)) for x, y in zip(xs, ys)], dtype=float)
-
-    values = step_table(distinct.select("node", marks("text").alias("m")).select("node", "m.n", "m.prefix", "m.bits"))
+        for batch in batches:
+            good = []
+            # few texts at a time: their sets are many times as large
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                texts = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
+                good += [share(of(x), of(y)) >= least - 1e-12 for x, y in texts]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    values = step_table(
+        distinct.select("node", "text").mapInArrow(marks, "node long, n int, prefix array<long>, bits array<long>")
+    )
     spread = values.select("node", "n", F.explode("prefix").alias("share"))
     sizes = spread.groupBy("share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     # written out, so that a crowded list's rows can be split among tasks; only short lists are ever gathered
@@ -316,8 +327,8 @@ def copy_groups(
         asked = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = step_table(own.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
         left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
-        both = some.join(left, "a").join(right, "b").withColumn("sim", jaccard("ta", "tb"))
-        return step_table(both.filter(F.col("sim") >= least - 1e-12).select("a", "b"))
+        both = some.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+        return step_table(both.mapInArrow(jaccard, "a long, b long"))
 
     def short_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of short lists whose sizes allow the similarity."""
