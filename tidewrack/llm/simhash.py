@@ -195,7 +195,7 @@ SAMPLE = 8000  # texts from which the order of shingles is taken; any order give
 COMMON = 200_000
 CROWD = 32
 ROUNDS = 4
-PART = 1024  # texts of an open list that one task compares with as many others
+PART = 4096  # texts of an open list that one task compares with as many others
 SLICE = 500  # texts or pairs that a task holds as Python objects
 WORDS = 32  # of 64 bits in a text's parities
 
@@ -342,30 +342,25 @@ def copy_groups(
             a, b = np.concatenate(a), np.concatenate(b)
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    def all_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def all_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         """Pairs of different groups whose sizes and parities allow the similarity."""
-        for part in parts:
-            for row in zip(part["nodes"], part["sizes"], part["groups"], part["parts"], part["bits"]):
-                by = np.argsort(row[1], kind="stable")
-                nodes, sizes, groups, parts_of = (np.asarray(x)[by] for x in row[:4])
-                bits = np.stack(row[4])[by]
-                two = parts_of.min() != parts_of.max()  # two parts of a list: pairs inside one are another row's
-                ends = np.searchsorted(sizes, sizes / least + 1e-6, side="right")
-                a, b, held = [], [], 0
-                for i, end in enumerate(ends):
-                    fits = groups[i + 1 : end] != groups[i]
-                    if two:
-                        fits &= parts_of[i + 1 : end] != parts_of[i]
-                    at = np.flatnonzero(fits) + i + 1
-                    whole, differ = sizes[i] + sizes[at], np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-                    at = at[(whole - differ) / 2 >= least / (1 + least) * whole - 1e-6]
-                    b.append(nodes[at])
-                    a.append(np.full(len(at), nodes[i]))
-                    held += len(at)
-                    if held > 1 << 16 or i == len(ends) - 1:
-                        a, b = np.concatenate(a), np.concatenate(b)
-                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-                        a, b, held = [], [], 0
+        rows = rows.sort_values("n", kind="stable")
+        nodes, sizes, groups, part = (rows[c].to_numpy() for c in ("node", "n", "g", "part"))
+        bits = np.stack(rows["bits"].tolist())
+        two = part.min() != part.max()  # two parts of a list: pairs inside one are another group's
+        ends = np.searchsorted(sizes, sizes / least + 1e-6, side="right")
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, end in enumerate(ends):
+            fits = groups[i + 1 : end] != groups[i]
+            if two:
+                fits &= part[i + 1 : end] != part[i]
+            at = np.flatnonzero(fits) + i + 1
+            whole, differ = sizes[i] + sizes[at], np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            at = at[(whole - differ) / 2 >= least / (1 + least) * whole - 1e-6]
+            a.append(np.full(len(at), nodes[i]))
+            b.append(nodes[at])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     few = lists.select(F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"))
     found = [alike(few.mapInPandas(short_pairs, "a long, b long"))]
@@ -396,11 +391,9 @@ def copy_groups(
         dealt = placed.join(open_lists.filter("g0 <> g1").select("lid", "dealt"), "lid").join(values.select("node", "bits"), "node")
         dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("dealt")).cast("int"))
         both = F.transform(F.sequence(F.lit(0), F.col("dealt") - 1), lambda j: F.array(F.least("part", j), F.greatest("part", j)))
-        m = dealt.withColumn("pair", F.explode(both)).groupBy("lid", "pair").agg(F.collect_list(F.struct("node", "n", "g", "part", "bits")).alias("m"))
-        rest = m.select(
-            *[F.col(f"m.{x}").alias(y) for x, y in (("node", "nodes"), ("n", "sizes"), ("g", "groups"), ("part", "parts"), ("bits", "bits"))]
-        )
-        found.append(alike(rest.mapInPandas(all_pairs, "a long, b long")))
+        dealt = dealt.select("lid", "node", "n", "g", "part", "bits", F.explode(both).alias("pair"))
+        rest = dealt.groupBy("lid", "pair").applyInPandas(all_pairs, "a long, b long")
+        found.append(alike(rest))
         if not found[-1].isEmpty():
             groups = step_table(components(linked()))
     wordless = values.filter("n = 0").agg(F.min("node")).first()[0]
