@@ -16,8 +16,8 @@ import re
 import numpy as np
 
 #: Words of each of the two generations of the cache, and their characters.
-CACHE_WORDS = 200_000
-CACHE_CHARS = 8_000_000
+CACHE_WORDS = 350_000
+CACHE_CHARS = 12_000_000
 PART_CHARS = 1_000_000
 # The pre-tokenizer patterns of the two kinds of files, over the characters of plain texts.
 _L, _N, _S = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "0-9", r"\t-\r "
