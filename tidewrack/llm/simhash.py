@@ -346,7 +346,7 @@ def copy_groups(
         """Pairs of different groups whose sizes and parities allow the similarity."""
         rows = rows.sort_values("n", kind="stable")
         nodes, sizes, groups, part = (rows[c].to_numpy() for c in ("node", "n", "g", "part"))
-        bits = np.stack(rows["bits"].tolist())
+        bits = np.stack(rows["bits"].tolist()).view(np.uint64)  # set bits of negative numbers are counted without their sign
         two = part.min() != part.max()  # two parts of a list: pairs inside one are another group's
         ends = np.searchsorted(sizes, sizes / least + 1e-6, side="right")
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
