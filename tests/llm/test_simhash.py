@@ -212,3 +212,34 @@ def test_near_copies_that_repeat_lines(spark):
         rows += [(i + k, " ".join(body + [f"r{i + k}x{j}" for j in range(8)] * 40)) for k in (0, 1)]
     got = copies_of(spark, rows)
     assert got == plain_copies(rows) == {i: i - i % 2 for i in range(60)}
+
+
+def test_parities_fold():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 256, 257, 3000, 40_000):
+        hashes = rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)
+        bits = simhash._parity(hashes)
+        assert simhash.WORDS[0] <= len(bits) <= simhash.WORDS[1]
+        for words in (1, 2, 4):
+            buckets = (hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(64 * words)
+            odd = np.bincount(buckets.astype(np.int64), minlength=64 * words) & 1
+            assert (simhash._folded(bits[None], words)[0] == np.packbits(odd.astype(np.uint8)).view(np.int64)).all()
+
+
+def test_sizes_on_both_sides_of_a_width_of_parities(spark):
+    rng = random.Random(9)
+    base = [f"m{i}" for i in range(290)]
+    rows = [(i, edited(base[: 290 - i % 45], set(rng.sample(range(240), 3)))) for i in range(120)]  # 241 to 286 shingles
+    rows += [(500 + i, " ".join(base[:200] + [f"l{i}x{j}" for j in range(1500 + 300 * i)])) for i in range(8)]  # long ones first as hubs
+    rows += [(600 + i, " ".join(base[:60] + [f"k{i}x{j}" for j in range(200)])) for i in range(60)]  # a passage in common only
+    want = plain_copies(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = docs.select("doc_id", F.xxhash64("text").alias("node"))
+    for settings in ({}, {"crowd": 5, "rounds": 1, "part_size": 16}):
+        got = {}
+        for r in nodes.join(simhash.copy_groups(docs, **settings), "node").collect():
+            got.setdefault(r["component"], set()).add(r["doc_id"])
+        groups = {}
+        for k, v in want.items():
+            groups.setdefault(v, set()).add(k)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import step_table
+from .common import drop_table, step_table
 from .components import components
 from .tokens import forget
 
@@ -197,7 +197,7 @@ CROWD = 32
 ROUNDS = 4
 PART = 4096  # texts of an open list that one task compares with as many others
 SLICE = 500  # texts or pairs that a task holds as Python objects
-WORDS = 32  # of 64 bits in a text's parities
+WORDS = (4, 512)  # of 64 bits in a text's parities, at least and at most: a bit or two for each shingle in between
 
 
 def _shingles(text: str | None, shingle: int) -> Iterator[bytes]:
@@ -211,11 +211,39 @@ def _hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def _parity(h: np.ndarray) -> np.ndarray:
-    """A bit for each of 64 `WORDS` buckets of hashes: whether it holds an odd number of them."""
-    odd = np.bincount((h.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    """A bit for each bucket of hashes: whether it holds an odd number of them.
+
+    The number of buckets is a power of two that grows with the number of
+    hashes; parities of more buckets fold to those of fewer (`_folded`).
+    """
+    words = min(max(WORDS[0], 1 << max(0, (len(h) - 1) // 64).bit_length()), WORDS[1])
+    odd = np.bincount((h.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities over ``words`` words, from those over a multiple."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def _parity_differs(x: str, y: str, least: float):
+    """Column: the number of differing parities of two texts whose sizes allow the similarity."""
+    k, (x, y) = F.least(F.size(x), F.size(y)), (F.col(x), F.col(y))
+    for _ in range(math.ceil(math.log2(1 / least))):  # sizes allow no more halvings
+        x, y = (
+            F.when(
+                F.size(v) > k,
+                F.zip_with(
+                    F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")),
+                    F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")),
+                    lambda a, b: a.bitwiseXOR(b),
+                ),
+            ).otherwise(v)
+            for v in (x, y)
+        )
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+
+
 def _common(own: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample hold, in order, and in how many of them they stand."""
     n = own.count()
@@ -309,26 +337,26 @@ def copy_groups(
     long = step_table(long.join(one, "share").withColumnRenamed("share", "lid"))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) that reach the similarity.
+        """Those of the distinct pairs (a, b), of sizes that allow it, that reach the similarity.
 
-        Two bits of parity that differ are two shingles that only one text
-        has: pairs with too many go at once, and only the texts of the others
-        are moved and compared.
+        A bit of parity that differs is a shingle that only one text has:
+        pairs with too many go at once, and only the texts of the others are
+        moved and compared.
         """
         left, right = (
             values.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in ("a", "b")
         )
-        differ = F.aggregate(
-            F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
-        )
         whole = F.col("na") + F.col("nb")
-        fits = (whole - differ) / 2 >= least / (1 + least) * whole - 1e-6
+        fits = (whole - _parity_differs("bitsa", "bitsb", least)) / 2 >= least / (1 + least) * whole - 1e-6
         some = step_table(pairs.distinct().join(left, "a").join(right, "b").filter(fits).select("a", "b"))
         asked = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = step_table(own.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
         left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
         both = some.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        return step_table(both.mapInArrow(jaccard, "a long, b long"))
+        good = step_table(both.mapInArrow(jaccard, "a long, b long"))
+        drop_table(texts)
+        drop_table(some)
+        return good
 
     def short_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of short lists whose sizes allow the similarity."""
@@ -346,7 +374,12 @@ def copy_groups(
         """Pairs of different groups whose sizes and parities allow the similarity."""
         rows = rows.sort_values("n", kind="stable")
         nodes, sizes, groups, part = (rows[c].to_numpy() for c in ("node", "n", "g", "part"))
-        bits = np.stack(rows["bits"].tolist()).view(np.uint64)  # set bits of negative numbers are counted without their sign
+        bits = [x.view(np.uint64) for x in rows["bits"]]  # set bits of negative numbers are counted without their sign
+        words = np.array([len(x) for x in bits])
+        # rows are in the order of their sizes, so those of as many words of parities stand together
+        edges = {w: np.searchsorted(words, [w, w + 1]) for w in np.unique(words).tolist()}
+        whole_bits = {w: np.stack(bits[slice(*edge)]) for w, edge in edges.items()}
+        folded: dict[tuple[int, int], np.ndarray] = {}
         two = part.min() != part.max()  # two parts of a list: pairs inside one are another group's
         ends = np.searchsorted(sizes, sizes / least + 1e-6, side="right")
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -354,11 +387,18 @@ def copy_groups(
             fits = groups[i + 1 : end] != groups[i]
             if two:
                 fits &= part[i + 1 : end] != part[i]
-            at = np.flatnonzero(fits) + i + 1
-            whole, differ = sizes[i] + sizes[at], np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            at = at[(whole - differ) / 2 >= least / (1 + least) * whole - 1e-6]
-            a.append(np.full(len(at), nodes[i]))
-            b.append(nodes[at])
+            places, own = np.flatnonzero(fits) + i + 1, words[i]
+            for w, (first, last) in edges.items():
+                at = places[(places >= first) & (places < last)]
+                if not len(at):
+                    continue
+                if (w, own) not in folded:
+                    folded[w, own] = _folded(whole_bits[w], own)
+                differ = np.bitwise_count(folded[w, own][at - first] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                whole = sizes[i] + sizes[at]
+                at = at[(whole - differ) / 2 >= least / (1 + least) * whole - 1e-6]
+                a.append(np.full(len(at), nodes[i]))
+                b.append(nodes[at])
         a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -371,13 +411,14 @@ def copy_groups(
     scores = long.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
     left, crowded = step_table(long.join(scores, "node")), False
     for _ in range(rounds):
-        hubs = left.groupBy("lid").agg(F.max(F.struct("score", "node")).alias("h"), F.count(F.lit(1)).alias("k"))
-        asked = left.join(hubs.filter("k > 1").select("lid", F.col("h.node").alias("hub")), "lid").filter("node <> hub")
-        asked = step_table(asked)
+        hubs = left.groupBy("lid").agg(F.max(F.struct("score", "node", "n")).alias("h"), F.count(F.lit(1)).alias("k"))
+        hubs = hubs.filter("k > 1").select("lid", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+        asked = step_table(left.join(hubs, "lid").filter("node <> hub"))
         if asked.isEmpty():
             break
         crowded = True
-        found.append(alike(asked.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))))
+        fits = F.least("n", "hub_n") >= least * F.greatest("n", "hub_n") - 1e-9
+        found.append(alike(asked.filter(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))))
         told = found[-1].select(F.col("a").alias("node"), F.col("b").alias("hub"))
         told = told.union(told.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
         left = asked.join(told, ["node", "hub"], "left_anti").select("node", "lid", "n", "score")
