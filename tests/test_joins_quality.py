@@ -68,6 +68,24 @@ def test_segments_are_disjoint_across_blocks(spark):
     assert all(a[1] <= b[0] for a, b in zip(whole[0], whole[0][1:]))
 
 
+def test_many_intervals_are_not_broadcast(spark, monkeypatch):
+    """Listed under nodes and cells they are many times as large as Spark reckons."""
+
+    def moved(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+    at = [ts("2023-01-01") + dt.timedelta(minutes=i) for i in range(60)]
+    some = [(i, a, a + dt.timedelta(minutes=i % 7), f"l{i}") for i, a in enumerate(at)]
+    spans = spark.createDataFrame(some, "seq long, start_ts timestamp_ntz, end_ts timestamp_ntz, label string")
+    parts = joins.segments(spans, "start_ts", "end_ts", ["seq", "label"], block_rows=32)
+    assert len(parts.collect()) > 60 and moved(parts)
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 32)
+    out = joins.interval_join_first(frame(spark, "t ts", [(a,) for a in at]), "t", spans, crowd=1000)
+    got = {r.t: r.label for r in out.collect()}
+    assert got == {t: plain_first([(None, *x) for x in some], None, t) for t in at} and moved(out)
+
+
 def test_no_intervals(spark):
     df = frame(spark, "t ts", [("2023-01-01 00:00:00",)])
     none = frame(spark, "seq int,start_ts ts,end_ts ts,label string", [])

@@ -1,4 +1,8 @@
-"""Joins. None is forced to broadcast: Spark decides from measured sizes."""
+"""Joins. None is forced to broadcast: Spark decides from measured sizes.
+
+Spark's measure of an exploded table is that of the table before, so joins
+with one that may be large are forced not to be broadcast.
+"""
 
 from __future__ import annotations
 
@@ -86,6 +90,11 @@ def _own(intervals: DataFrame, start: str, end: str, first: Sequence[str], by: S
     )
 
 
+def _exploded(df: DataFrame, few: bool) -> DataFrame:
+    """A side of a join with many more rows than Spark reckons, which would fill the driver if it were broadcast."""
+    return df if few else df.hint("merge")
+
+
 def segments(
     intervals: DataFrame,
     start: str,
@@ -139,7 +148,7 @@ def segments(
     places = ranked.select(*keys, "_at", "_rank").distinct()
     ways = places.select(*keys, "_rank", F.explode(F.transform(levels, above)).alias("_n"))
     on = [ways[k].eqNullSafe(right[f"_n{k}"]) for k in keys] + [ways["_n"] == right["_nn"]]
-    found = ways.join(right, all_of(on)).select(*keys, "_rank", "_first")
+    found = _exploded(ways, few).join(right, all_of(on)).select(*keys, "_rank", "_first")
     # each border begins a segment and ends the one before
     ends = F.explode(
         F.array(
@@ -216,7 +225,7 @@ def interval_join_first(
         listed, rows = (_regrid(x, finer, keys, cells) for x in (listed, rows))
     side = listed.select(*[F.col(k).alias(f"_s{k}") for k in [*keys, *cells]], "_from", "_to", "_first")
     on = [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys] + [F.col(c) == F.col(f"_s{c}") for c in cells]
-    met = rows.join(side, all_of([*on, F.col("_t") >= F.col("_from"), F.col("_t") < F.col("_to")]), "left")
+    met = rows.join(_exploded(side, 2 * n <= BLOCK_ROWS), all_of([*on, F.col("_t") >= F.col("_from"), F.col("_t") < F.col("_to")]), "left")
     return met.select("_row.*", F.col("_first").getField(label).alias(name))
 
 
