@@ -37,8 +37,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, one with an id first.
 
     Texts are linked at a similarity of 0.8 or more of their five-word
-    shingles, whatever ids they have; an id that stands on two texts, or a
-    null one, links nothing. Rows alike in every column are one.
+    shingles, whatever ids they have: SimHash fingerprints searched in BK-trees
+    and checked by that similarity, then what lies too far apart for them by an
+    exact join. An id that stands on two texts, or a null one, links nothing.
+    Rows alike in every column are one.
     """
     whole = packed_rows(docs, "doc_id", "text")
     fields = [F.col(f"row.`{c}`") for c in docs.columns]

@@ -243,3 +243,31 @@ def test_sizes_on_both_sides_of_a_width_of_parities(spark):
         for k, v in want.items():
             groups.setdefault(v, set()).add(k)
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_copies_are_found_by_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = star(0, 60, rng, size=600, edits=2) + star(1000, 20, rng, edits=9)
+    # apart by their words, alike by a line that both repeat
+    rows += [(2000 + i, " ".join([f"x{i}y{j}" for j in range(60)] + ["the same few words"] * 200)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.xxhash64("text"))
+    ids = {r["node"]: r["doc_id"] for r in docs.collect()}
+    prints = {}
+    for i, text in rows:
+        prints.setdefault(plain_fingerprint(text), []).append(i)
+    near = plain_groups(prints)
+    marked = simhash.fingerprints(docs).select("node", F.col("fingerprint").alias("fp"))
+    for size in (simhash.TREE_SIZE, 2):
+        group = {i: i for i in ids.values()}
+        pairs = [(ids[r["a"]], ids[r["b"]]) for r in simhash.fingerprint_pairs(marked, size).collect()]
+        for _ in rows:
+            for a, b in pairs:
+                group[a] = group[b] = min(group[a], group[b])
+        named = {}
+        for c, own in prints.items():
+            named.setdefault(near[c], []).extend(own)
+        assert group == {i: min(own) for own in named.values() for i in own}
+    searched = []
+    monkeypatch.setattr(simhash, "near_links", lambda v, *a, plain=simhash.near_links: searched.append(v.count()) or plain(v, *a))
+    assert copies_of(spark, rows) == plain_copies(rows)
+    assert searched == [len(prints)]

@@ -271,22 +271,40 @@ def _prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float)
     return h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1] if len(h) else h
 
 
+def fingerprint_pairs(marked: DataFrame, tree_size: int = TREE_SIZE) -> DataFrame:
+    """Pairs (a, b), a < b, that connect the texts ``node`` whose fingerprints ``fp`` are linked by `near_links`.
+
+    The first text of a fingerprint stands for it; the others of the same
+    fingerprint are its pairs, so a group of copies stays linear.
+    """
+    first = step_table(marked.groupBy("fp").agg(F.min("node").alias("first")))
+    same = marked.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    left, right = (first.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in ("a", "b"))
+    near = near_links(first.select("fp"), tree_size).join(left, "a").join(right, "b")
+    return same.union(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def copy_groups(
     docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, crowd: int = CROWD, rounds: int = ROUNDS, part_size: int = PART
 ) -> DataFrame:
     """(node, component) for every distinct text; ``node`` is the text's xxhash64.
 
     Texts whose sets of word shingles have a Jaccard similarity of ``least``
-    or more are linked, exactly. Shingles are put in one order, those that a
-    sample shows to be common last; texts of that similarity share one of the
-    first n - ceil(least n) + 1 of their n shingles, so each text is listed
-    under those. A list of at most ``crowd`` texts gives all its pairs. In a
-    longer one all texts are compared with a hub, the text that stands in most
-    long lists, and those not linked to it with the next hub, ``rounds``
-    times. Where this leaves a list in several groups, the pairs across them
-    are compared, in parts of bounded size. A pair goes at once where sizes or
-    the bits of parity of its shingles rule the similarity out; what is left
-    is decided on the shingles of the two texts. Texts without words are alike.
+    or more are linked, exactly. Most copies are found by their SimHash: the
+    BK-trees of the fingerprints give pairs (`fingerprint_pairs`), the
+    similarity of each is measured, and those that reach it make the first
+    groups. Similar texts whose fingerprints differ in more bits are found by
+    an exact join, which looks only for pairs across these groups. Shingles
+    are put in one order, those that a sample shows to be common last; texts
+    of that similarity share one of the first n - ceil(least n) + 1 of their n
+    shingles, so each text is listed under those. A list of at most ``crowd``
+    texts gives all its pairs. In a longer one all texts are compared with a
+    hub, the text that stands in most long lists, and those not linked to it
+    with the next hub, ``rounds`` times. Where this leaves a list in several
+    groups, the pairs across them are compared, in parts of bounded size. A
+    pair goes at once where sizes or the bits of parity of its shingles rule
+    the similarity out; what is left is decided on the shingles of the two
+    texts. Texts without words are alike.
     """
     own = docs.select(F.xxhash64(f"`{text}`").alias("node"), F.col(f"`{text}`").alias("text"))
     distinct = own.groupBy("node").agg(F.first("text").alias("text"))
@@ -297,11 +315,13 @@ def copy_groups(
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                found = [_hashes(x, shingle) for x in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                found = [_hashes(x, shingle) for x in texts]
+                fp = pa.array([fingerprint(x) for x in texts], pa.int64())
                 prefix = pa.array([_prefix(h, *order.value, least) for h in found], pa.list_(pa.int64()))
                 bits = pa.array([_parity(h) for h in found], pa.list_(pa.int64()))
                 n = pa.array([len(h) for h in found], pa.int32())
-                yield pa.record_batch([part.column(0), n, prefix, bits], names=["node", "n", "prefix", "bits"])
+                yield pa.record_batch([part.column(0), n, fp, prefix, bits], names=["node", "n", "fp", "prefix", "bits"])
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b) of texts that reach the similarity."""
@@ -321,23 +341,12 @@ def copy_groups(
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     values = step_table(
-        distinct.select("node", "text").mapInArrow(marks, "node long, n int, prefix array<long>, bits array<long>")
+        distinct.select("node", "text").mapInArrow(marks, "node long, n int, fp long, prefix array<long>, bits array<long>")
     )
-    spread = values.select("node", "n", F.explode("prefix").alias("share"))
-    sizes = spread.groupBy("share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    # written out, so that a crowded list's rows can be split among tasks; only short lists are ever gathered
-    sized = step_table(spread.join(sizes, "share"))
-    few = sized.filter(F.col("members") <= crowd).groupBy("share")
-    lists = few.agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m")).select("m").distinct()
-    # long lists of the same texts are one, known by digests of 128 bits
-    long = sized.filter(F.col("members") > crowd).select("share", "node", "n")
-    digest = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"d{i}") for i in range(2)]
-    same = long.groupBy("share").agg(F.count(F.lit(1)).alias("members"), *digest)
-    one = same.groupBy("members", "d0", "d1").agg(F.min("share").alias("share")).select("share")
-    long = step_table(long.join(one, "share").withColumnRenamed("share", "lid"))
+    allowed = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b), of sizes that allow it, that reach the similarity.
+        """Those of the distinct pairs (a, b) that reach the similarity.
 
         A bit of parity that differs is a shingle that only one text has:
         pairs with too many go at once, and only the texts of the others are
@@ -347,7 +356,7 @@ def copy_groups(
             values.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in ("a", "b")
         )
         whole = F.col("na") + F.col("nb")
-        fits = (whole - _parity_differs("bitsa", "bitsb", least)) / 2 >= least / (1 + least) * whole - 1e-6
+        fits = allowed & ((whole - _parity_differs("bitsa", "bitsb", least)) / 2 >= least / (1 + least) * whole - 1e-6)
         some = step_table(pairs.distinct().join(left, "a").join(right, "b").filter(fits).select("a", "b"))
         asked = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = step_table(own.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
@@ -358,13 +367,31 @@ def copy_groups(
         drop_table(some)
         return good
 
+    found = [alike(fingerprint_pairs(values.filter("n > 0").select("node", "fp")))]
+    copies = step_table(components(found[0]))
+    # ``g`` is the group that a text's fingerprint has brought it into
+    grouped = values.select("node", "n", "prefix").join(copies, "node", "left").withColumn("g", F.coalesce("component", "node"))
+    spread = grouped.select("node", "n", "g", F.explode("prefix").alias("share"))
+    sizes = values.select(F.explode("prefix").alias("share")).groupBy("share").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # written out, so that a crowded list's rows can be split among tasks; only short lists are ever gathered
+    sized = step_table(spread.join(sizes, "share"))
+    few = sized.filter(F.col("members") <= crowd).groupBy("share")
+    lists = few.agg(F.sort_array(F.collect_list(F.struct("node", "n", "g"))).alias("m")).select("m").distinct()
+    # long lists of the same texts are one, known by digests of 128 bits
+    long = sized.filter(F.col("members") > crowd).select("share", "node", "n", "g")
+    digest = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"d{i}") for i in range(2)]
+    same = long.groupBy("share").agg(F.count(F.lit(1)).alias("members"), *digest)
+    one = same.groupBy("members", "d0", "d1").agg(F.min("share").alias("share")).select("share")
+    long = step_table(long.join(one, "share").withColumnRenamed("share", "lid"))
+
     def short_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of short lists whose sizes allow the similarity."""
+        """Pairs of short lists, of different groups, whose sizes allow the similarity."""
         for part in parts:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for nodes, sizes in zip(part["nodes"], part["sizes"]):
+            for nodes, sizes, groups in zip(part["nodes"], part["sizes"], part["groups"]):
                 x, y = np.triu_indices(len(nodes), 1)
                 fits = np.minimum(sizes[x], sizes[y]) >= least * np.maximum(sizes[x], sizes[y]) - 1e-9
+                fits &= groups[x] != groups[y]
                 a.append(nodes[x[fits]])
                 b.append(nodes[y[fits]])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -402,8 +429,8 @@ def copy_groups(
         a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    few = lists.select(F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"))
-    found = [alike(few.mapInPandas(short_pairs, "a long, b long"))]
+    few = lists.select(F.col("m.node").alias("nodes"), F.col("m.n").alias("sizes"), F.col("m.g").alias("groups"))
+    found.append(alike(few.mapInPandas(short_pairs, "a long, b long")))
 
     def linked() -> DataFrame:
         return reduce(DataFrame.union, found)
@@ -411,9 +438,10 @@ def copy_groups(
     scores = long.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
     left, crowded = step_table(long.join(scores, "node")), False
     for _ in range(rounds):
-        hubs = left.groupBy("lid").agg(F.max(F.struct("score", "node", "n")).alias("h"), F.count(F.lit(1)).alias("k"))
-        hubs = hubs.filter("k > 1").select("lid", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-        asked = step_table(left.join(hubs, "lid").filter("node <> hub"))
+        hubs = left.groupBy("lid").agg(F.max(F.struct("score", "node", "n", "g")).alias("h"), F.count(F.lit(1)).alias("k"))
+        hubs = hubs.filter("k > 1").select("lid", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.g").alias("hub_g"))
+        # those of the hub's own group are linked to it
+        asked = step_table(left.join(hubs, "lid").filter("g <> hub_g"))
         if asked.isEmpty():
             break
         crowded = True
@@ -421,10 +449,10 @@ def copy_groups(
         found.append(alike(asked.filter(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))))
         told = found[-1].select(F.col("a").alias("node"), F.col("b").alias("hub"))
         told = told.union(told.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
-        left = asked.join(told, ["node", "hub"], "left_anti").select("node", "lid", "n", "score")
+        left = asked.join(told, ["node", "hub"], "left_anti").select("node", "lid", "n", "g", "score")
     groups = step_table(components(linked()))
     if crowded:
-        placed = long.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
+        placed = long.drop("g").join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
         # an open list is dealt into parts of bounded size; each two of them, and each alone, are one task's pairs
         open_lists = placed.groupBy("lid").agg(
             F.min("g").alias("g0"), F.max("g").alias("g1"), F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("dealt")
