@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -121,3 +122,34 @@ def test_keys_beside_nulls_stay_whole(spark):
     path = shared_folder(spark)
     dac.write_tokens(docs, path, WORD, 2)
     assert [r["key"] for r in dac.read_tokens(spark, path).orderBy("start").collect()] == [None, (1 << 60) + 1, (1 << 60) + 3]
+
+
+def test_pieces_hold_few_texts_at_once(spark, monkeypatch):
+    held, tasks, docs = [], [], no_docs(spark)
+
+    class Watched(tokens.Encoder):
+        def encode(self, texts):
+            held.append(len(texts))
+            return super().encode(texts)
+
+    own = Watched(BYTE)
+    monkeypatch.setattr(packing, "encoder", lambda path: own)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: tasks.append(f))
+    packing.pieces(docs, BYTE, 1, 50)
+    keys = [None, *range(2**60, 2**60 + 1200)]
+    texts = [TEXTS[i % 7] if i % 40 else "a b " * 60 for i in range(1201)]
+    batch = pa.record_batch([pa.array(keys, pa.int64()), pa.array(texts)], names=["key", "text"])
+    found = [x for part in tasks[0](iter([batch])) for x in part.to_pylist()]
+    assert held == [500, 500, 201]
+    assert list(dict.fromkeys(x["key"] for x in found)) == keys
+    whole = defaultdict(int)
+    for x in found:
+        assert x["start"] == whole[x["key"]] and 0 < x["length"] <= 50
+        whole[x["key"]] += x["length"]
+    assert all(whole[x["key"]] == x["doc_tokens"] for x in found)
+
+
+def test_layout_needs_no_python_workers(spark):
+    plan = packing.pack(awkward_docs(spark), BYTE)._jdf.queryExecution().toString()
+    assert "LocalTableScan" in plan or "LocalRelation" in plan
+    assert "ExistingRDD" not in plan and "ExternalRDD" not in plan

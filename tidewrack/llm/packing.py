@@ -14,39 +14,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_crc32, partitions, step_table
+from .common import ids_crc32, partitions, release_memory, step_table
 from .tokens import encoder
 
 CAPACITY = 2048
 #: Lengths are rounded up to multiples of this for the linear program.
 STEP = 16
+#: Texts that a task holds as Python objects.
+SLICE = 500
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens): every document's ids, cut at multiples of the capacity."""
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"key": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         tokens, end = encoder(tokenizer), np.array([end_id], dtype=np.uint32)
-        for part in parts:
-            at, rows = [], []
-            for i, ids in enumerate(tokens.encode(part["text"].tolist())):
-                ids = np.r_[ids, end]
-                for start in range(0, len(ids), capacity):
-                    own = ids[start : start + capacity]
-                    at.append(i)
-                    rows.append((start, len(own), ids_crc32(own), len(ids)))
-            found = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens"])
-            found.insert(0, "key", part["key"].to_numpy(dtype=object)[at] if at else [])
-            yield found
-
-    # keys pass through Python as text: pandas turns numbers beside a null into doubles
-    own = docs.select(F.col(f"`{key}`").cast("long").cast("string").alias("key"), F.col(f"`{text}`").alias("text"))
-    found = own.mapInPandas(cut, "key string, start long, length long, ids_crc32 long, doc_tokens long")
-    return found.withColumn("key", F.col("key").cast("long"))
+        for batch in batches:
+            # few texts at a time as Python objects, beside the encoder's words
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                at, rows = [], []
+                for k, ids in enumerate(tokens.encode(part.column(1).to_pylist())):
+                    ids = np.r_[ids, end]
+                    for start in range(0, len(ids), capacity):
+                        own = ids[start : start + capacity]
+                        at.append(k)
+                        rows.append((start, len(own), ids_crc32(own), len(ids)))
+                found = [part.column(0).take(pa.array(at, pa.int64())), *map(pa.array, zip(*rows))]
+                yield pa.record_batch(found, schema=pa.schema(kinds))
+
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    return own.mapInArrow(cut, "key long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> np.ndarray:
@@ -153,9 +158,11 @@ def pack(
     histogram = sorted(map(tuple, counted.groupBy("class").agg(F.sum("n")).collect()))
     size = np.array([c for c, _ in histogram], dtype=np.int64)
     demand = np.array([n for _, n in histogram], dtype=np.int64)
-    rows = places(size, solve(size, demand, capacity // STEP))
-    # at most one row for each class and pattern, and as many patterns as classes, whatever the data's size
-    layout = F.broadcast(spark.createDataFrame(rows, "class long, from_rank long, to_rank long, each long, sequence long, slot long"))
+    rows = np.array(places(size, solve(size, demand, capacity // STEP)), dtype=np.int64).reshape(-1, 6)
+    # at most one row for each class and pattern, and as many patterns as classes, whatever the data's size;
+    # an Arrow table, as rows would start further Python workers beside those that still hold the tokenizer
+    names = ["class", "from_rank", "to_rank", "each", "sequence", "slot"]
+    layout = F.broadcast(spark.createDataFrame(pa.table(dict(zip(names, rows.T)))))
 
     before = Window.partitionBy("class").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.select("class", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, step_table
+from .common import drop_table, release_memory, step_table
 from .components import components
 from .tokens import forget
 
@@ -312,6 +312,7 @@ def copy_groups(
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        release_memory()
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
@@ -331,6 +332,7 @@ def copy_groups(
             both = len(x & y)
             return both / max(1, len(x) + len(y) - both)
 
+        release_memory()
         for batch in batches:
             good = []
             # few texts at a time: their sets are many times as large
